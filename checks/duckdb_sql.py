@@ -523,7 +523,7 @@ def oracles() -> dict[str, str]:
     COUNT(*) FILTER (WHERE COALESCE(log_std, 0) < 0.2) AS near_constant,
     COUNT(*) FILTER (WHERE active_days < 60) AS barely_active FROM stats"""
     out["filtered_panel"] = ctes(*base("supplier", 60)) + (
-        f"SELECT merchant_id, COUNT(*) AS days, {r('SUM(v)', 2, 'revenue_gbp')} FROM series GROUP BY 1")
+        f"SELECT merchant_id, COUNT(*) AS days, {r('SUM(v)', 4, 'revenue_gbp')} FROM series GROUP BY 1")
     out["target_profile"] = ctes(*base("nation")) + f"""SELECT COUNT(*) AS n,
     {r('AVG(v)', 4, 'mean_gbp')}, MEDIAN(v) AS median_gbp, MAX(v) AS max_gbp,
     {r('AVG(CASE WHEN v = 0 THEN 1.0 ELSE 0.0 END)', 6, 'zero_day_share')},
@@ -707,7 +707,7 @@ def oracles() -> dict[str, str]:
     {r('AVG(v) FILTER (WHERE series_last_idx - time_idx < 28)', 4, 'recent28_mean_gbp')}
     FROM series GROUP BY 1"""
     out["missing_forecasts"] = ctes(*base("supplier")) + """SELECT merchant_id,
-    COUNT(*) AS history_days FROM core GROUP BY 1 HAVING COUNT(*) < 2400"""
+    COUNT(*) AS history_days FROM core GROUP BY 1 HAVING COUNT(*) < 2470"""
     out["merchant_report"] = ctes(*base("region"), *latest, """mine AS (
   SELECT AVG(v) AS rm, MEDIAN(v) AS rmed FROM series
   WHERE merchant_id = '1' AND series_last_idx - time_idx < 28),
@@ -756,15 +756,15 @@ rep AS (SELECT *, hm / GREATEST(rm, 1e-9) AS lr, he / GREATEST(hm, 1e-9) AS dr F
     inner = ", ".join(f"{e} AS {n}" for n, e, _ in fixes)
     outer = ", ".join(
         r(f"SUM(CASE WHEN {n} = 0 THEN e WHEN e / {n} >= {cap} THEN (e + {n}) / 2 ELSE {n} END)",
-          2, f"daily_expected_{n}") for n, _, cap in fixes)
+          4, f"daily_expected_{n}") for n, _, cap in fixes)
     out["forecast_repair"] = f"""SELECT merchant_id, request_date, {outer} FROM (
     SELECT l_suppkey AS merchant_id, CAST(l_shipdate AS DATE) AS request_date,
       l_extendedprice AS e, {inner} FROM lineitem) GROUP BY 1, 2"""
     out["monthly_rollup"] = ctes(*base("region"), *latest) .rstrip() + ",\n" + ROLLUP
     out["monthly_rollup_by_supplier"] = ctes(*base("supplier"), *latest).rstrip() + ",\n" + ROLLUP
-    out["forecast_files_scan"] = ctes(*base("region"), *latest) + """SELECT
+    out["forecast_files_scan"] = ctes(*base("region"), *latest) + f"""SELECT
     CAST(merchant_id AS BIGINT) AS merchant_id, time_idx, date AS request_date,
-    q35, q50, q65, expected_gbp FROM tab"""
+    {', '.join(r(c, 4) for c in ('q35', 'q50', 'q65', 'expected_gbp'))} FROM tab"""
     out["event_series"] = ctes("""clean AS (SELECT CAST(ts AS DATE) AS request_date,
     CAST(user_id AS VARCHAR) AS merchant_id, COUNT(*) AS n,
     CAST(SUM(CASE WHEN event_type <> 'error' THEN CAST(value AS DECIMAL(18,2)) ELSE 0 END)

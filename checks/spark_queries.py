@@ -48,6 +48,12 @@ def fact(spark, folder, merchant="supplier", calendar=False) -> DataFrame:
     return daily.daily_fact(log(spark, folder, merchant, calendar))
 
 
+def slim_fact(spark, folder, merchant="supplier") -> DataFrame:
+    """Revenue, successes and names only: the rest is never read, summed or grouped by."""
+    return daily.daily_fact(log(spark, folder, merchant), ["merchant_name"]).select(
+        DATE, MERCHANT, "merchant_name", CFG.raw_target, "daily_successful_transaction_count")
+
+
 def stored_fact(spark, folder, merchant="supplier") -> DataFrame:
     """The fact with its calendar as a stored table, read several times by a prepared panel."""
     return snapshot(fact(spark, folder, merchant, calendar=True), "fact")
@@ -59,9 +65,7 @@ def prepared(spark, folder, merchant="region", filtered=True) -> Prepared:
 
 def stored_series(spark, folder, merchant="region") -> DataFrame:
     """The slim series as a stored table: one pass over the raw log."""
-    source = snapshot(fact(spark, folder, merchant).select(
-        DATE, MERCHANT, "merchant_name", CFG.raw_target, "daily_successful_transaction_count"),
-        "fact")
+    source = snapshot(slim_fact(spark, folder, merchant), "fact")
     return snapshot(core_series(source, CFG).select(*core_columns(CFG)), "series")
 
 
@@ -83,7 +87,7 @@ def daily_fact_by_region(spark, folder):
 
 @query
 def daily_fact_strict_returns(spark, folder):
-    rows = daily.daily_fact(log(spark, folder), strict_reference=True)
+    rows = daily.daily_fact(log(spark, folder), [], strict_reference=True)
     return rows.select(DATE, MERCHANT, F.col("daily_refund_amount_gbp").cast("double").alias(
         "daily_refund_amount_gbp"), F.col("daily_void_amount_gbp").cast("double").alias(
         "daily_void_amount_gbp"))
@@ -92,14 +96,14 @@ def daily_fact_strict_returns(spark, folder):
 @query
 def presentation_cutoff(spark, folder):
     rows = daily.without_months(log(spark, folder, calendar=True), 1998, ["June", "July"])
-    return daily.daily_fact(rows).groupBy("calendar_year", "calendar_month").agg(
+    return daily.daily_fact(rows, ["calendar_year", "calendar_month"]).groupBy("calendar_year", "calendar_month").agg(
         F.count(F.lit(1)).alias("merchant_days"),
         F.sum("daily_successful_amount_gbp").cast("double").alias("revenue_gbp"))
 
 
 @query
 def daily_fact_imputed(spark, folder):
-    rows = clean_fact(fact(spark, folder), CFG)
+    rows = clean_fact(slim_fact(spark, folder), CFG)
     return rows.select(MERCHANT, DATE, r(CFG.raw_target), "target_imputed",
                        "daily_successful_transaction_count")
 
@@ -220,7 +224,7 @@ def grid_by_nation(spark, folder):
 
 @query
 def series_span(spark, folder):
-    series = core_series(fact(spark, folder), CFG, filtered=False)
+    series = core_series(slim_fact(spark, folder), CFG, filtered=False)
     return series.groupBy(MERCHANT).agg(
         F.min(DATE).alias("first_date"), F.max(DATE).alias("last_date"),
         F.min("series_start_idx").alias("series_start_idx"),
@@ -259,7 +263,7 @@ def mix_ratios(spark, folder):
 
 @query
 def series_stats(spark, folder):
-    panel = core_series(fact(spark, folder), CFG, filtered=False)
+    panel = core_series(slim_fact(spark, folder), CFG, filtered=False)
     stats = pnl.series_stats(panel, CFG)
     return stats.select(MERCHANT, "days", r("log_std"), "active_days")
 
@@ -267,7 +271,7 @@ def series_stats(spark, folder):
 @query
 def series_filter(spark, folder):
     cfg = Config(min_active_days=60)
-    observed = pnl.observed_series(clean_fact(fact(spark, folder), cfg), cfg)
+    observed = pnl.observed_series(clean_fact(slim_fact(spark, folder), cfg), cfg)
     return pnl.keep_usable(observed, cfg).groupBy(MERCHANT).agg(
         F.count(F.lit(1)).alias("observed_days"))
 
@@ -275,16 +279,16 @@ def series_filter(spark, folder):
 @query
 def filter_report(spark, folder):
     cfg = Config(min_active_days=60)
-    panel = core_series(fact(spark, folder), cfg, filtered=False)
+    panel = core_series(slim_fact(spark, folder), cfg, filtered=False)
     return pnl.filter_report(pnl.series_stats(panel, cfg), cfg)
 
 
 @query
 def filtered_panel(spark, folder):
     cfg = Config(min_active_days=60)
-    panel = core_series(fact(spark, folder), cfg, filtered=False)
+    panel = core_series(slim_fact(spark, folder), cfg, filtered=False)
     return pnl.filter_series(panel, cfg).groupBy(MERCHANT).agg(
-        F.count(F.lit(1)).alias("days"), r(F.sum(cfg.raw_target), 2).alias("revenue_gbp"))
+        F.count(F.lit(1)).alias("days"), r(F.sum(cfg.raw_target), 4).alias("revenue_gbp"))
 
 
 @query
@@ -396,7 +400,7 @@ def normalised_target(spark, folder):
 @query
 def cold_start(spark, folder):
     """Scale pairs when the fit ends before some suppliers' first sale."""
-    series = snapshot(core_series(fact(spark, folder), CFG, filtered=False).select(
+    series = snapshot(core_series(slim_fact(spark, folder), CFG, filtered=False).select(
         MERCHANT, TIME, "tpv"), "series")
     fitted = norm.fit_normaliser(series.where(F.col(TIME) <= 10), CFG)
     return norm.scale_pairs(series, fitted).select(
@@ -442,7 +446,7 @@ def scale_alignment(spark, folder):
 @query
 def scale_floor(spark, folder):
     """The floor bites where the log of the ticket count hardly moves."""
-    series = snapshot(core_series(fact(spark, folder), CFG).select(
+    series = snapshot(core_series(slim_fact(spark, folder), CFG).select(
         MERCHANT, TIME, F.log1p("daily_successful_transaction_count").alias("tpv")), "series")
     fitted = norm.fit_normaliser(series, CFG)
     spread = quality.normaliser_spread(fitted, CFG)
@@ -501,7 +505,7 @@ def future_calendar_check(spark, folder):
 
 @query
 def min_history(spark, folder):
-    return quality.min_history(core_series(fact(spark, folder), CFG), CFG)
+    return quality.min_history(core_series(slim_fact(spark, folder), CFG), CFG)
 
 
 # ---------------------------------------------------------------- forecasts
@@ -670,8 +674,8 @@ def recent_level(spark, folder):
 @query
 def missing_forecasts(spark, folder):
     """Suppliers whose series is too short for a forecast, from the unfiltered panel."""
-    cfg = Config(min_encoder_length=2400, max_encoder_length=2400)
-    series = snapshot(core_series(fact(spark, folder), cfg, filtered=False).select(
+    cfg = Config(min_encoder_length=2470, max_encoder_length=2470)
+    series = snapshot(core_series(slim_fact(spark, folder), cfg, filtered=False).select(
         *core_columns(cfg)), "series")
     return plan.Forecasts(series, cfg).missing
 
@@ -697,7 +701,7 @@ def whale_share(spark, folder):
 # ---------------------------------------------------------------- rollup and files
 
 def _actuals(spark, folder, merchant="supplier"):
-    rows = fact(spark, folder, merchant).select(
+    rows = slim_fact(spark, folder, merchant).select(
         F.col(MERCHANT).cast("long").alias(MERCHANT), DATE, CFG.raw_target)
     return snapshot(rows, "fact")
 
@@ -720,7 +724,7 @@ def forecast_repair(spark, folder):
         price.alias("expected_gbp"))
     fixed = rollup.repair_forecasts(rows)
     return fixed.groupBy(MERCHANT, DATE).agg(
-        *[r(F.sum(c), 2).alias(c) for c in fixed.columns if c.startswith("daily_")])
+        *[r(F.sum(c), 4).alias(c) for c in fixed.columns if c.startswith("daily_")])
 
 
 def _rounded_months(months):
@@ -730,18 +734,14 @@ def _rounded_months(months):
 
 @query
 def monthly_rollup(spark, folder):
-    source = snapshot(fact(spark, folder, "region").select(
-        DATE, MERCHANT, "merchant_name", CFG.raw_target, "daily_successful_transaction_count"),
-        "fact")
+    source = snapshot(slim_fact(spark, folder, "region"), "fact")
     series = snapshot(core_series(source, CFG).select(*core_columns(CFG)), "series")
     return _rounded_months(plan.monthly(source, plan.Forecasts(series, CFG).table, CFG))
 
 
 @query
 def monthly_rollup_by_supplier(spark, folder):
-    source = snapshot(fact(spark, folder).select(
-        DATE, MERCHANT, "merchant_name", CFG.raw_target, "daily_successful_transaction_count"),
-        "fact")
+    source = snapshot(slim_fact(spark, folder), "fact")
     series = snapshot(core_series(source, CFG).select(*core_columns(CFG)), "series")
     return _rounded_months(plan.monthly(source, plan.Forecasts(series, CFG).table, CFG))
 
@@ -751,7 +751,9 @@ def forecast_files_scan(spark, folder):
     """Forecast files written per merchant, read back by path and consolidated."""
     target = f"{staging_folder(spark).rstrip('/')}/forecast-files-{uuid.uuid4().hex}"
     sinks.write_forecasts(_table(spark, folder).table, target, CFG)
-    return readers.read_forecasts(spark, target)
+    rows = readers.read_forecasts(spark, target)
+    return rows.select(MERCHANT, TIME, DATE, *[r(c, 4) for c in (
+        "q35", "q50", "q65", "expected_gbp")])
 
 
 @query

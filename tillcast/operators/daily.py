@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -35,14 +35,20 @@ def _money_measures(strict_reference: bool) -> list[Column]:
     ]
 
 
-def daily_fact(transactions: DataFrame, strict_reference: bool = False) -> DataFrame:
-    """One row per date and merchant with all measures, in one aggregation.
+def daily_fact(transactions: DataFrame, attributes: Iterable[str] | None = None,
+               strict_reference: bool = False) -> DataFrame:
+    """One row per date and merchant with all measures and the wanted attributes.
 
-    Partial sums are formed before the exchange on ``(date, merchant)``, so a merchant
-    holding much of the log sends one row per day and input task.  Refund and void money
-    follow the stated intent (successful, not a payout); ``strict_reference`` gives the
-    zeros that the published condition literally yields.
+    The log is first grouped with the attributes in the key, which keeps the pass over it
+    a hash aggregation: a maximum over text would have every raw row sorted instead.
+    Partial sums form before the exchange, so a merchant holding much of the log sends a
+    few rows per day and input task.  The second grouping sees merchant-days only.
+
+    Refund and void money follow the stated intent (successful, not a payout);
+    ``strict_reference`` gives the zeros that the published condition literally yields.
     """
+    wanted = CALENDAR_COLUMNS + MERCHANT_ATTRIBUTES if attributes is None else tuple(attributes)
+    present = [c for c in wanted if c in transactions.columns]
     counts = [
         F.count_if(equals_folded(source, text)).alias(name)
         for source, group in (("acquiring_bank_name", ACQUIRER_COUNTS),
@@ -51,16 +57,18 @@ def daily_fact(transactions: DataFrame, strict_reference: bool = False) -> DataF
                               ("integration_api", INTEGRATION_COUNTS))
         for name, text in group.items()
     ]
-    attributes = [F.max(c).alias(c) for c in CALENDAR_COLUMNS + MERCHANT_ATTRIBUTES
-                  if c in transactions.columns]
-    return transactions.groupBy(DATE, MERCHANT).agg(
+    by_attribute = transactions.groupBy(DATE, MERCHANT, *present).agg(
         F.count(F.lit(1)).alias("daily_transaction_amount"),
         *_money_measures(strict_reference),
-        *attributes,
         *counts,
         F.count_if(is_true("has_fraud_notification")).alias("daily_fraud_amount"),
         F.count_if(is_true("has_dispute")).alias("daily_dispute_amount"),
     )
+    if not present:
+        return by_attribute
+    measures = [c for c in by_attribute.columns if c not in (DATE, MERCHANT, *present)]
+    return by_attribute.groupBy(DATE, MERCHANT).agg(
+        *[F.sum(c).alias(c) for c in measures], *[F.max(c).alias(c) for c in present])
 
 
 def without_months(transactions: DataFrame, year: int, months: Sequence[str]) -> DataFrame:

@@ -14,12 +14,18 @@ from tillcast.functions.dates import age_in_days
 from tillcast.operators.calendar import Calendar
 from tillcast.operators.features import categories_as_text
 
-# One ordering for every window over a merchant, so that they all share one sort.
-BY_DATE = W.partitionBy(MERCHANT).orderBy(DATE)
-WHOLE_SERIES = BY_DATE.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
 _STAT_COLUMNS = ("series_days", "series_log_std", "series_active_days")
 
 
+def by_date():
+    """The one ordering of all windows over a merchant, so that they share one sort."""
+    return W.partitionBy(MERCHANT).orderBy(DATE)
+
+
+def whole_series():
+    return by_date().rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+
+
 def observed_series(fact: DataFrame, cfg: Config = Config()) -> DataFrame:
     """Observed days with filled attributes, trimmed to start at the first sale.
 
@@ -27,15 +33,15 @@ def observed_series(fact: DataFrame, cfg: Config = Config()) -> DataFrame:
     windows share one exchange on the merchant and one sort on the date, and a merchant
     has at most one row per calendar day, however many payments it holds.
     """
-    so_far = BY_DATE.rowsBetween(W.unboundedPreceding, W.currentRow)
+    so_far = by_date().rowsBetween(W.unboundedPreceding, W.currentRow)
     # The latest known value, else the first one to come.
-    filled = {c: F.coalesce(F.last(c, True).over(so_far), F.first(c, True).over(WHOLE_SERIES))
+    filled = {c: F.coalesce(F.last(c, True).over(so_far), F.first(c, True).over(whole_series()))
               for c in STATIC_ATTRIBUTES if c in fact.columns}
     series = fact.withColumns({
-        "_next": F.lead(DATE).over(BY_DATE),
-        "_first_sale": F.min(F.when(F.col(cfg.raw_target) > 0, F.col(DATE))).over(WHOLE_SERIES),
-        "series_last_date": F.max(DATE).over(WHOLE_SERIES),
-        "_first_seen": F.min(DATE).over(WHOLE_SERIES),
+        "_next": F.lead(DATE).over(by_date()),
+        "_first_sale": F.min(F.when(F.col(cfg.raw_target) > 0, F.col(DATE))).over(whole_series()),
+        "series_last_date": F.max(DATE).over(whole_series()),
+        "_first_seen": F.min(DATE).over(whole_series()),
         **filled,
     })
     start = F.col("_first_sale") if cfg.trim_leading_zeros else F.col("_first_seen")
@@ -52,7 +58,7 @@ def with_tenure(observed: DataFrame) -> DataFrame:
         return observed.withColumn("log_tenure_at_series_start", F.lit(0.0))
     age = age_in_days(F.col(DATE), F.col("merchant_created_datetime"))
     return observed.withColumn(
-        "log_tenure_at_series_start", F.log1p(F.min(age).over(WHOLE_SERIES)))
+        "log_tenure_at_series_start", F.log1p(F.min(age).over(whole_series())))
 
 
 def with_series_stats(observed: DataFrame, cfg: Config = Config()) -> DataFrame:
@@ -64,19 +70,19 @@ def with_series_stats(observed: DataFrame, cfg: Config = Config()) -> DataFrame:
     """
     level = log_gbp(F.col(cfg.raw_target))
     days = (F.datediff("series_last_date", "series_first_date") + 1).cast("long")
-    n_observed = F.count(F.lit(1)).over(WHOLE_SERIES)
+    n_observed = F.count(F.lit(1)).over(whole_series())
     mean = F.col("_mean")
-    squares = F.sum(F.pow(F.col("_level") - mean, 2)).over(WHOLE_SERIES)
+    squares = F.sum(F.pow(F.col("_level") - mean, 2)).over(whole_series())
     absent = (F.col("series_days") - F.col("_observed")) * mean * mean
     return (
         observed.withColumns({"series_days": days, "_level": level, "_observed": n_observed})
-        .withColumn("_mean", F.sum("_level").over(WHOLE_SERIES) / F.col("series_days"))
+        .withColumn("_mean", F.sum("_level").over(whole_series()) / F.col("series_days"))
         .withColumns({
             "series_log_std": F.when(
                 F.col("series_days") > 1,
                 F.sqrt((squares + absent) / (F.col("series_days") - 1))),
             "series_active_days": F.sum(
-                F.when(F.col(cfg.raw_target) > 0, 1).otherwise(0)).over(WHOLE_SERIES),
+                F.when(F.col(cfg.raw_target) > 0, 1).otherwise(0)).over(whole_series()),
         })
         .drop("_level", "_observed", "_mean")
     )

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tillcast.config import DATE
 from tillcast.functions.dates import calendar_columns
 from tillcast.operators.calendar import bank_holidays
+from tillcast.sources.readers import spread
 
 MERCHANT_KEYS = {"supplier": "l_suppkey", "nation": "n_nationkey", "region": "r_regionkey"}
 # Fixed years, so that the holiday table is a plain range of known size.
@@ -28,7 +29,9 @@ def _choose(number: Column, names: list[str], otherwise: str) -> Column:
 
 def transactions(spark: SparkSession, folder: str, merchant: str = "supplier") -> DataFrame:
     """Line items as payment attempts of a supplier, nation or region."""
-    items = table(spark, folder, "lineitem")
+    items = spread(table(spark, folder, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount",
+        "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"))
     suppliers = table(spark, folder, "supplier")
     nations = table(spark, folder, "nation")
     regions = table(spark, folder, "region")
