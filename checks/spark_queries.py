@@ -18,7 +18,10 @@ from tillcast.operators import (
     panel as pnl, quality, rollup, summary,
 )
 from tillcast.plans import forecasting as plan
-from tillcast.plans.prepare import Prepared, clean_fact, core_columns, core_series, prepare
+from tillcast.plans.learned import learned_forecast
+from tillcast.plans.prepare import (
+    Prepared, clean_fact, core_columns, core_series, dense_series, observe, prepare,
+)
 from tillcast.sources import fixture, readers, sinks
 
 CFG = Config()
@@ -64,9 +67,9 @@ def prepared(spark, folder, merchant="region", filtered=True) -> Prepared:
 
 
 def stored_series(spark, folder, merchant="region") -> DataFrame:
-    """The slim series as a stored table: one pass over the raw log."""
-    source = snapshot(slim_fact(spark, folder, merchant), "fact")
-    return snapshot(core_series(source, CFG).select(*core_columns(CFG)), "series")
+    """Dense series over a stored sparse one: a single pass over the raw log."""
+    observed = snapshot(observe(slim_fact(spark, folder, merchant), CFG), "observed")
+    return dense_series(observed, CFG).select(*core_columns(CFG))
 
 
 # ---------------------------------------------------------------- daily fact
@@ -271,8 +274,8 @@ def series_stats(spark, folder):
 @query
 def series_filter(spark, folder):
     cfg = Config(min_active_days=60)
-    observed = pnl.observed_series(clean_fact(slim_fact(spark, folder), cfg), cfg)
-    return pnl.keep_usable(observed, cfg).groupBy(MERCHANT).agg(
+    observed = observe(slim_fact(spark, folder), cfg)
+    return pnl.where_usable(observed, cfg).groupBy(MERCHANT).agg(
         F.count(F.lit(1)).alias("observed_days"))
 
 
@@ -537,6 +540,14 @@ def forecast_report(spark, folder):
         MERCHANT, TIME, "date", r("q35", 4), r("q50", 4), r("q65", 4), r("expected_gbp", 4))
 
 
+@query
+def ml_quantile_forecast(spark, folder):
+    """The fitted forecaster (no SQL: it solves a regression)."""
+    rows = learned_forecast(prepared(spark, folder, "nation"), CFG)
+    return rows.select(MERCHANT, "origin_time_idx", "step", TIME,
+                       *[r(F.col("q_log")[i]).alias(c) for i, c in enumerate(QCOLS)])
+
+
 @query
 def decoder_dates(spark, folder):
     ready, calendar = _future(spark, folder)
@@ -735,14 +746,14 @@ def _rounded_months(months):
 @query
 def monthly_rollup(spark, folder):
     source = snapshot(slim_fact(spark, folder, "region"), "fact")
-    series = snapshot(core_series(source, CFG).select(*core_columns(CFG)), "series")
+    series = core_series(source, CFG).select(*core_columns(CFG))
     return _rounded_months(plan.monthly(source, plan.Forecasts(series, CFG).table, CFG))
 
 
 @query
 def monthly_rollup_by_supplier(spark, folder):
     source = snapshot(slim_fact(spark, folder), "fact")
-    series = snapshot(core_series(source, CFG).select(*core_columns(CFG)), "series")
+    series = core_series(source, CFG).select(*core_columns(CFG))
     return _rounded_months(plan.monthly(source, plan.Forecasts(series, CFG).table, CFG))
 
 

@@ -14,7 +14,7 @@ from tillcast.functions.dates import age_in_days
 from tillcast.operators.calendar import Calendar
 from tillcast.operators.features import categories_as_text
 
-_STAT_COLUMNS = ("series_days", "series_log_std", "series_active_days")
+STAT_COLUMNS = ("series_days", "series_log_std", "series_active_days")
 
 
 def by_date():
@@ -94,10 +94,9 @@ def passes_filter(days: str, log_std: str, active: str, cfg: Config) -> Column:
             & (F.col(active) >= cfg.min_active_days))
 
 
-def keep_usable(observed: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """Drop whole series too short, too constant or too idle to forecast."""
-    return with_series_stats(observed, cfg).where(
-        passes_filter(*_STAT_COLUMNS, cfg)).drop(*_STAT_COLUMNS)
+def where_usable(observed: DataFrame, cfg: Config = Config()) -> DataFrame:
+    """Drop whole series too short, too constant or too idle to forecast, by their statistics."""
+    return observed.where(passes_filter(*STAT_COLUMNS, cfg))
 
 
 def densify(observed: DataFrame) -> DataFrame:
@@ -108,7 +107,7 @@ def densify(observed: DataFrame) -> DataFrame:
     over, and columns of neither kind are NULL there.
     """
     carried = {MERCHANT, "_next", "series_first_date", "series_last_date",
-               "log_tenure_at_series_start", *STATIC_ATTRIBUTES, *_STAT_COLUMNS}
+               "log_tenure_at_series_start", *STATIC_ATTRIBUTES, *STAT_COLUMNS}
     zeroed = {*COUNT_COLUMNS, "target_imputed"}
     through = F.coalesce(F.date_sub("_next", 1), F.col(DATE))
     dense = observed.withColumn("_day", F.explode(F.sequence(F.col(DATE), through)))

@@ -31,21 +31,35 @@ def clean_fact(fact: DataFrame, cfg: Config = Config(), order: list[str] | None
     return daily.latest_per_day(fact, order) if order else fact
 
 
-def core_series(fact: DataFrame, cfg: Config = Config(), filtered: bool = True,
-                order: list[str] | None = None) -> DataFrame:
-    """Dense series with time index and target: all that forecasting itself needs.
+def observe(fact: DataFrame, cfg: Config = Config(), order: list[str] | None = None) -> DataFrame:
+    """The sparse form of all series: observed days, trimmed, with each series' statistics.
 
-    The filter acts on the sparse rows, before densifying.  The day axis starts at the
-    earliest first sale of all series, kept or not.
+    This is the form worth storing.  It has no row for an absent day, yet holds all that
+    the filter, the day axis and the dense form are made from.
     """
     observed = panel.observed_series(clean_fact(fact, cfg, order), cfg)
-    first_day = observed.agg(F.min(DATE)).scalar()
+    return panel.with_series_stats(panel.with_tenure(observed), cfg)
+
+
+def dense_series(observed: DataFrame, cfg: Config = Config(), filtered: bool = True) -> DataFrame:
+    """Dense series with time index and target, from the sparse form.
+
+    The filter acts before densifying.  The day axis starts at the earliest first sale of
+    all series, kept or not.
+    """
+    first_day = observed.agg(F.min("series_first_date")).scalar()
     if filtered:
-        observed = panel.keep_usable(observed, cfg)
-    grid = panel.densify(panel.with_tenure(observed)).drop(*CALENDAR_COLUMNS)
+        observed = panel.where_usable(observed, cfg)
+    grid = panel.densify(observed.drop(*panel.STAT_COLUMNS)).drop(*CALENDAR_COLUMNS)
     return features.with_target(panel.with_time_index(grid, first_day), cfg)
 
 
+def core_series(fact: DataFrame, cfg: Config = Config(), filtered: bool = True,
+                order: list[str] | None = None) -> DataFrame:
+    """Dense series straight from a fact: all that forecasting itself needs."""
+    return dense_series(observe(fact, cfg, order), cfg, filtered)
+
+
 def prepare(fact: DataFrame, cfg: Config = Config(), filtered: bool = True,
             order: list[str] | None = None) -> Prepared:
     """Coerce, impute, dedup, calendar, grid, features, filter: all lazy but the date range.
