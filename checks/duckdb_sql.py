@@ -473,6 +473,18 @@ def oracles() -> dict[str, str]:
       ingest_key DESC, ingest_line DESC, response_result DESC, payment_type DESC,
       transaction_type DESC, amount_gbp DESC NULLS LAST) AS k FROM txn) WHERE k = 1"""
 
+    out["imputed_after_copies"] = ctes(txn(), """med AS (SELECT merchant_id,
+    MEDIAN(CAST(amount_gbp AS DOUBLE)) AS m FROM txn WHERE amount_gbp > 0 GROUP BY 1)""") + f"""SELECT
+    merchant_id, request_date, ingest_key, ingest_line,
+    {r('CASE WHEN missing THEN COALESCE(m, 0) ELSE CAST(amount_gbp AS DOUBLE) END', 6,
+       'daily_successful_amount_gbp')},
+    CASE WHEN missing THEN 1.0 ELSE 0.0 END::DOUBLE AS target_imputed
+    FROM (SELECT *, amount_gbp IS NULL AND UPPER(response_result) = 'SUCCESS' AS missing,
+        ROW_NUMBER() OVER (PARTITION BY merchant_id, request_date ORDER BY ingest_key DESC,
+          ingest_line DESC, amount_gbp DESC NULLS LAST,
+          (UPPER(response_result) = 'SUCCESS') DESC) AS k FROM txn)
+    LEFT JOIN med USING (merchant_id) WHERE k = 1"""
+
     days = "SELECT DISTINCT request_date FROM txn"
     out["calendar_lookup"] = ctes(txn(), HOLIDAY) + (
         f"SELECT request_date, {calendar_select('request_date', FLAG)} FROM ({days})")

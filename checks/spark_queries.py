@@ -118,6 +118,18 @@ def coerced_attributes(spark, folder):
                        "iso_name", "merchant_created_datetime", "unknown_amount")
 
 
+@query
+def imputed_after_copies(spark, folder):
+    """Rows of the log as copies of a day: medians over all of them, the last one kept."""
+    rows = log(spark, folder).select(
+        DATE, MERCHANT, "ingest_key", "ingest_line", F.col("amount_gbp").alias(CFG.raw_target),
+        F.when(F.upper("response_result") == "SUCCESS", 1.0).otherwise(0.0)
+        .alias("daily_successful_transaction_count"))
+    kept = clean_fact(rows, CFG, ["ingest_key", "ingest_line"])
+    return kept.select(MERCHANT, DATE, "ingest_key", "ingest_line", r(CFG.raw_target),
+                       "target_imputed")
+
+
 @query
 def latest_row_per_day(spark, folder):
     rows = log(spark, folder).drop("iso_id")
@@ -488,15 +500,21 @@ def history_and_future(spark, folder):
 
 @query
 def future_batch_vs_single(spark, folder):
-    """Every merchant built alone against the batch; the stalest, newest and shortest all occur."""
+    """The stalest, shortest and largest merchant, each built alone, against the batch."""
     ready, calendar = _future(spark, folder)
     panel = snapshot(ready.panel, "panel")
+    ends = panel.groupBy(MERCHANT).agg(F.max(TIME).alias("t"), F.count(F.lit(1)).alias("n"),
+                                       F.avg(CFG.raw_target).alias("v"))
+    chosen = ends.agg(F.min_by(MERCHANT, F.struct("t", MERCHANT)),
+                      F.min_by(MERCHANT, F.struct("n", MERCHANT)),
+                      F.max_by(MERCHANT, F.struct("v", MERCHANT))).first()
     batch = pnl.with_future(panel, calendar, ready.ratio_names, CFG)
-    stalest = panel.groupBy(MERCHANT).agg(F.max(TIME).alias("t")).orderBy("t", MERCHANT)
-    chosen = stalest.first()[MERCHANT]
-    single = pnl.single_future(panel, chosen, calendar, ready.ratio_names, CFG)
-    return quality.table_differences(single, batch.where(F.col(MERCHANT) == chosen)).select(
-        "only_left", "only_right")
+    singles = None
+    for merchant in sorted(set(chosen)):
+        one = pnl.single_future(panel, merchant, calendar, ready.ratio_names, CFG)
+        singles = one if singles is None else singles.unionByName(one)
+    return quality.table_differences(
+        singles, batch.where(F.col(MERCHANT).isin(*chosen))).select("only_left", "only_right")
 
 
 @query

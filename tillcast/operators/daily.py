@@ -13,6 +13,7 @@ from tillcast.config import (
 from tillcast.functions.columns import (
     as_date, as_double, as_identifier, equals_folded, is_true, or_unknown,
 )
+from tillcast.functions.stats import exact_percentiles
 
 
 def _money(condition: Column) -> Column:
@@ -100,22 +101,35 @@ def coerce_fact(fact: DataFrame) -> DataFrame:
     return fact.where(F.col(MERCHANT).isNotNull()).withColumns(changed)
 
 
-def impute_revenue(fact: DataFrame, cfg: Config = Config()) -> DataFrame:
+def positive_medians(fact: DataFrame, cfg: Config = Config()) -> DataFrame:
+    """Each merchant's median over rows with revenue, however many copies of a day there are."""
+    sold = fact.where(F.col(cfg.raw_target) > 0)
+    return exact_percentiles(sold, cfg.raw_target, [0.5], [MERCHANT]).select(
+        MERCHANT, F.col("percentiles")[0].alias("_median"))
+
+
+def impute_revenue(fact: DataFrame, cfg: Config = Config(), medians: DataFrame | None = None
+                   ) -> DataFrame:
     """Fill revenue that is NULL although payments succeeded; flag it as ``target_imputed``.
 
-    The fill is the merchant's median over its days with revenue, or 0 without any.  A
-    merchant has at most one row per day here, so the median's state is a few thousand values.
+    The fill is the merchant's median over its rows with revenue, or 0 without any.  The
+    fact must hold one row per merchant and day: the median is then a window whose state is
+    a few thousand values, on the partitioning that the series need anyway.  Medians over
+    more rows than that come in ready-made.
     """
     revenue = F.col(cfg.raw_target)
     if "daily_successful_transaction_count" not in fact.columns:
         return fact.withColumn("target_imputed", F.lit(0.0))
     lacking = revenue.isNull() & (F.coalesce("daily_successful_transaction_count", F.lit(0.0)) > 0)
-    whole = W.partitionBy(MERCHANT).orderBy(DATE).rowsBetween(
-        W.unboundedPreceding, W.unboundedFollowing)
-    median = F.percentile(F.when(revenue > 0, revenue), F.lit(0.5)).over(whole)
+    if medians is None:
+        whole = W.partitionBy(MERCHANT).orderBy(DATE).rowsBetween(
+            W.unboundedPreceding, W.unboundedFollowing)
+        median = F.percentile(F.when(revenue > 0, revenue), F.lit(0.5)).over(whole)
+        fact = fact.withColumn("_median", median)
+    else:
+        fact = fact.join(medians, MERCHANT, "left")
     return (
-        fact.withColumn("_median", median)
-        .withColumn("target_imputed", F.when(lacking, 1.0).otherwise(0.0))
+        fact.withColumn("target_imputed", F.when(lacking, 1.0).otherwise(0.0))
         .withColumn(cfg.raw_target,
                     F.when(lacking, F.coalesce("_median", F.lit(0.0))).otherwise(revenue))
         .drop("_median")

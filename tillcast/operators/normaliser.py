@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tillcast.config import Config, MERCHANT, TIME
+from tillcast.functions.joins import lookup_join
 from tillcast.functions.staging import staging_folder
 from tillcast.functions.stats import exact_percentiles
 
@@ -35,7 +36,7 @@ def category_codes(frame: DataFrame, column: str) -> DataFrame:
 def encode(frame: DataFrame, column: str, codes: DataFrame) -> DataFrame:
     """Add ``<column>_code``; NULL and unseen values get 0."""
     lookup = codes.select(F.col("value").alias(column), F.col("code").alias(f"{column}_code"))
-    return (frame.join(lookup, column, "left")
+    return (lookup_join(frame, lookup, column)
             .withColumn(f"{column}_code", F.coalesce(f"{column}_code", F.lit(0))))
 
 

@@ -26,9 +26,17 @@ class Prepared:
 
 
 def clean_fact(fact: DataFrame, cfg: Config = Config(), order: list[str] | None = None) -> DataFrame:
-    """Coerce, impute, and (given an order of arrival) keep the last row per merchant-day."""
-    fact = daily.impute_revenue(daily.coerce_fact(fact), cfg)
-    return daily.latest_per_day(fact, order) if order else fact
+    """Coerced and imputed, one row per merchant and day.
+
+    A fact that may hold copies of a day needs its order of arrival: the last row counts.
+    Medians are taken over all copies, as they come before the copies go; the fill itself
+    waits until each merchant is down to one row per day.
+    """
+    fact = daily.coerce_fact(fact)
+    if not order:
+        return daily.impute_revenue(fact, cfg)
+    medians = daily.positive_medians(fact, cfg)
+    return daily.impute_revenue(daily.latest_per_day(fact, order), cfg, medians)
 
 
 def observe(fact: DataFrame, cfg: Config = Config(), order: list[str] | None = None) -> DataFrame:
