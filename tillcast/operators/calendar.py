@@ -122,11 +122,14 @@ def calendar_lookup(fact: DataFrame, order: str | None = None) -> DataFrame:
     columns are taken as functions of the date, as the daily fact makes them.
     """
     present = [c for c in CALENDAR_COLUMNS if c in fact.columns]
+    # Hashing the few distinct rows per date first spares sorting the fact for its texts.
     if order is None:
-        lookup = fact.groupBy(DATE).agg(*[F.max(c).alias(c) for c in present])
+        lookup = fact.select(DATE, *present).distinct().groupBy(DATE).agg(
+            *[F.max(c).alias(c) for c in present])
     else:
-        first = F.min_by(F.struct(*present), order).alias("_first")
-        lookup = fact.groupBy(DATE).agg(first).select(DATE, "_first.*")
+        earliest = fact.groupBy(DATE, *present).agg(F.min(order).alias("_order"))
+        first = F.min_by(F.struct(*present), "_order").alias("_first")
+        lookup = earliest.groupBy(DATE).agg(first).select(DATE, "_first.*")
     if "is_uk_bank_holiday" in present:
         lookup = lookup.withColumn("is_uk_bank_holiday", text_flag("is_uk_bank_holiday"))
     return lookup

@@ -16,16 +16,19 @@ STALE_DAYS = 30
 
 
 def merchant_history(series: DataFrame, train_cutoff: Column, cfg: Config = Config()) -> DataFrame:
-    """Per merchant: history size, last day and name, recent level, training days."""
-    recent = F.col("series_last_idx") - F.col(TIME) < cfg.recent_days
-    named = F.when(F.col("merchant_name").isNotNull(), F.col(TIME))
-    return series.groupBy(MERCHANT).agg(
-        F.max_by("merchant_name", named).alias("merchant_name"),
-        F.count(F.lit(1)).alias("history_days"),
-        F.max(DATE).alias("last_observed_date"),
-        F.max(TIME).alias("last_time_idx"),
-        F.avg(F.when(recent, F.col(cfg.raw_target))).alias("recent28_mean_gbp"),
-        F.count_if(F.col(TIME) <= train_cutoff).alias("train_days"))
+    """Per merchant: history size, last day and name, recent level, training days.
+
+    A dense series tells its length and its training days from its two ends, and its last
+    row holds the latest known name.  Only the recent days are aggregated.
+    """
+    start, last = F.col("series_start_idx"), F.col("series_last_idx")
+    newest = series.where(F.col(TIME) == last).select(
+        MERCHANT, "merchant_name", (last - start + 1).alias("history_days"),
+        F.col(DATE).alias("last_observed_date"), last.alias("last_time_idx"),
+        F.greatest(F.lit(0), F.least(last, train_cutoff) - start + 1).alias("train_days"))
+    recent = series.where(last - F.col(TIME) < cfg.recent_days).groupBy(MERCHANT).agg(
+        F.avg(cfg.raw_target).alias("recent28_mean_gbp"))
+    return newest.join(recent, MERCHANT)
 
 
 def horizon_totals(table: DataFrame) -> DataFrame:
