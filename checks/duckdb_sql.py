@@ -730,7 +730,7 @@ rep AS (SELECT *, hm / GREATEST(rm, 1e-9) AS lr, he / GREATEST(hm, 1e-9) AS dr F
     {r('rmed', 2, 'recent_median_gbp')}, {r('hm', 2, 'horizon_mean_median_gbp')},
     {r('he', 2, 'horizon_mean_expected_gbp')}, {r('tm', 2, 'horizon_total_median_gbp')},
     {r('te', 2, 'horizon_total_expected_gbp')}, CAST(0 AS BIGINT) AS quantile_crossings,
-    {r('lr', 6, 'level_ratio')}, {r('dr', 6, 'dispersion_ratio')},
+    {r('LN(1 + lr)', 6, 'level_ratio_log1p')}, {r('LN(1 + dr)', 6, 'dispersion_ratio_log1p')},
     lr BETWEEN 0.2 AND 5 AS level_plausible, dr <= 6 AS dispersion_ok FROM rep"""
     pairs = (("daily_successful_transaction_count", "log_success_count"),
              ("daily_unsuccessful_amount_gbp", "log_unsuccessful_gbp"),

@@ -711,11 +711,14 @@ def missing_forecasts(spark, folder):
 
 @query
 def merchant_report(spark, folder):
+    """Ratios as log1p: floored denominators make them as large as 1e12."""
     run = _table(spark, folder)
     report = summary.merchant_report(run.series, run.table, "1", CFG)
     money = [c for c in report.columns if c.endswith("_gbp")]
-    return report.withColumns({**{c: r(F.col(c), 2) for c in money},
-                               **{c: r(F.col(c)) for c in ("level_ratio", "dispersion_ratio")}})
+    return report.withColumns({
+        **{c: r(F.col(c), 2) for c in money},
+        **{f"{c}_log1p": r(F.log1p(c)) for c in ("level_ratio", "dispersion_ratio")},
+    }).drop("level_ratio", "dispersion_ratio")
 
 
 @query

@@ -1,10 +1,12 @@
 """Every registered query against its SQL, on the smallest test tables."""
 
+import functools
 import os
 
 import pytest
 
 import __spark_entry__ as registry
+from checks import spark_queries
 from checks.compare import connect, differences
 
 FOLDER = "/root/testdata/sf0.001"
@@ -18,6 +20,16 @@ def duck():
     return connect(FOLDER)
 
 
+@pytest.fixture(scope="module", autouse=True)
+def shared_tables():
+    """Store each fact and series once for all queries of this file."""
+    patch = pytest.MonkeyPatch()
+    for name in ("stored_fact", "stored_series"):
+        patch.setattr(spark_queries, name, functools.cache(getattr(spark_queries, name)))
+    yield
+    patch.undo()
+
+
 def test_every_oracle_has_a_query():
     assert set(registry.oracle_sql()) <= set(registry.queries())
     assert len(registry.queries()) >= 70
