@@ -453,6 +453,8 @@ def oracles() -> dict[str, str]:
     out["daily_fact_strict_returns"] = ctes(txn()) + """SELECT DISTINCT request_date, merchant_id,
     CAST(0 AS DOUBLE) AS daily_refund_amount_gbp, CAST(0 AS DOUBLE) AS daily_void_amount_gbp
     FROM txn"""
+    out["log_size"] = ctes(txn()) + """SELECT COUNT(*) AS rows, CAST(28 AS INT) AS columns,
+    COUNT(*) FILTER (WHERE merchant_id IS NULL) AS without_merchant FROM txn"""
     out["presentation_cutoff"] = ctes(txn(), fact()) + """SELECT
     CAST(year(request_date) AS INT) AS calendar_year,
     CAST(month(request_date) AS INT) AS calendar_month, COUNT(*) AS merchant_days,
@@ -604,6 +606,13 @@ def oracles() -> dict[str, str]:
     out["informative_columns"] = spread + " UNION ALL ".join(
         f"""SELECT '{c}' AS column_name FROM panel WHERE time_idx <= (SELECT sel_cutoff FROM cut)
     HAVING STDDEV_SAMP({c}) > 1e-6""" for c in observed)
+    out["group_mask"] = ctes(*base("nation"), CUT) + f"""SELECT o.*, draw < 1500 AS masked,
+    CASE WHEN draw < 1500 THEN 0 ELSE code END AS merchant_id_code
+    FROM (SELECT *, CAST('0x' || substr(md5(merchant_id || '|' || origin_time_idx || '|42'), 1, 8)
+        AS BIGINT) % 10000 AS draw FROM ({VALIDATION})) AS d
+    JOIN (SELECT merchant_id, ROW_NUMBER() OVER (ORDER BY merchant_id) AS code
+      FROM (SELECT DISTINCT merchant_id FROM series)) AS c USING (merchant_id)
+    JOIN ({VALIDATION}) AS o USING (merchant_id, origin_time_idx)"""
     out["scale_alignment"] = ctes(*base("nation"), CUT, FIT, f"""orig AS (
   SELECT 'validation' AS part, merchant_id FROM ({VALIDATION})
   UNION ALL SELECT 'holdout', merchant_id FROM ({HOLDOUT}))""") + """SELECT part,
@@ -732,6 +741,12 @@ rep AS (SELECT *, hm / GREATEST(rm, 1e-9) AS lr, he / GREATEST(hm, 1e-9) AS dr F
     {r('te', 2, 'horizon_total_expected_gbp')}, CAST(0 AS BIGINT) AS quantile_crossings,
     {r('LN(1 + lr)', 6, 'level_ratio_log1p')}, {r('LN(1 + dr)', 6, 'dispersion_ratio_log1p')},
     lr BETWEEN 0.2 AND 5 AS level_plausible, dr <= 6 AS dispersion_ok FROM rep"""
+    out["merchant_bands"] = ctes(*base("nation")) + f"""SELECT merchant_id,
+    {r('AVG(v)', 4, 'mean_daily_gbp')}, {BAND.format(x='AVG(v)')} AS band FROM series GROUP BY 1"""
+    out["training_days"] = ctes(*base("nation"), CUT) + """SELECT merchant_id,
+    COUNT(*) FILTER (WHERE time_idx <= sel_cutoff) AS train_days,
+    COUNT(*) FILTER (WHERE time_idx <= sel_cutoff) >= 119 AS had_training_windows
+    FROM series, cut GROUP BY 1"""
     pairs = (("daily_successful_transaction_count", "log_success_count"),
              ("daily_unsuccessful_amount_gbp", "log_unsuccessful_gbp"),
              ("daily_successful_amount_gbp", "tpv"))

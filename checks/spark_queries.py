@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tillcast.config import (
     CALENDAR_COLUMNS, COUNT_COLUMNS, Config, DATE, MERCHANT, MERCHANT_ATTRIBUTES, TIME,
 )
+from tillcast.functions.columns import size_band
 from tillcast.functions.quantiles import quantile_name
 from tillcast.functions.staging import snapshot, staging_folder
 from tillcast.functions.stats import exact_percentiles
@@ -96,6 +97,13 @@ def daily_fact_strict_returns(spark, folder):
         "daily_void_amount_gbp"))
 
 
+@query
+def log_size(spark, folder):
+    rows = log(spark, folder, calendar=True)
+    return readers.frame_size(rows).withColumn(
+        "without_merchant", quality.null_merchant_rows(rows).select("without_merchant").scalar())
+
+
 @query
 def presentation_cutoff(spark, folder):
     rows = daily.without_months(log(spark, folder, calendar=True), 1998, ["June", "July"])
@@ -155,7 +163,7 @@ def calendar_lookup(spark, folder):
 @query
 def calendar_dim(spark, folder):
     days = log(spark, folder).select(DATE).distinct()
-    return cal.calendar_from_dates(days, cal.bank_holidays(spark, *fixture.HOLIDAY_YEARS))
+    return cal.calendar_from_dates(days, cal.bank_holidays(spark, *fixture.CALENDAR_YEARS))
 
 
 @query
@@ -721,6 +729,22 @@ def merchant_report(spark, folder):
     }).drop("level_ratio", "dispersion_ratio")
 
 
+@query
+def merchant_bands(spark, folder):
+    levels = metrics.merchant_level(stored_series(spark, folder, "nation"), CFG)
+    return levels.select(MERCHANT, r("mean_daily_gbp", 4),
+                         size_band(F.col("mean_daily_gbp")).alias("band"))
+
+
+@query
+def training_days(spark, folder):
+    series = stored_series(spark, folder, "nation")
+    cutoff = pnl.Split(series, CFG).train_cutoff
+    return summary.merchant_history(series, cutoff, CFG).select(
+        MERCHANT, "train_days", (F.col("train_days") >= CFG.training_window_days).alias(
+            "had_training_windows"))
+
+
 @query
 def whale_share(spark, folder):
     panel = snapshot(prepared(spark, folder, "nation").panel.select(

@@ -82,9 +82,12 @@ def mask_identity(origins: DataFrame, cfg: Config = Config(), code: str = "merch
                   ) -> DataFrame:
     """Set the identity code of a share of the windows to unknown, a whole window at a time.
 
-    The draw is a hash of merchant, origin and seed: it repeats on retries and reruns.
+    The draw is a digest of merchant, origin and seed: it repeats on retries and reruns, and
+    other engines can draw the same.
     """
-    draw = F.pmod(F.xxhash64(MERCHANT, "origin_time_idx", F.lit(cfg.seed)), F.lit(10_000))
+    digest = F.md5(F.concat_ws("|", MERCHANT, F.col("origin_time_idx").cast("string"),
+                               F.lit(str(cfg.seed))))
+    draw = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % 10_000
     masked = draw < int(cfg.group_id_dropout * 10_000)
     return origins.withColumn("masked", masked).withColumn(
         code, F.when(masked, F.lit(0)).otherwise(F.col(code)))

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from tillcast.config import CALENDAR_COLUMNS, Config, DATE, MERCHANT, TIME
+from tillcast.functions.staging import snapshot
 from tillcast.operators import calendar as cal
 from tillcast.operators import daily, features, panel
 
@@ -70,12 +71,13 @@ def core_series(fact: DataFrame, cfg: Config = Config(), filtered: bool = True,
 
 def prepare(fact: DataFrame, cfg: Config = Config(), filtered: bool = True,
             order: list[str] | None = None) -> Prepared:
-    """Coerce, impute, dedup, calendar, grid, features, filter: all lazy but the date range.
+    """Coerce, impute, dedup, calendar, grid, features, filter: lazy but for the calendar.
 
     Pass a stored fact (see ``snapshot``): the panel, its calendar and the day axis each
-    read it, and none of them should go back to the raw log.
+    read it, and none of them should go back to the raw log.  The calendar lookup, one row
+    per date, is stored because the date features refer to it several times.
     """
-    lookup = cal.calendar_lookup(daily.coerce_fact(fact))
+    lookup = snapshot(cal.calendar_lookup(daily.coerce_fact(fact)), "calendar")
     covered = cal.covered_range(lookup)
     series = core_series(fact, cfg, filtered, order)
     frame = cal.calendar_features(lookup, covered).attach(series)

@@ -7,13 +7,12 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tillcast.config import DATE
-from tillcast.functions.dates import calendar_columns
-from tillcast.operators.calendar import bank_holidays
+from tillcast.operators.calendar import bank_holidays, calendar_from_dates, days_between
 from tillcast.sources.readers import spread
 
 MERCHANT_KEYS = {"supplier": "l_suppkey", "nation": "n_nationkey", "region": "r_regionkey"}
-# Fixed years, so that the holiday table is a plain range of known size.
-HOLIDAY_YEARS = (dt.date(1992, 1, 1), dt.date(2010, 12, 31))
+# The test tables run from 1995 to 2001.  Fixed years give the calendar a known size.
+CALENDAR_YEARS = (dt.date(1992, 1, 1), dt.date(2010, 12, 31))
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -77,12 +76,14 @@ def transactions(spark: SparkSession, folder: str, merchant: str = "supplier") -
 
 
 def with_warehouse_calendar(log: DataFrame) -> DataFrame:
-    """Add the ten calendar columns that a warehouse log carries on each row."""
-    holidays = bank_holidays(log.sparkSession, *HOLIDAY_YEARS).select(
-        F.col("holiday_date").alias(DATE), F.lit(True).alias("_holiday"))
-    joined = log.join(F.broadcast(holidays), DATE, "left")
-    flags = calendar_columns(F.col(DATE), F.coalesce("_holiday", F.lit(False)))
-    return joined.withColumns(flags).drop("_holiday")
+    """Add the ten calendar columns that a warehouse log carries on each row.
+
+    They come from a table of the fixed years' days, some 7,000 rows.
+    """
+    spark = log.sparkSession
+    days = days_between(spark, *CALENDAR_YEARS)
+    table = calendar_from_dates(days, bank_holidays(spark, *CALENDAR_YEARS))
+    return log.join(F.broadcast(table), DATE, "left")
 
 
 def event_revenue(spark: SparkSession, folder: str) -> DataFrame:
