@@ -640,8 +640,7 @@ def forecast_metrics(spark, folder):
 
 @query
 def metrics_by_split(spark, folder):
-    rows = snapshot(plan.evaluation_rows(stored_series(spark, folder, "nation"), CFG), "predictions")
-    return _rounded_metrics(metrics.forecast_metrics(rows, ["part"], CFG))
+    return _rounded_metrics(plan.evaluate(stored_series(spark, folder, "nation"), CFG))
 
 
 @query

@@ -123,7 +123,9 @@ def calendar_lookup(fact: DataFrame, order: str | None = None) -> DataFrame:
     """
     present = [c for c in CALENDAR_COLUMNS if c in fact.columns]
     # Hashing the few distinct rows per date first spares sorting the fact for its texts.
-    if order is None:
+    if not present:
+        lookup = fact.select(DATE).distinct()
+    elif order is None:
         lookup = fact.select(DATE, *present).distinct().groupBy(DATE).agg(
             *[F.max(c).alias(c) for c in present])
     else:
@@ -143,11 +145,18 @@ def covered_range(lookup: DataFrame) -> tuple[dt.date, dt.date]:
     return row["lo"], row["hi"]
 
 
-def known_holidays(lookup: DataFrame, covered_to: dt.date, frame_end: dt.date) -> DataFrame:
-    """Holidays the warehouse flags, and computed ones after its last date."""
+def known_holidays(lookup: DataFrame, covered: tuple[dt.date, dt.date], frame_end: dt.date
+                   ) -> DataFrame:
+    """Holidays the warehouse flags, and computed ones after its last date.
+
+    A warehouse without the flag leaves all of them to the rules.
+    """
+    first, last = covered
+    reach = max(frame_end, last) + dt.timedelta(days=HOLIDAY_LOOKAHEAD_DAYS)
+    if "is_uk_bank_holiday" not in lookup.columns:
+        return bank_holidays(lookup.sparkSession, first, reach)
     flagged = lookup.where("is_uk_bank_holiday").select(F.col(DATE).alias("holiday_date"))
-    reach = max(frame_end, covered_to) + dt.timedelta(days=HOLIDAY_LOOKAHEAD_DAYS)
-    computed = bank_holidays(lookup.sparkSession, covered_to + dt.timedelta(days=1), reach)
+    computed = bank_holidays(lookup.sparkSession, last + dt.timedelta(days=1), reach)
     return flagged.unionByName(computed).distinct()
 
 
@@ -183,7 +192,7 @@ def calendar_features(lookup: DataFrame, covered: tuple[dt.date, dt.date],
     frame_end = max(frame_end or last, last)
     spark = lookup.sparkSession
     days = days_between(spark, first, frame_end)
-    holidays = known_holidays(lookup, last, frame_end)
+    holidays = known_holidays(lookup, covered, frame_end)
     is_known = holidays.select(F.col("holiday_date").alias(DATE), F.lit(True).alias("_holiday"))
     formulas = calendar_columns(F.col(DATE), F.coalesce("_holiday", F.lit(False)))
     lookup = lookup.select(DATE, *[F.col(c).alias(f"_{c}") for c in lookup.columns if c != DATE])

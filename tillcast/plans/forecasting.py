@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tillcast.config import Config, DATE, MERCHANT, TIME
+from tillcast.functions.staging import snapshot
 from tillcast.operators import baselines, forecast as fc, metrics, panel, rollup, summary
 
 
@@ -53,8 +54,9 @@ def evaluation_rows(series: DataFrame, cfg: Config = Config(),
 
 
 def evaluate(series: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """All metrics by part."""
-    return metrics.forecast_metrics(evaluation_rows(series, cfg), ["part"], cfg)
+    """All metrics by part.  The rows are stored, as several statistics pass over them."""
+    rows = snapshot(evaluation_rows(series, cfg), "predictions")
+    return metrics.forecast_metrics(rows, ["part"], cfg)
 
 
 def holdout_baselines(series: DataFrame, cfg: Config = Config()) -> DataFrame:
