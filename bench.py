@@ -29,6 +29,7 @@ def session() -> SparkSession:
     spark = (SparkSession.builder.master(f"local[{CPUS}]").appName("tillcast-bench")
              .config("spark.sql.shuffle.partitions", CPUS)
              .config("spark.sql.session.timeZone", "UTC")
+             .config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "4096")
              .config("spark.ui.enabled", "false")
              .config("spark.ui.showConsoleProgress", "false")
              .config("spark.driver.memory", "16g").getOrCreate())
