@@ -30,7 +30,9 @@ from pyspark.sql import types as T
 from tillcast.llm.common import fresh
 
 LONG = 64
-CACHE = 500_000
+#: Words kept by a worker, about 400 bytes each, and texts encoded at a time.
+CACHE = 150_000
+TEXTS = 512
 _SPACES = regex.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 NO_RANK = 1 << 60
 
@@ -173,7 +175,8 @@ def encode(docs: DataFrame, path: str, text_column: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(path)
         for batch in batches:
-            yield _encoded(pieces, batch, len(others), names)
+            for start in range(0, batch.num_rows, TEXTS):
+                yield _encoded(pieces, batch.slice(start, TEXTS), len(others), names)
 
     return frame.mapInArrow(run, schema)
 
