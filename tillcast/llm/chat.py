@@ -75,17 +75,17 @@ class ReplyPaths:
         step = snapshot(messages.where("parent IS NOT NULL AND parent != node")
                         .select(*NODE, F.col("parent").alias("up")).distinct()
                         .join(exists, ["tree", "up"], "left_semi").select(*NODE, "up"), "parents")
-        levels, reach = [], 1
+        levels, reach, endless = [], 1, None
         while not step.isEmpty():
-            levels.append(step)
             if reach > size:
+                # Only below a cycle can one climb more steps than the tree has messages.
+                endless = step.select(*NODE).distinct()
                 break
+            levels.append(step)
             higher = step.select("tree", F.col("node").alias("up"), F.col("up").alias("top"))
             step = snapshot(step.join(higher, ["tree", "up"])
                             .select(*NODE, F.col("top").alias("up")), "ancestors")
             reach *= 2
-        # Only below a cycle can one climb more steps than the tree has messages.
-        endless = levels.pop().select(*NODE).distinct() if levels and reach > size else None
         parents = levels[0].select("tree", F.col("up").alias("node")).distinct() if levels else None
         leaves = nodes if parents is None else nodes.join(parents, NODE, "left_anti")
         if endless is not None:

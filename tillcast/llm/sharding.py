@@ -72,6 +72,8 @@ def _bundle(part: pd.DataFrame) -> pd.DataFrame:
 
 def assign(groups: DataFrame, shards: int, last: int = LAST, part: int = PART) -> DataFrame:
     """(item, shard) for (item, size): groups of a unique text key and a size in bytes."""
+    if last < BUNDLES or part < 2 * BUNDLES:
+        raise ValueError(f"rounds only shrink with last >= {BUNDLES} and part >= {2 * BUNDLES}")
     spark = groups.sparkSession
     items = snapshot(groups.select("item", "size"), "groups")
     largest = items.orderBy(F.desc("size"), "item").limit(last)
@@ -91,7 +93,8 @@ def assign(groups: DataFrame, shards: int, last: int = LAST, part: int = PART) -
             "bundle", F.concat_ws("/", F.lit(f"bundle {level}"), "part", "bin")), "bundles")
         step = bound.select("item", "bundle")
         placed = step if placed is None else (
-            placed.join(step.withColumnsRenamed({"item": "bundle", "bundle": "next"}), "bundle")
+            placed.join(step.select(F.col("item").alias("bundle"), F.col("bundle").alias("next")),
+                        "bundle")
             .select("item", F.col("next").alias("bundle")))
         rest = bound.groupBy(F.col("bundle").alias("item")).agg(F.sum("size").alias("size"))
         count = rest.count()
