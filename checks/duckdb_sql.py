@@ -792,6 +792,10 @@ rep AS (SELECT *, hm / GREATEST(rm, 1e-9) AS lr, he / GREATEST(hm, 1e-9) AS dr F
     out["forecast_files_scan"] = ctes(*base("region"), *latest) + f"""SELECT
     CAST(merchant_id AS BIGINT) AS merchant_id, time_idx, date AS request_date,
     {', '.join(r(c, 4) for c in ('q35', 'q50', 'q65', 'expected_gbp'))} FROM tab"""
+    for name, numbered in (("monthly_rollup_text_ids", "monthly_rollup"),
+                           ("forecast_files_text_ids", "forecast_files_scan")):
+        head, tail = out[numbered].rsplit("CAST(merchant_id AS BIGINT) AS merchant_id", 1)
+        out[name] = head + "'S-' || merchant_id || ' a/b+50%' AS merchant_id" + tail
     out["event_series"] = ctes("""clean AS (SELECT CAST(ts AS DATE) AS request_date,
     CAST(user_id AS VARCHAR) AS merchant_id, COUNT(*) AS n,
     CAST(SUM(CASE WHEN event_type <> 'error' THEN CAST(value AS DECIMAL(18,2)) ELSE 0 END)

@@ -787,10 +787,28 @@ def _rounded_months(months):
                                if c.startswith("daily_")})
 
 
+def _numbered(rows):
+    """The test tables' merchants are numbers."""
+    return rows.withColumn(MERCHANT, F.col(MERCHANT).cast("long"))
+
+
+def _labelled(rows):
+    """Merchants under ids that are no numbers and no plain folder names."""
+    return rows.withColumn(MERCHANT, F.concat(F.lit("S-"), MERCHANT, F.lit(" a/b+50%")))
+
+
 @query
 def monthly_rollup(spark, folder):
     source = snapshot(slim_fact(spark, folder, "region"), "fact")
     series = core_series(source, CFG).select(*core_columns(CFG))
+    return _numbered(_rounded_months(
+        plan.monthly(source, plan.Forecasts(series, CFG).table, CFG)))
+
+
+@query
+def monthly_rollup_text_ids(spark, folder):
+    source = snapshot(_labelled(slim_fact(spark, folder, "region")), "fact")
+    series = core_series(source, CFG).select(*core_columns(CFG))
     return _rounded_months(plan.monthly(source, plan.Forecasts(series, CFG).table, CFG))
 
 
@@ -798,7 +816,8 @@ def monthly_rollup(spark, folder):
 def monthly_rollup_by_supplier(spark, folder):
     source = snapshot(slim_fact(spark, folder), "fact")
     series = core_series(source, CFG).select(*core_columns(CFG))
-    return _rounded_months(plan.monthly(source, plan.Forecasts(series, CFG).table, CFG))
+    return _numbered(_rounded_months(
+        plan.monthly(source, plan.Forecasts(series, CFG).table, CFG)))
 
 
 @query
@@ -806,11 +825,20 @@ def forecast_files_scan(spark, folder):
     """Forecast files written per merchant, read back by path and consolidated."""
     target = f"{staging_folder(spark).rstrip('/')}/forecast-files-{uuid.uuid4().hex}"
     sinks.write_forecasts(_table(spark, folder).table, target, CFG)
-    rows = readers.read_forecasts(spark, target)
+    rows = _numbered(readers.read_forecasts(spark, target))
     return rows.select(MERCHANT, TIME, DATE, *[r(c, 4) for c in (
         "q35", "q50", "q65", "expected_gbp")])
 
 
+@query
+def forecast_files_text_ids(spark, folder):
+    """The same for merchants whose ids a folder's name must escape."""
+    target = f"{staging_folder(spark).rstrip('/')}/forecast-files-{uuid.uuid4().hex}"
+    sinks.write_forecasts(_labelled(_table(spark, folder).table), target, CFG)
+    return readers.read_forecasts(spark, target).select(
+        MERCHANT, TIME, DATE, *[r(c, 4) for c in ("q35", "q50", "q65", "expected_gbp")])
+
+
 @query
 def event_series(spark, folder):
     """The other fixture: a week's horizon over a month of user events."""

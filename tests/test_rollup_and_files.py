@@ -63,11 +63,11 @@ HEADER = "time_idx,date,q35,q50,q65,expected_gbp\n"
 def test_reads_flat_files_by_name(spark, tmp_path):
     (tmp_path / "forecast_merchant_12.csv").write_text(HEADER + "5,2024-02-01,1.0,2.0,3.0,2.5\n")
     (tmp_path / "forecast_merchant_7.csv").write_text(HEADER + "6,2024-02-02,,2.0,3.0,2.5\n")
-    (tmp_path / "forecast_merchant_x.csv").write_text(HEADER + "1,2024-02-02,1,1,1,1\n")
+    (tmp_path / "forecast_merchant_M-1 x+%.csv").write_text(HEADER + "1,2024-02-02,1,1,1,1\n")
     (tmp_path / "notes.csv").write_text("a\n1\n")
     rows = readers.read_forecasts(spark, str(tmp_path)).orderBy("merchant_id").collect()
     assert [(r.merchant_id, r.time_idx, r.request_date.day, r.q35) for r in rows] == [
-        (7, 6, 2, None), (12, 5, 1, 1.0)]
+        ("12", 5, 1, 1.0), ("7", 6, 2, None), ("M-1 x+%", 1, 2, 1.0)]
 
 
 @pytest.fixture
@@ -83,7 +83,7 @@ def test_written_forecasts_come_back(spark, run, tmp_path):
     assert folders == ["merchant_id=12", "merchant_id=34"]
     assert len(list((tmp_path / "forecasts" / "merchant_id=12").glob("*.csv"))) == 1
     back = readers.read_forecasts(spark, folder)
-    sent = run.table.select(F.col("merchant_id").cast("long"), "time_idx",
+    sent = run.table.select("merchant_id", "time_idx",
                             F.col("date").alias("request_date"), "q35", "q50", "q65", "expected_gbp")
     same = quality.table_differences(sent, back).first()
     assert (same.rows, same.only_left, same.only_right) == (182, 0, 0)
@@ -93,6 +93,17 @@ def test_written_forecasts_come_back(spark, run, tmp_path):
     assert again.count() == 182
 
 
+def test_no_merchant_is_lost_for_its_id(spark, make_series, make_fact, tmp_path):
+    ids = ["7", "M-1", "a b/c", "x+y=%20", "é"]
+    table = plan.Forecasts(make_series({m: (0, [10.0 + i % 7 for i in range(200)]) for m in ids})).table
+    sinks.write_forecasts(table, str(tmp_path / "out"))
+    back = readers.read_forecasts(spark, str(tmp_path / "out"))
+    assert sorted(r.merchant_id for r in back.select("merchant_id").distinct().collect()) == sorted(ids)
+    fact = make_fact([(m, 199, 5.0, 1) for m in ids])
+    months = plan.monthly(fact, table)
+    assert {r.merchant_id for r in months.collect()} == set(ids)
+
+
 def test_other_sinks(spark, run, make_fact, tmp_path):
     fact = make_fact([("a", 0, 1.0, 1)])
     sinks.write_fact(fact, str(tmp_path / "fact"))

@@ -66,9 +66,9 @@ def holdout_baselines(series: DataFrame, cfg: Config = Config()) -> DataFrame:
 
 
 def monthly(fact: DataFrame, table: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """Monthly rollup of the fact's actuals and a forecast table."""
-    actuals = fact.select(F.col(MERCHANT).try_cast("long").alias(MERCHANT), DATE, cfg.raw_target)
+    """Monthly rollup of the fact's actuals and a forecast table.  Merchant ids are text."""
+    actuals = fact.select(F.col(MERCHANT).cast("string").alias(MERCHANT), DATE, cfg.raw_target)
     forecasts = fc.report_columns(table, cfg).select(
-        F.col(MERCHANT).try_cast("long").alias(MERCHANT), F.col("date").alias(DATE),
+        F.col(MERCHANT).cast("string").alias(MERCHANT), F.col("date").alias(DATE),
         "q35", "q50", "q65", "expected_gbp")
     return rollup.monthly_rollup(actuals, forecasts, cfg)

@@ -9,14 +9,12 @@ from tillcast.functions.staging import snapshot
 from tillcast.operators import features, learned, normaliser as norm, panel as pnl
 from tillcast.plans.prepare import Prepared
 
-TRAINING_STRIDE = 7
-
-
 def learned_forecast(prepared: Prepared, cfg: Config = Config()) -> DataFrame:
     """``(merchant, origin, step, time_idx, q_log)`` of every merchant's newest origin.
 
-    The panel and the training rows are stored, since the fit passes over them more than
-    once.  Merchants without a scale of their own get the median pair.
+    Every training window takes part in the fit.  The panel is stored; the training rows,
+    one per window and step, are not, since the normal equations need them once.  Merchants
+    without a scale of their own get the median pair.
     """
     panel = snapshot(prepared.panel, "panel")
     roles = features.column_roles(panel.columns, cfg)
@@ -24,10 +22,8 @@ def learned_forecast(prepared: Prepared, cfg: Config = Config()) -> DataFrame:
     fitted = norm.fit_normaliser(panel.where(F.col(TIME) <= split.train_cutoff), cfg)
     pairs = norm.scale_pairs(panel, fitted).drop("cold_start")
     levels = snapshot(learned.encoder_levels(panel, pairs, cfg), "levels")
-    thinned = pnl.window_origins(panel, "train", cfg).where(
-        F.col("origin_time_idx") % TRAINING_STRIDE == 0)
-    training = snapshot(learned.inputs(panel, levels, thinned, roles, cfg), "training")
-    model = learned.fit(training, roles, cfg)
+    windows = pnl.window_origins(panel, "train", cfg)
+    model = learned.fit(learned.inputs(panel, levels, windows, roles, cfg), roles, cfg)
     validation = pnl.window_origins(panel, "validation", cfg)
     errors = snapshot(learned.residuals(
         model, learned.inputs(panel, levels, validation, roles, cfg)), "errors")

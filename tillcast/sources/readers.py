@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from tillcast.config import DATE, MERCHANT
@@ -45,7 +45,8 @@ FORECAST_SCHEMA = T.StructType([
     T.StructField("expected_gbp", T.DoubleType()),
 ])
 # A file named after its merchant, or the folder that a partitioned write makes for it.
-MERCHANT_IN_PATH = r"(?:forecast_merchant_(\d+)\.csv|/merchant_id=(\d+)/[^/]*)$"
+MERCHANT_FILE = r"/forecast_merchant_([^/]+)\.csv$"
+MERCHANT_FOLDER = r"/merchant_id=([^/]+)/[^/]*$"
 # --- end of fixed values ---
 
 
@@ -79,20 +80,28 @@ def frame_size(frame: DataFrame) -> DataFrame:
         "columns", F.lit(len(frame.columns)))
 
 
+def _unescaped(text: Column) -> Column:
+    """Percent codes turned back; a plus sign is itself."""
+    return F.url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
+
+
 def read_forecasts(spark: SparkSession, folder: str) -> DataFrame:
     """All forecast files below a folder, each row with the merchant its path names.
 
     Reads ``forecast_merchant_<id>.csv`` files and the ``merchant_id=<id>`` folders that
-    ``write_forecasts`` makes; other files are passed over.  The date column comes back
-    under the fact's name.
+    ``write_forecasts`` makes; other files are passed over.  Ids are text, as they were
+    before the writer escaped them for a folder's name.  The date column comes back under
+    the fact's name.
     """
     found = (
         spark.read.schema(FORECAST_SCHEMA).option("header", True)
         .option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").csv(folder)
         .select("*", F.col("_metadata.file_path").alias("_path"))
     )
-    merchant = F.concat(F.regexp_extract("_path", MERCHANT_IN_PATH, 1),
-                        F.regexp_extract("_path", MERCHANT_IN_PATH, 2))
+    # The path is an address, itself escaped; a folder's name is escaped once more.
+    path = _unescaped(F.col("_path"))
+    flat, folder_name = (F.regexp_extract(path, p, 1) for p in (MERCHANT_FILE, MERCHANT_FOLDER))
+    merchant = F.when(folder_name != "", _unescaped(folder_name)).otherwise(flat)
     return (found.withColumn(MERCHANT, merchant).where(F.col(MERCHANT) != "")
-            .select(F.col(MERCHANT).cast("long").alias(MERCHANT), "time_idx",
-                    F.col("date").alias(DATE), "q35", "q50", "q65", "expected_gbp"))
+            .select(MERCHANT, "time_idx", F.col("date").alias(DATE), "q35", "q50", "q65",
+                    "expected_gbp"))
