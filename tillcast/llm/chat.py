@@ -98,9 +98,10 @@ class ReplyPaths:
             higher = members.join(levels[power], NODE).select(
                 "tree", "leaf", F.col("up").alias("node"),
                 (F.col("height") + (1 << power)).alias("height"))
-            members = members.unionByName(higher)
+            # Stored at each step: the plan would double with every power of two.
+            members = snapshot(members.unionByName(higher), "paths")
         #: (tree, leaf, node, height above the leaf)
-        self.members = snapshot(members, "paths")
+        self.members = members if levels else snapshot(members, "paths")
 
     def chosen(self, branches: int | None = 1) -> DataFrame:
         """Members of the best paths of each tree; of all paths for None."""
