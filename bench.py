@@ -29,7 +29,6 @@ def session() -> SparkSession:
     spark = (SparkSession.builder.master(f"local[{CPUS}]").appName("tillcast-bench")
              .config("spark.sql.shuffle.partitions", CPUS)
              .config("spark.sql.session.timeZone", "UTC")
-             .config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "4096")
              .config("spark.ui.enabled", "false")
              .config("spark.ui.showConsoleProgress", "false")
              .config("spark.driver.memory", "16g").getOrCreate())
@@ -49,9 +48,9 @@ def main() -> None:
         start = time.perf_counter()
         compute(registered.QUERIES[name](spark, FOLDER))
         seconds[name] = round(time.perf_counter() - start, 3)
-    series = registered.stored_series(spark, FOLDER, "supplier")
+    observed = registered.stored_observed(spark, FOLDER, "supplier")
     start = time.perf_counter()
-    compute(forecasting.Forecasts(series, registered.CFG).summary)
+    compute(forecasting.Forecasts.of(observed, registered.CFG).summary)
     seconds["forecast_pass"] = round(time.perf_counter() - start, 3)
     print(json.dumps({
         "metric": "headline_queries_total", "value": round(sum(seconds.values()), 3),

@@ -67,12 +67,23 @@ def prepared(spark, folder, merchant="region", filtered=True) -> Prepared:
     return prepare(stored_fact(spark, folder, merchant), CFG, filtered)
 
 
+def stored_observed(spark, folder, merchant="region") -> DataFrame:
+    """The sparse series, stored: a single pass over the raw log."""
+    return snapshot(observe(slim_fact(spark, folder, merchant), CFG), "observed")
+
+
 def stored_series(spark, folder, merchant="region") -> DataFrame:
-    """Dense series over a stored sparse one: a single pass over the raw log."""
-    observed = snapshot(observe(slim_fact(spark, folder, merchant), CFG), "observed")
+    """Dense series over the stored sparse one."""
+    observed = stored_observed(spark, folder, merchant)
     return dense_series(observed, CFG).select(*core_columns(CFG))
 
 
+def both_forms(spark, folder, merchant="region") -> tuple[DataFrame, DataFrame]:
+    """Dense series and the sparse form they are made from."""
+    observed = stored_observed(spark, folder, merchant)
+    return dense_series(observed, CFG).select(*core_columns(CFG)), observed
+
+
 # ---------------------------------------------------------------- daily fact
 
 @query
@@ -352,9 +363,9 @@ def holdout_origins(spark, folder):
 @query
 def window_arrays(spark, folder):
     """Arrays of the validation windows, folded to sums that depend on every element's place."""
-    panel = prepared(spark, folder, "region").panel
-    split = pnl.Split(panel, CFG)
-    origins = pnl.window_origins(panel, "validation", CFG)
+    ready = prepared(spark, folder, "region")
+    panel, split = ready.panel, ready.split(CFG)
+    origins = pnl.window_origins(panel, "validation", CFG, max_t=split.max_t)
     scales = norm.fit_normaliser(panel.where(F.col(TIME) <= split.train_cutoff), CFG)
     arrays = pnl.window_arrays(panel, origins, ["tpv", "log_success_count"],
                                ["days_to_month_end", "holiday_offset"], scales, CFG)
@@ -432,20 +443,23 @@ def cold_start(spark, folder):
 
 @query
 def column_spread(spark, folder):
-    panel = prepared(spark, folder, "nation").panel
+    ready = prepared(spark, folder, "nation")
+    panel = ready.panel
     roles = features.column_roles(panel.columns, CFG)
     spread = features.column_spread(
-        panel, roles.observed_reals, pnl.Split(panel, CFG).train_cutoff)
+        panel, roles.observed_reals, ready.split(CFG).train_cutoff)
     return spread.select(*[r(c) for c in spread.columns])
 
 
 @query
 def informative_columns(spark, folder):
-    panel = snapshot(prepared(spark, folder, "nation").panel, "panel")
-    roles = features.column_roles(panel.columns, CFG)
-    kept = features.informative_roles(panel, roles, pnl.Split(panel, CFG).train_cutoff)
-    return panel.select(F.explode(F.array(*[
-        F.lit(c) for c in kept.observed_reals])).alias("column_name")).distinct()
+    ready = prepared(spark, folder, "nation")
+    roles = features.column_roles(ready.panel.columns, CFG)
+    cutoff = ready.split(CFG).train_cutoff
+    spread = snapshot(features.column_spread(ready.panel, roles.observed_reals, cutoff), "spread")
+    kept = features.informative_by_spread(spread, roles)
+    return spread.select(F.explode(F.array(*[
+        F.lit(c) for c in kept.observed_reals])).alias("column_name"))
 
 
 @query
@@ -540,7 +554,7 @@ def min_history(spark, folder):
 # ---------------------------------------------------------------- forecasts
 
 def _table(spark, folder, merchant="region"):
-    return plan.Forecasts(stored_series(spark, folder, merchant), CFG)
+    return plan.Forecasts.of(stored_observed(spark, folder, merchant), CFG)
 
 
 @query
@@ -585,33 +599,38 @@ def decoder_dates(spark, folder):
 
 @query
 def holdout_predictions(spark, folder):
-    rows = plan.evaluation_rows(stored_series(spark, folder), CFG, ("holdout",))
+    series, observed = both_forms(spark, folder)
+    rows = plan.evaluation_rows(series, CFG, ("holdout",), observed)
     return rows.select("part", MERCHANT, "origin_time_idx", TIME, "step", DATE,
                        r("actual_gbp", 4), *[r(c, 4) for c in QCOLS], r("expected_gbp", 4))
 
 
 @query
 def validation_predictions(spark, folder):
-    rows = plan.evaluation_rows(stored_series(spark, folder, "nation"), CFG, ("validation",))
+    series, observed = both_forms(spark, folder, "nation")
+    rows = plan.evaluation_rows(series, CFG, ("validation",), observed)
     return rows.select("part", MERCHANT, "origin_time_idx", TIME, "step", DATE,
                        r("actual_gbp", 4), *[r(c, 4) for c in QCOLS], r("expected_gbp", 4))
 
 
 @query
 def baseline_last(spark, folder):
-    rows = plan.holdout_baselines(stored_series(spark, folder, "nation"), CFG)
+    series, observed = both_forms(spark, folder, "nation")
+    rows = plan.holdout_baselines(series, CFG, observed)
     return rows.select(MERCHANT, "step", TIME, r("actual_gbp", 4), r("naive_last", 4))
 
 
 @query
 def baseline_seasonal(spark, folder):
-    rows = plan.holdout_baselines(stored_series(spark, folder, "nation"), CFG)
+    series, observed = both_forms(spark, folder, "nation")
+    rows = plan.holdout_baselines(series, CFG, observed)
     return rows.select(MERCHANT, "step", TIME, r("actual_gbp", 4), r("seasonal_naive", 4))
 
 
 @query
 def baseline_metrics(spark, folder):
-    rows = plan.holdout_baselines(stored_series(spark, folder), CFG)
+    series, observed = both_forms(spark, folder)
+    rows = plan.holdout_baselines(series, CFG, observed)
     table = metrics.baseline_metrics(rows)
     return table.select("baseline", "n", r("MAE_gbp", 4), r("RMSE_gbp", 4), r("MAE_log"))
 
@@ -634,19 +653,21 @@ def _rounded_metrics(table):
 
 @query
 def forecast_metrics(spark, folder):
-    rows = plan.evaluation_rows(stored_series(spark, folder), CFG, ("holdout",))
+    series, observed = both_forms(spark, folder)
+    rows = plan.evaluation_rows(series, CFG, ("holdout",), observed)
     return _rounded_metrics(metrics.forecast_metrics(snapshot(rows, "predictions"), (), CFG))
 
 
 @query
 def metrics_by_split(spark, folder):
-    return _rounded_metrics(plan.evaluate(stored_series(spark, folder, "nation"), CFG))
+    series, observed = both_forms(spark, folder, "nation")
+    return _rounded_metrics(plan.evaluate(series, CFG, observed))
 
 
 @query
 def metrics_by_band(spark, folder):
-    series = stored_series(spark, folder, "nation")
-    rows = plan.evaluation_rows(series, CFG, ("holdout",))
+    series, observed = both_forms(spark, folder, "nation")
+    rows = plan.evaluation_rows(series, CFG, ("holdout",), observed)
     table = metrics.metrics_by_band(rows, series, CFG)
     return table.select("band", "n", r("MAE_gbp", 4), r("MAE_log"), r("sMAPE"))
 
@@ -797,27 +818,27 @@ def _labelled(rows):
     return rows.withColumn(MERCHANT, F.concat(F.lit("S-"), MERCHANT, F.lit(" a/b+50%")))
 
 
+def _run(source) -> plan.Forecasts:
+    """Forecasts of a stored fact, over its stored sparse series."""
+    return plan.Forecasts.of(snapshot(observe(source, CFG), "observed"), CFG)
+
+
 @query
 def monthly_rollup(spark, folder):
     source = snapshot(slim_fact(spark, folder, "region"), "fact")
-    series = core_series(source, CFG).select(*core_columns(CFG))
-    return _numbered(_rounded_months(
-        plan.monthly(source, plan.Forecasts(series, CFG).table, CFG)))
+    return _numbered(_rounded_months(plan.monthly(source, _run(source).table, CFG)))
 
 
 @query
 def monthly_rollup_text_ids(spark, folder):
     source = snapshot(_labelled(slim_fact(spark, folder, "region")), "fact")
-    series = core_series(source, CFG).select(*core_columns(CFG))
-    return _rounded_months(plan.monthly(source, plan.Forecasts(series, CFG).table, CFG))
+    return _rounded_months(plan.monthly(source, _run(source).table, CFG))
 
 
 @query
 def monthly_rollup_by_supplier(spark, folder):
     source = snapshot(slim_fact(spark, folder), "fact")
-    series = core_series(source, CFG).select(*core_columns(CFG))
-    return _numbered(_rounded_months(
-        plan.monthly(source, plan.Forecasts(series, CFG).table, CFG)))
+    return _numbered(_rounded_months(plan.monthly(source, _run(source).table, CFG)))
 
 
 @query

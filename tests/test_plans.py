@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tillcast.config import Config, DATE, MERCHANT
 from tillcast.operators import daily, forecast as fc, panel as pnl, summary
 from tillcast.plans import forecasting as plan
-from tillcast.plans.prepare import core_columns, dense_series, observe
+from tillcast.plans.prepare import core_columns, dense_series, observe, prepare
 from tillcast.sources.readers import TRANSACTION_SCHEMA
 
 
@@ -67,6 +67,56 @@ def test_series_take_one_exchange_and_one_sort(stored_fact):
     assert "Join" not in text
 
 
+def whole(frame) -> str:
+    """The initial plan, scalar subqueries included."""
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_only_texts_widen_the_key_of_the_fact(stored_log):
+    text = physical(daily.daily_fact(stored_log))
+    first = text[text.rindex("Exchange"):].splitlines()[0]
+    named = set(re.findall(r"(\w+)#\d+", first))
+    assert {"merchant_name", "iso_name"} <= named
+    assert not named & {"iso_id", "merchant_created_datetime", "calendar_year", "day_of_month"}
+
+
+def test_exchanges_from_the_log_to_a_series(stored_log):
+    """Two for the fact; one on the merchant, whose id is trimmed in between."""
+    fact = daily.daily_fact(stored_log)
+    assert len(re.findall(r"\bExchange\b", physical(fact))) == 2
+    assert len(re.findall(r"\bExchange\b", physical(observe(fact)))) == 3
+
+
+def test_a_prepared_panel_reads_stored_series(stored_log, stored_fact):
+    full = stored_fact.withColumns({c: F.lit(0.0) for c in (
+        "daily_transaction_amount", "daily_unsuccessful_amount_gbp", "daily_fraud_amount",
+        "daily_dispute_amount")})
+    ready = prepare(full)
+    assert "percentile" not in whole(ready.panel)    # imputation is behind the stored table
+    assert "Generate" not in whole(ready.observed.select(ready.split().train_cutoff))
+
+
+def test_a_summary_expands_only_the_ends_of_series(stored_fact, spark):
+    run = plan.Forecasts.of(stored_observed(stored_fact))
+    text = whole(run.summary)
+    days = [line for line in text.splitlines() if "Generate explode(sequence(greatest(" in line]
+    assert 1 <= len(days) <= 2
+    assert "Generate explode(sequence(request_date" not in text
+
+
+def stored_observed(fact):
+    from tillcast.functions.staging import snapshot
+    return snapshot(observe(fact), "observed")
+
+
+def test_the_ends_give_the_same_summary(stored_fact):
+    observed = stored_observed(stored_fact)
+    short = plan.Forecasts.of(observed)
+    long = plan.Forecasts(dense_series(observed).select(*core_columns()))
+    rows = short.summary.orderBy(MERCHANT).collect()
+    assert rows == long.summary.orderBy(MERCHANT).collect() and len(rows) == 2
+
+
 def test_the_filter_acts_before_densifying(stored_fact):
     text = physical(dense_series(observe(stored_fact)).select(*core_columns()))
     assert text.index("Generate") < text.index("series_active_days")   # plans print top down

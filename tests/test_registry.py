@@ -24,7 +24,7 @@ def duck():
 def shared_tables():
     """Store each fact and series once for all queries of this file."""
     patch = pytest.MonkeyPatch()
-    for name in ("stored_fact", "stored_series"):
+    for name in ("stored_fact", "stored_observed", "stored_series"):
         patch.setattr(spark_queries, name, functools.cache(getattr(spark_queries, name)))
     yield
     patch.undo()

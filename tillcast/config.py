@@ -78,9 +78,6 @@ HOLIDAY_LOOKAHEAD_DAYS = 20
 # A calendar of this many days is about 270 years and 25 MB; past it joins shuffle instead.
 MAX_BROADCAST_DAYS = 100_000
 
-ENCODED_CATEGORIES = (MERCHANT, "merchant_category", "sector_group", "iso_name",
-                      "day_of_week", "day_of_month", "calendar_month", "is_uk_bank_holiday")
-
 
 @dataclass(frozen=True)
 class ColumnRoles:

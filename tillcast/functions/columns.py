@@ -53,11 +53,6 @@ def ratio_or_null(numerator: Column, denominator: Column) -> Column:
     return F.when(denominator > 0, numerator / denominator)
 
 
-def at_least(column: Column, floor) -> Column:
-    """Clip from below; NULL stays NULL."""
-    return F.when(column < floor, F.lit(floor)).otherwise(column)
-
-
 def clip(column: Column, low, high) -> Column:
     return F.when(column < low, F.lit(low)).when(column > high, F.lit(high)).otherwise(column)
 

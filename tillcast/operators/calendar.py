@@ -67,10 +67,14 @@ def _easter(years: DataFrame) -> DataFrame:
 def bank_holidays(spark: SparkSession, first: dt.date, last: dt.date) -> DataFrame:
     """Bank holidays of England and Wales from first to last as ``holiday_date``.
 
+    The yearly rules hold from 1978, when the early May holiday began; an earlier year, or one
+    past 2199, is an error.
     A holiday on a weekend shows up as its substitute weekday only.
     """
     if last < first:
         return spark.range(0).select(F.current_date().alias("holiday_date"))
+    if first.year < 1978 or last.year > 2199:
+        raise ValueError(f"no rules for bank holidays from {first} to {last}")
     year = F.col("year")
 
     def on(month: int, day: int) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from tillcast.config import (
     ACQUIRER_COUNTS, CALENDAR_COLUMNS, COUNT_COLUMNS, Config, DATE, INTEGRATION_COUNTS, MERCHANT,
@@ -40,8 +40,8 @@ def daily_fact(transactions: DataFrame, attributes: Iterable[str] | None = None,
                strict_reference: bool = False) -> DataFrame:
     """One row per date and merchant with all measures and the wanted attributes.
 
-    The log is first grouped with the attributes in the key, which keeps the pass over it
-    a hash aggregation: a maximum over text would have every raw row sorted instead.
+    The log is first grouped with the text attributes in the key, which keeps the pass over
+    it a hash aggregation: a maximum over text would have every raw row sorted instead.
     Partial sums form before the exchange, so a merchant holding much of the log sends a
     few rows per day and input task.  The second grouping sees merchant-days only.
 
@@ -58,16 +58,19 @@ def daily_fact(transactions: DataFrame, attributes: Iterable[str] | None = None,
                               ("integration_api", INTEGRATION_COUNTS))
         for name, text in group.items()
     ]
-    by_attribute = transactions.groupBy(DATE, MERCHANT, *present).agg(
+    texts = [c for c in present if isinstance(transactions.schema[c].dataType, T.StringType)]
+    others = [F.max(c).alias(c) for c in present if c not in texts]
+    by_attribute = transactions.groupBy(DATE, MERCHANT, *texts).agg(
         F.count(F.lit(1)).alias("daily_transaction_amount"),
         *_money_measures(strict_reference),
         *counts,
         F.count_if(is_true("has_fraud_notification")).alias("daily_fraud_amount"),
         F.count_if(is_true("has_dispute")).alias("daily_dispute_amount"),
+        *others,
     )
-    if not present:
-        return by_attribute
     measures = [c for c in by_attribute.columns if c not in (DATE, MERCHANT, *present)]
+    if not texts:
+        return by_attribute.select(DATE, MERCHANT, *measures, *present)
     return by_attribute.groupBy(DATE, MERCHANT).agg(
         *[F.sum(c).alias(c) for c in measures], *[F.max(c).alias(c) for c in present])
 
@@ -141,7 +144,8 @@ def latest_per_day(frame: DataFrame, order: Sequence[str]) -> DataFrame:
 
     Ties on the order columns are settled by the remaining columns, so the result does
     not depend on file order.  This is an aggregate with partial maxima, not a window:
-    many copies of one key shrink before the exchange.
+    many copies of one key shrink before the exchange.  A maximum over rows with texts is a
+    sort aggregate, so each task sorts its rows by key before that.
     """
     order = list(order)
     rest = [c for c in frame.columns if c not in (MERCHANT, DATE, *order)]

@@ -107,6 +107,13 @@ def informative_roles(panel: DataFrame, roles: ColumnRoles, cutoff,
 
     One row of spreads comes to the driver, because it decides the plan's columns.
     """
-    spread = column_spread(panel, roles.observed_reals, cutoff).first().asDict()
+    return informative_by_spread(
+        column_spread(panel, roles.observed_reals, cutoff), roles, tolerance)
+
+
+def informative_by_spread(spread: DataFrame, roles: ColumnRoles, tolerance: float = 1e-6
+                          ) -> ColumnRoles:
+    """The same from a ready row of spreads."""
+    row = spread.first().asDict()
     return roles.without_observed(
-        [c for c in roles.observed_reals if (spread[c] or 0.0) <= tolerance])
+        [c for c in roles.observed_reals if (row[c] or 0.0) <= tolerance])

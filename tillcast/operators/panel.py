@@ -99,9 +99,25 @@ def where_usable(observed: DataFrame, cfg: Config = Config()) -> DataFrame:
     return observed.where(passes_filter(*STAT_COLUMNS, cfg))
 
 
-def densify(observed: DataFrame) -> DataFrame:
+def axis_start(observed: DataFrame) -> Column:
+    """The date of index 0: the earliest first sale of all series, kept or not."""
+    return observed.agg(F.min("series_first_date")).scalar()
+
+
+def axis_end(observed: DataFrame, cfg: Config = Config(), filtered: bool = True) -> Column:
+    """The largest time index of the kept series, from the sparse form in one pass."""
+    last = F.col("series_last_date")
+    if filtered:
+        last = F.when(passes_filter(*STAT_COLUMNS, cfg), last)
+    return observed.agg(
+        F.datediff(F.max(last), F.min("series_first_date")).cast("long")).scalar()
+
+
+def densify(observed: DataFrame, last_days: int | None = None) -> DataFrame:
     """Every day from each merchant's first to last row; absent days hold zeros.
 
+    With ``last_days`` only so many days at the end of each series are made.
+
     Each observed row expands to itself and the gap behind it, so no calendar-by-merchant
     join takes place.  Counts, target and flags become 0 on absent days, attributes carry
     over, and columns of neither kind are NULL there.
@@ -109,8 +125,11 @@ def densify(observed: DataFrame) -> DataFrame:
     carried = {MERCHANT, "_next", "series_first_date", "series_last_date",
                "log_tenure_at_series_start", *STATIC_ATTRIBUTES, *STAT_COLUMNS}
     zeroed = {*COUNT_COLUMNS, "target_imputed"}
-    through = F.coalesce(F.date_sub("_next", 1), F.col(DATE))
-    dense = observed.withColumn("_day", F.explode(F.sequence(F.col(DATE), through)))
+    begin, through = F.col(DATE), F.coalesce(F.date_sub("_next", 1), F.col(DATE))
+    if last_days is not None:
+        begin = F.greatest(begin, F.date_sub("series_last_date", last_days - 1))
+        observed = observed.where(through >= begin)
+    dense = observed.withColumn("_day", F.explode(F.sequence(begin, through)))
     is_row = F.col("_day") == F.col(DATE)
     columns = [F.col("_day").alias(DATE)]
     for name in observed.columns:
@@ -169,10 +188,14 @@ def filter_report(stats: DataFrame, cfg: Config = Config()) -> DataFrame:
 
 
 class Split:
-    """Shared cut points on the day axis, as scalar subqueries over the panel."""
+    """Shared cut points on the day axis, as scalar subqueries.
+
+    The last index is sought in the panel unless it is given (see ``axis_end``).
+    """
 
-    def __init__(self, panel: DataFrame, cfg: Config = Config(), full: bool = False) -> None:
-        self.max_t = panel.agg(F.max(TIME)).scalar()
+    def __init__(self, panel: DataFrame, cfg: Config = Config(), full: bool = False,
+                 max_t: Column | None = None) -> None:
+        self.max_t = panel.agg(F.max(TIME)).scalar() if max_t is None else max_t
         self.val_cutoff = self.max_t - cfg.horizon
         self.sel_cutoff = self.val_cutoff - cfg.val_days
         self.train_cutoff = self.max_t if full else self.sel_cutoff
@@ -196,7 +219,7 @@ def split_bounds(panel: DataFrame, cfg: Config = Config(), full: bool = False) -
 
 
 def window_origins(panel: DataFrame, part: str, cfg: Config = Config(),
-                   full: bool = False) -> DataFrame:
+                   full: bool = False, max_t: Column | None = None) -> DataFrame:
     """Forecast origins of one part: ``train``, ``validation`` or ``holdout``.
 
     An origin is the first decoder day.  It needs the shortest encoder before it and a
@@ -204,7 +227,7 @@ def window_origins(panel: DataFrame, part: str, cfg: Config = Config(),
     row is a candidate, so this is a filter: no window is ever materialised here.
     Validation origins are thinned to every n-th of a series by arithmetic on the index.
     """
-    split = Split(panel, cfg, full)
+    split = Split(panel, cfg, full, max_t)
     origin, start = F.col(TIME), F.col("series_start_idx")
     limit, inside = {
         "train": (split.train_cutoff, F.lit(True)),

@@ -15,14 +15,18 @@ CURRENT_DAYS = 1
 STALE_DAYS = 30
 
 
-def merchant_history(series: DataFrame, train_cutoff: Column, cfg: Config = Config()) -> DataFrame:
+def merchant_history(series: DataFrame, train_cutoff: Column, cfg: Config = Config(),
+                     newest: DataFrame | None = None) -> DataFrame:
     """Per merchant: history size, last day and name, recent level, training days.
 
     A dense series tells its length and its training days from its two ends, and its last
-    row holds the latest known name.  Only the recent days are aggregated.
+    row holds the latest known name.  Only the recent days are aggregated.  ``newest``, the
+    last row of each series, is looked up in the series unless given.
     """
     start, last = F.col("series_start_idx"), F.col("series_last_idx")
-    newest = series.where(F.col(TIME) == last).select(
+    if newest is None:
+        newest = series.where(F.col(TIME) == last)
+    newest = newest.select(
         MERCHANT, "merchant_name", (last - start + 1).alias("history_days"),
         F.col(DATE).alias("last_observed_date"), last.alias("last_time_idx"),
         F.greatest(F.lit(0), F.least(last, train_cutoff) - start + 1).alias("train_days"))
@@ -42,14 +46,14 @@ def horizon_totals(table: DataFrame) -> DataFrame:
 
 
 def forecast_summary(table: DataFrame, series: DataFrame, max_t: Column, train_cutoff: Column,
-                     cfg: Config = Config()) -> DataFrame:
+                     cfg: Config = Config(), newest: DataFrame | None = None) -> DataFrame:
     """One row per forecast merchant: history, horizon totals, ratios and warnings.
 
     A merchant without training days has no scale of its own (cold start); a training
     window takes a shortest encoder and a whole horizon of training days.
     """
     median, expected = F.col("horizon_total_median_gbp"), F.col("horizon_total_expected_gbp")
-    joined = merchant_history(series, train_cutoff, cfg).join(horizon_totals(table), MERCHANT)
+    joined = merchant_history(series, train_cutoff, cfg, newest).join(horizon_totals(table), MERCHANT)
     return joined.select(
         MERCHANT, "merchant_name", "history_days", "last_observed_date",
         (max_t - F.col("last_time_idx")).alias("days_since_last_observation"),

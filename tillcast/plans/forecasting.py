@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tillcast.config import Config, DATE, MERCHANT, TIME
 from tillcast.functions.staging import snapshot
 from tillcast.operators import baselines, forecast as fc, metrics, panel, rollup, summary
+from tillcast.plans.prepare import core_columns, dense_series
 
 
 def first_day(series: DataFrame) -> Column:
@@ -18,21 +19,42 @@ def first_day(series: DataFrame) -> Column:
 
 @dataclass(frozen=True)
 class Forecasts:
-    """Forecasts of all merchants of a stored series, newest origin each."""
+    """Forecasts of all merchants of a stored series, newest origin each.
+
+    With the sparse form of the series the day axis is read from it, and only the days that
+    an encoder or a recent level looks back to are made dense.
+    """
 
     series: DataFrame
     cfg: Config = Config()
+    observed: DataFrame | None = None
+
+    @staticmethod
+    def of(observed: DataFrame, cfg: Config = Config()) -> "Forecasts":
+        return Forecasts(dense_series(observed, cfg).select(*core_columns(cfg)), cfg, observed)
+
+    def _last(self, days: int) -> DataFrame:
+        if self.observed is None:
+            return self.series
+        tail = dense_series(self.observed, self.cfg, last_days=days)
+        return tail.select(*core_columns(self.cfg))
 
     @property
     def table(self) -> DataFrame:
-        return fc.forecast_table(
-            fc.forecast_latest(self.series, self.cfg), first_day(self.series), self.cfg)
+        start = (first_day(self.series) if self.observed is None
+                 else panel.axis_start(self.observed))
+        tail = self._last(self.cfg.max_encoder_length)
+        return fc.forecast_table(fc.forecast_latest(tail, self.cfg), start, self.cfg)
 
     @property
     def summary(self) -> DataFrame:
-        split = panel.Split(self.series, self.cfg)
-        return summary.forecast_summary(
-            self.table, self.series, split.max_t, split.train_cutoff, self.cfg)
+        end = None if self.observed is None else panel.axis_end(self.observed, self.cfg)
+        split = panel.Split(self.series, self.cfg, max_t=end)
+        newest = None if self.observed is None else panel.with_time_index(
+            panel.where_usable(self.observed, self.cfg)
+            .where(F.col(DATE) == F.col("series_last_date")), panel.axis_start(self.observed))
+        return summary.forecast_summary(self.table, self._last(self.cfg.recent_days), split.max_t,
+                                        split.train_cutoff, self.cfg, newest)
 
     @property
     def missing(self) -> DataFrame:
@@ -40,11 +62,13 @@ class Forecasts:
 
 
 def evaluation_rows(series: DataFrame, cfg: Config = Config(),
-                    parts: tuple[str, ...] = ("validation", "holdout")) -> DataFrame:
+                    parts: tuple[str, ...] = ("validation", "holdout"),
+                    observed: DataFrame | None = None) -> DataFrame:
     """Tidy predictions of the evaluation parts, each origin forecast from its own past."""
     frames = []
+    end = None if observed is None else panel.axis_end(observed, cfg)
     for part in parts:
-        origins = panel.window_origins(series, part, cfg)
+        origins = panel.window_origins(series, part, cfg, max_t=end)
         rows = fc.forecast(series, origins, cfg).withColumn("part", F.lit(part))
         frames.append(rows)
     both = frames[0]
@@ -53,15 +77,17 @@ def evaluation_rows(series: DataFrame, cfg: Config = Config(),
     return fc.tidy_predictions(both, series, cfg)
 
 
-def evaluate(series: DataFrame, cfg: Config = Config()) -> DataFrame:
+def evaluate(series: DataFrame, cfg: Config = Config(), observed: DataFrame | None = None
+             ) -> DataFrame:
     """All metrics by part.  The rows are stored, as several statistics pass over them."""
-    rows = snapshot(evaluation_rows(series, cfg), "predictions")
+    rows = snapshot(evaluation_rows(series, cfg, observed=observed), "predictions")
     return metrics.forecast_metrics(rows, ["part"], cfg)
 
 
-def holdout_baselines(series: DataFrame, cfg: Config = Config()) -> DataFrame:
+def holdout_baselines(series: DataFrame, cfg: Config = Config(),
+                      observed: DataFrame | None = None) -> DataFrame:
     """Both naive forecasts beside the holdout's predictions."""
-    rows = evaluation_rows(series, cfg, ("holdout",))
+    rows = evaluation_rows(series, cfg, ("holdout",), observed)
     return baselines.with_baselines(rows, series, cfg)
 
 

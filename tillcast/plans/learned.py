@@ -9,6 +9,7 @@ from tillcast.functions.staging import snapshot
 from tillcast.operators import features, learned, normaliser as norm, panel as pnl
 from tillcast.plans.prepare import Prepared
 
+
 def learned_forecast(prepared: Prepared, cfg: Config = Config()) -> DataFrame:
     """``(merchant, origin, step, time_idx, q_log)`` of every merchant's newest origin.
 
@@ -18,13 +19,13 @@ def learned_forecast(prepared: Prepared, cfg: Config = Config()) -> DataFrame:
     """
     panel = snapshot(prepared.panel, "panel")
     roles = features.column_roles(panel.columns, cfg)
-    split = pnl.Split(panel, cfg)
+    split = prepared.split(cfg)
     fitted = norm.fit_normaliser(panel.where(F.col(TIME) <= split.train_cutoff), cfg)
     pairs = norm.scale_pairs(panel, fitted).drop("cold_start")
     levels = snapshot(learned.encoder_levels(panel, pairs, cfg), "levels")
-    windows = pnl.window_origins(panel, "train", cfg)
+    windows = pnl.window_origins(panel, "train", cfg, max_t=split.max_t)
     model = learned.fit(learned.inputs(panel, levels, windows, roles, cfg), roles, cfg)
-    validation = pnl.window_origins(panel, "validation", cfg)
+    validation = pnl.window_origins(panel, "validation", cfg, max_t=split.max_t)
     errors = snapshot(learned.residuals(
         model, learned.inputs(panel, levels, validation, roles, cfg)), "errors")
     ahead = pnl.with_future(panel, prepared.future_calendar(cfg), prepared.ratio_names, cfg)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from tillcast.config import CALENDAR_COLUMNS, Config, DATE, MERCHANT, TIME
 from tillcast.functions.staging import snapshot
@@ -16,9 +16,15 @@ from tillcast.operators import daily, features, panel
 @dataclass(frozen=True)
 class Prepared:
     panel: DataFrame
+    observed: DataFrame
     lookup: DataFrame
     covered: tuple[dt.date, dt.date]
     ratio_names: list[str]
+    filtered: bool = True
+
+    def split(self, cfg: Config = Config(), full: bool = False) -> panel.Split:
+        """The cut points, read from the sparse form."""
+        return panel.Split(self.panel, cfg, full, panel.axis_end(self.observed, cfg, self.filtered))
 
     def future_calendar(self, cfg: Config = Config()) -> cal.Calendar:
         """The calendar as far as a forecast from the newest day can reach."""
@@ -50,16 +56,17 @@ def observe(fact: DataFrame, cfg: Config = Config(), order: list[str] | None = N
     return panel.with_series_stats(panel.with_tenure(observed), cfg)
 
 
-def dense_series(observed: DataFrame, cfg: Config = Config(), filtered: bool = True) -> DataFrame:
+def dense_series(observed: DataFrame, cfg: Config = Config(), filtered: bool = True,
+                 last_days: int | None = None) -> DataFrame:
     """Dense series with time index and target, from the sparse form.
 
     The filter acts before densifying.  The day axis starts at the earliest first sale of
-    all series, kept or not.
+    all series, kept or not.  With ``last_days`` only the ends of the series are made.
     """
-    first_day = observed.agg(F.min("series_first_date")).scalar()
+    first_day = panel.axis_start(observed)
     if filtered:
         observed = panel.where_usable(observed, cfg)
-    grid = panel.densify(observed.drop(*panel.STAT_COLUMNS)).drop(*CALENDAR_COLUMNS)
+    grid = panel.densify(observed.drop(*panel.STAT_COLUMNS), last_days).drop(*CALENDAR_COLUMNS)
     return features.with_target(panel.with_time_index(grid, first_day), cfg)
 
 
@@ -71,20 +78,20 @@ def core_series(fact: DataFrame, cfg: Config = Config(), filtered: bool = True,
 
 def prepare(fact: DataFrame, cfg: Config = Config(), filtered: bool = True,
             order: list[str] | None = None) -> Prepared:
-    """Coerce, impute, dedup, calendar, grid, features, filter: lazy but for the calendar.
+    """Coerce, impute, dedup, calendar, grid, features, filter.
 
-    Pass a stored fact (see ``snapshot``): the panel, its calendar and the day axis each
-    read it, and none of them should go back to the raw log.  The calendar lookup, one row
-    per date, is stored because the date features refer to it several times.
+    Pass a stored fact (see ``snapshot``): the sparse series and the calendar each read it.
+    Both are stored, as the panel, the day axis and the date features refer to them again.
     """
     lookup = snapshot(cal.calendar_lookup(daily.coerce_fact(fact)), "calendar")
     covered = cal.covered_range(lookup)
-    series = core_series(fact, cfg, filtered, order)
+    observed = snapshot(observe(fact, cfg, order), "observed")
+    series = dense_series(observed, cfg, filtered)
     frame = cal.calendar_features(lookup, covered).attach(series)
     frame = features.with_activity(features.with_age(frame), cfg)
     frame = features.categories_as_text(features.with_mix_ratios(frame))
-    return Prepared(frame.drop("series_first_date", "series_last_date"), lookup, covered,
-                    features.ratio_names(series.columns))
+    return Prepared(frame.drop("series_first_date", "series_last_date"), observed, lookup, covered,
+                    features.ratio_names(series.columns), filtered)
 
 
 def core_columns(cfg: Config = Config()) -> list[str]:
