@@ -196,15 +196,25 @@ CORE = """core AS (
   FROM grid)"""
 
 
-def kept(min_active: int = 20) -> str:
+def kept(min_active: int = 20, days: int = 30, log_std: float = 0.20) -> str:
     return f"""stats AS (SELECT merchant_id, COUNT(*) AS days, STDDEV_SAMP(tpv) AS log_std,
     COUNT(*) FILTER (WHERE v > 0) AS active_days FROM core GROUP BY merchant_id),
 series AS (SELECT * FROM core WHERE merchant_id IN (SELECT merchant_id FROM stats
-    WHERE days >= 30 AND COALESCE(log_std, 0) >= 0.20 AND active_days >= {min_active}))"""
+    WHERE days >= {days} AND COALESCE(log_std, 0) >= {log_std} AND active_days >= {min_active}))"""
 
 
-def base(merchant: str, min_active: int = 20, trim: bool = True) -> list[str]:
-    return [txn(merchant), fact(), CLEAN, grid(trim), CORE, kept(min_active)]
+def base(merchant: str, min_active: int = 20, trim: bool = True, days: int = 30,
+         log_std: float = 0.20) -> list[str]:
+    return [txn(merchant), fact(), CLEAN, grid(trim), CORE, kept(min_active, days, log_std)]
+
+
+def changed_base(merchant: str, revenue: str, where: str = "TRUE") -> list[str]:
+    """The same over a fact with other revenue, or fewer rows."""
+    first = fact().replace("fact AS (", "fact0 AS (", 1)
+    assert first.startswith("fact0")
+    changed = f"""fact AS (SELECT * REPLACE ({revenue} AS daily_successful_amount_gbp)
+  FROM fact0 WHERE {where})"""
+    return [txn(merchant), first, changed, CLEAN, grid(), CORE, kept()]
 
 
 CUT = """cut AS (SELECT MAX(time_idx) AS max_t, MAX(time_idx) - 91 AS val_cutoff,
@@ -468,6 +478,11 @@ def oracles() -> dict[str, str]:
     out["coerced_attributes"] = ctes(txn(), fact(), CLEAN) + """SELECT merchant_id, request_date,
     merchant_name, merchant_category, sector_group, iso_name, merchant_created_datetime,
     CAST(unknown_amount AS DOUBLE) AS unknown_amount FROM clean"""
+    out["coerced_text"] = f"""SELECT CAST(l_suppkey AS VARCHAR) AS merchant_id,
+    CASE WHEN l_linenumber <> 7 THEN CAST(l_shipdate AS DATE) END AS request_date,
+    COUNT(*) AS rows, COUNT(*) FILTER (WHERE l_discount <> 0) AS readable,
+    {r('SUM(CASE WHEN l_discount <> 0 THEN l_extendedprice END)', 2, 'revenue_gbp')}
+    FROM lineitem GROUP BY 1, 2"""
     out["latest_row_per_day"] = ctes(txn()) + """SELECT request_date, merchant_id, ingest_key,
     ingest_line, response_result, payment_type, transaction_type,
     CAST(amount_gbp AS DOUBLE) AS amount_gbp
@@ -509,6 +524,31 @@ def oracles() -> dict[str, str]:
     out["holiday_diff"] = ctes(txn(), HOLIDAY) + """SELECT COUNT(*) AS differences FROM holiday
     WHERE h BETWEEN (SELECT MIN(request_date) FROM txn) AND (SELECT MAX(request_date) FROM txn)
       AND h NOT IN (SELECT request_date FROM txn)"""
+    faulty = f"""lab AS (SELECT request_date, {calendar_select('request_date', FLAG)} FROM ({days})),
+faulty AS (SELECT * REPLACE (
+    CASE WHEN day(request_date) = 13 THEN 'Someday' ELSE day_name END AS day_name,
+    CASE WHEN month(request_date) = 3 AND day(request_date) = 1 THEN 2 ELSE day_of_month END
+      AS day_of_month,
+    CASE WHEN month(request_date) = 12 AND day(request_date) = 26 THEN FALSE
+         WHEN month(request_date) = 6 AND day(request_date) = 2 THEN TRUE
+         ELSE is_uk_bank_holiday END AS is_uk_bank_holiday) FROM lab),
+relab AS (SELECT f.request_date, CASE WHEN f.is_uk_bank_holiday THEN 'Holiday'
+    WHEN isodow(f.request_date) >= 6 THEN 'Weekend' ELSE 'Working Day' END AS day_type FROM faulty f)"""
+    out["calendar_agreement_faulty"] = ctes(txn(), HOLIDAY, faulty) + " UNION ALL ".join(
+        f"""SELECT '{c}' AS column_name, COUNT(*) AS dates,
+    {r(f'AVG(CASE WHEN f.{c} = {other}.{c} THEN 1.0 ELSE 0.0 END)', 6, 'agreement')},
+    MIN(CASE WHEN f.{c} <> {other}.{c} THEN f.request_date END) AS first_difference
+    FROM faulty f JOIN lab ON lab.request_date = f.request_date
+      JOIN relab ON relab.request_date = f.request_date"""
+        for c, other in (("day_of_week", "lab"), ("day_of_month", "lab"), ("calendar_month", "lab"),
+                         ("calendar_week_of_year", "lab"), ("day_type", "relab"),
+                         ("day_name", "lab"), ("month_name", "lab")))
+    out["holiday_diff_faulty"] = ctes(txn(), HOLIDAY, faulty, """own AS (
+  SELECT request_date AS h FROM faulty WHERE is_uk_bank_holiday),
+rules AS (SELECT h FROM holiday WHERE h BETWEEN (SELECT MIN(request_date) FROM txn)
+    AND (SELECT MAX(request_date) FROM txn))""") + """SELECT h AS holiday_date,
+    'warehouse' AS only_in FROM own WHERE h NOT IN (SELECT h FROM rules)
+    UNION ALL SELECT h, 'computed' FROM rules WHERE h NOT IN (SELECT h FROM own)"""
     out["upcoming_holidays"] = ctes(txn(), HOLIDAY) + """SELECT h AS holiday_date FROM holiday,
     (SELECT MAX(request_date) AS hi FROM txn) WHERE h > hi AND h <= hi + 91"""
 
@@ -528,15 +568,15 @@ def oracles() -> dict[str, str]:
         f"SELECT merchant_id, request_date, {', '.join(r(c) for c in RATIO_NAMES)} FROM panel")
     out["series_stats"] = ctes(*base("supplier")) + (
         f"SELECT merchant_id, days, {r('log_std')}, active_days FROM stats")
-    out["series_filter"] = ctes(*base("supplier", 60)) + """SELECT s.merchant_id,
+    out["series_filter"] = ctes(*base("supplier", 275, days=2480, log_std=3.35)) + """SELECT s.merchant_id,
     COUNT(*) AS observed_days FROM series s JOIN clean c ON c.merchant_id = s.merchant_id
       AND c.request_date = s.request_date GROUP BY 1"""
-    out["filter_report"] = ctes(*base("supplier", 60)) + """SELECT COUNT(*) AS merchants,
-    COUNT(*) FILTER (WHERE days >= 30 AND COALESCE(log_std, 0) >= 0.2 AND active_days >= 60) AS kept,
-    COUNT(*) FILTER (WHERE days < 30) AS too_short,
-    COUNT(*) FILTER (WHERE COALESCE(log_std, 0) < 0.2) AS near_constant,
-    COUNT(*) FILTER (WHERE active_days < 60) AS barely_active FROM stats"""
-    out["filtered_panel"] = ctes(*base("supplier", 60)) + (
+    out["filter_report"] = ctes(*base("supplier", 275, days=2480, log_std=3.35)) + """SELECT COUNT(*) AS merchants,
+    COUNT(*) FILTER (WHERE days >= 2480 AND log_std >= 3.35 AND active_days >= 275) AS kept,
+    COUNT(*) FILTER (WHERE days < 2480) AS too_short,
+    COUNT(*) FILTER (WHERE log_std < 3.35) AS near_constant,
+    COUNT(*) FILTER (WHERE active_days < 275) AS barely_active FROM stats"""
+    out["filtered_panel"] = ctes(*base("supplier", 275, days=2480, log_std=3.35)) + (
         f"SELECT merchant_id, COUNT(*) AS days, {r('SUM(v)', 4, 'revenue_gbp')} FROM series GROUP BY 1")
     out["target_profile"] = ctes(*base("nation")) + f"""SELECT COUNT(*) AS n,
     {r('AVG(v)', 4, 'mean_gbp')}, MEDIAN(v) AS median_gbp, MAX(v) AS max_gbp,
@@ -658,8 +698,8 @@ def oracles() -> dict[str, str]:
     COUNT(*) FILTER (WHERE d.is_uk_bank_holiday) AS bank_holidays, TRUE AS passes
     FROM fut f JOIN dim d ON d.request_date = f.request_date GROUP BY 1"""
     out["min_history"] = ctes(*base("supplier")) + """SELECT COUNT(*) AS merchants,
-    COUNT(*) FILTER (WHERE n < 28) AS too_short_to_forecast,
-    COUNT(*) FILTER (WHERE n < 119) AS without_training_window, MIN(n) AS shortest
+    COUNT(*) FILTER (WHERE n < 2475) AS too_short_to_forecast,
+    COUNT(*) FILTER (WHERE n < 2485) AS without_training_window, MIN(n) AS shortest
     FROM (SELECT COUNT(*) AS n FROM series GROUP BY merchant_id)"""
 
     q_logs = ", ".join(r(f"q[{i + 1}]", 6, c) for i, c in enumerate(Q))
@@ -711,7 +751,14 @@ def oracles() -> dict[str, str]:
     out["top_merchants"] = ctes(*base("nation")) + f"""SELECT merchant_id,
     {r('m', 4, 'mean_daily_gbp')} FROM (SELECT merchant_id, AVG(v) AS m FROM series
       GROUP BY merchant_id HAVING COUNT(*) >= 28 ORDER BY m DESC, merchant_id LIMIT 10)"""
-    out["run_totals"] = nation + f"""SELECT COUNT(*) AS forecasts,
+    uneven = ctes(*changed_base(
+        "nation", """CASE WHEN CAST(merchant_id AS INT) % 5 = 2 AND request_date >= DATE '2001-01-01'
+      THEN 0 ELSE CAST(daily_successful_amount_gbp AS DOUBLE) END""",
+        """NOT (CAST(merchant_id AS INT) % 5 = 0 AND request_date >= DATE '1999-01-01')
+    AND NOT (CAST(merchant_id AS INT) % 5 = 1 AND request_date < DATE '2001-06-01')"""),
+        *latest, SUMMARY)
+    out["forecast_summary_uneven"] = uneven + SUMMARY_ROUNDED
+    totals = f"""SELECT COUNT(*) AS forecasts,
     {r('SUM(horizon_total_median_gbp)', 2, 'total_median_gbp')},
     {r('SUM(horizon_total_expected_gbp)', 2, 'total_expected_gbp')},
     COUNT(*) FILTER (WHERE days_since_last_observation <= 1) AS current,
@@ -722,6 +769,14 @@ def oracles() -> dict[str, str]:
     COUNT(*) FILTER (WHERE {FAILS}) AS failed_sanity,
     CAST(SUM(quantile_crossings) AS BIGINT) AS quantile_crossings,
     COUNT(*) FILTER (WHERE quantile_crossings > 0) AS merchants_with_crossings FROM summary"""
+    out["run_totals"] = nation + totals
+    out["run_totals_uneven"] = uneven + totals
+    levels = """l_quantity * 1000, l_extendedprice, l_tax * 500000,
+      l_extendedprice / l_quantity * 10"""
+    out["quantile_order"] = f"""SELECT l_suppkey AS merchant_id,
+    CAST(SUM((x[2] < x[1])::INT + (x[3] < x[2])::INT + (x[4] < x[3])::INT) AS BIGINT) AS crossings,
+    {', '.join(r(f'SUM(list_sort(x)[{i}])', 2, f'level_{i}') for i in (1, 2, 3, 4))}
+    FROM (SELECT l_suppkey, [{levels}] AS x FROM lineitem) GROUP BY 1"""
     out["recent_level"] = ctes(*base("nation")) + f"""SELECT merchant_id,
     ARG_MAX(merchant_name, time_idx) AS merchant_name, COUNT(*) AS history_days,
     MAX(request_date) AS last_observed_date, MAX(time_idx) AS last_time_idx,
@@ -773,6 +828,11 @@ rep AS (SELECT *, hm / GREATEST(rm, 1e-9) AS lr, he / GREATEST(hm, 1e-9) AS dr F
     {r(sd(raw), 5, 'raw_spread')}, {r(sd(log), 5, 'log_spread')} FROM banded"""
 
     out["whale_share"] = whale + " UNION ALL ".join(whale_row(*p) for p in pairs)
+    scaled = """CAST(daily_successful_amount_gbp AS DOUBLE) * CASE CAST(merchant_id AS INT) % 3
+      WHEN 0 THEN 0.001 WHEN 1 THEN 10.0 ELSE 1.0 END"""
+    out["whale_share_scaled"] = whale.replace(
+        ctes(*base("nation")).rstrip(), ctes(*changed_base("nation", scaled)).rstrip(), 1
+    ) + " UNION ALL ".join(whale_row(*p) for p in pairs)
 
     out["inactive_merchants"] = ctes(txn(), fact()) + """SELECT CAST(merchant_id AS BIGINT) AS
     merchant_id, MAX(request_date) AS last_date FROM fact GROUP BY 1

@@ -11,6 +11,7 @@ from tillcast.config import (
     CALENDAR_COLUMNS, COUNT_COLUMNS, Config, DATE, MERCHANT, MERCHANT_ATTRIBUTES, TIME,
 )
 from tillcast.functions.columns import size_band
+from tillcast.functions import quantiles
 from tillcast.functions.quantiles import quantile_name
 from tillcast.functions.staging import snapshot, staging_folder
 from tillcast.functions.stats import exact_percentiles
@@ -28,6 +29,8 @@ from tillcast.sources import fixture, readers, sinks
 CFG = Config()
 QCOLS = [quantile_name(q) for q in CFG.quantiles]
 RATIOS = features.ratio_names(COUNT_COLUMNS)
+#: Thresholds of which each drops some suppliers of the test tables.
+SELECTIVE = Config(min_series_days=2480, min_log_std=3.35, min_active_days=275)
 QUERIES = {}
 
 
@@ -137,6 +140,20 @@ def coerced_attributes(spark, folder):
                        "iso_name", "merchant_created_datetime", "unknown_amount")
 
 
+@query
+def coerced_text(spark, folder):
+    """Dates and money as text, some of it unreadable, and ids with blanks around them."""
+    rows = fixture.table(spark, folder, "lineitem").select(
+        F.concat(F.lit("  "), F.col("l_suppkey").cast("string"), F.lit(" ")).alias(MERCHANT),
+        F.when(F.col("l_linenumber") == 7, "not a date").otherwise(
+            F.date_format("l_shipdate", "yyyy-MM-dd")).alias(DATE),
+        F.when(F.col("l_discount") == 0, "n/a").otherwise(
+            F.col("l_extendedprice").cast("string")).alias(CFG.raw_target))
+    return daily.coerce_fact(rows).groupBy(MERCHANT, DATE).agg(
+        F.count(F.lit(1)).alias("rows"), F.count(CFG.raw_target).alias("readable"),
+        r(F.sum(CFG.raw_target), 2).alias("revenue_gbp"))
+
+
 @query
 def imputed_after_copies(spark, folder):
     """Rows of the log as copies of a day: medians over all of them, the last one kept."""
@@ -219,6 +236,30 @@ def holiday_diff(spark, folder):
         F.count(F.lit(1)).alias("differences"))
 
 
+def faulty_lookup(spark, folder):
+    """A warehouse calendar with wrong labels, missing holidays and holidays of its own."""
+    lookup, covered = lookup_and_range(spark, folder)
+    day, month = F.dayofmonth(DATE), F.month(DATE)
+    return lookup.withColumns({
+        "day_name": F.when(day == 13, "Someday").otherwise(F.col("day_name")),
+        "day_of_month": F.when((day == 1) & (month == 3), 2).otherwise(F.col("day_of_month")),
+        "is_uk_bank_holiday": F.when((month == 12) & (day == 26), False)
+        .when((month == 6) & (day == 2), True).otherwise(F.col("is_uk_bank_holiday")),
+    }), covered
+
+
+@query
+def calendar_agreement_faulty(spark, folder):
+    table = quality.calendar_agreement(faulty_lookup(spark, folder)[0])
+    return table.select("column_name", "dates", r("agreement"), "first_difference")
+
+
+@query
+def holiday_diff_faulty(spark, folder):
+    lookup, (first, last) = faulty_lookup(spark, folder)
+    return quality.holiday_differences(lookup, first, last)
+
+
 @query
 def upcoming_holidays(spark, folder):
     _, (_, last) = lookup_and_range(spark, folder)
@@ -304,7 +345,7 @@ def series_stats(spark, folder):
 
 @query
 def series_filter(spark, folder):
-    cfg = Config(min_active_days=60)
+    cfg = SELECTIVE
     observed = observe(slim_fact(spark, folder), cfg)
     return pnl.where_usable(observed, cfg).groupBy(MERCHANT).agg(
         F.count(F.lit(1)).alias("observed_days"))
@@ -312,14 +353,14 @@ def series_filter(spark, folder):
 
 @query
 def filter_report(spark, folder):
-    cfg = Config(min_active_days=60)
+    cfg = SELECTIVE
     panel = core_series(slim_fact(spark, folder), cfg, filtered=False)
     return pnl.filter_report(pnl.series_stats(panel, cfg), cfg)
 
 
 @query
 def filtered_panel(spark, folder):
-    cfg = Config(min_active_days=60)
+    cfg = SELECTIVE
     panel = core_series(slim_fact(spark, folder), cfg, filtered=False)
     return pnl.filter_series(panel, cfg).groupBy(MERCHANT).agg(
         F.count(F.lit(1)).alias("days"), r(F.sum(cfg.raw_target), 4).alias("revenue_gbp"))
@@ -548,7 +589,9 @@ def future_calendar_check(spark, folder):
 
 @query
 def min_history(spark, folder):
-    return quality.min_history(core_series(slim_fact(spark, folder), CFG), CFG)
+    """Lengths chosen among those of the suppliers' series."""
+    cfg = Config(min_encoder_length=2475, max_encoder_length=2475, horizon=10)
+    return quality.min_history(core_series(slim_fact(spark, folder), cfg), cfg)
 
 
 # ---------------------------------------------------------------- forecasts
@@ -721,6 +764,46 @@ def run_totals(spark, folder):
                                ("total_median_gbp", "total_expected_gbp")})
 
 
+def uneven_fact(spark, folder) -> DataFrame:
+    """Nations of which some stop early, some start late, and some sell nothing at the end."""
+    kind = F.col(MERCHANT).cast("int") % 5
+    rows = slim_fact(spark, folder, "nation").where(
+        ~((kind == 0) & (F.col(DATE) >= dt.date(1999, 1, 1)))
+        & ~((kind == 1) & (F.col(DATE) < dt.date(2001, 6, 1))))
+    silent = (kind == 2) & (F.col(DATE) >= dt.date(2001, 1, 1))
+    revenue = F.col(CFG.raw_target).cast("double")
+    return rows.withColumn(CFG.raw_target, F.when(silent, 0.0).otherwise(revenue))
+
+
+def _uneven_run(spark, folder) -> plan.Forecasts:
+    return plan.Forecasts.of(snapshot(observe(uneven_fact(spark, folder), CFG), "observed"), CFG)
+
+
+@query
+def forecast_summary_uneven(spark, folder):
+    return _rounded_summary(_uneven_run(spark, folder).summary)
+
+
+@query
+def run_totals_uneven(spark, folder):
+    totals = summary.run_totals(_uneven_run(spark, folder).summary)
+    return totals.withColumns({c: r(F.col(c), 2) for c in
+                               ("total_median_gbp", "total_expected_gbp")})
+
+
+@query
+def quantile_order(spark, folder):
+    """Levels out of order: columns of line items as if they were quantiles."""
+    price, quantity, tax = (F.col(f"l_{c}") for c in ("extendedprice", "quantity", "tax"))
+    levels = F.array(quantity * 1000, price, tax * 500000, price / quantity * 10)
+    rows = fixture.table(spark, folder, "lineitem").select(
+        F.col("l_suppkey").alias(MERCHANT), quantiles.crossings(levels, 4).alias("crossings"),
+        quantiles.rearranged(levels).alias("q"))
+    return rows.groupBy(MERCHANT).agg(
+        F.sum("crossings").cast("long").alias("crossings"),
+        *[r(F.sum(F.col("q")[i]), 2).alias(f"level_{i + 1}") for i in range(4)])
+
+
 @query
 def recent_level(spark, folder):
     history = summary.merchant_history(stored_series(spark, folder, "nation"), F.lit(10**9), CFG)
@@ -774,6 +857,20 @@ def whale_share(spark, folder):
                         *[r(c, 5) for c in ("raw_share", "log_share", "raw_spread", "log_spread")])
 
 
+@query
+def whale_share_scaled(spark, folder):
+    """Revenue scaled by nation, so that the smallest and the largest band are filled."""
+    kind = F.col(MERCHANT).cast("int") % 3
+    factor = F.when(kind == 0, 0.001).when(kind == 1, 10.0).otherwise(1.0)
+    rows = fact(spark, folder, "nation", calendar=True).withColumn(
+        CFG.raw_target, F.col(CFG.raw_target).cast("double") * factor)
+    panel = snapshot(prepare(snapshot(rows, "fact"), CFG).panel.select(
+        MERCHANT, *[c for pair in quality.SCALED_PAIRS for c in pair]), "panel")
+    table = quality.whale_share(panel, CFG)
+    return table.select("column_name", "rows", "whale_rows", "passes",
+                        *[r(c, 5) for c in ("raw_share", "log_share", "raw_spread", "log_spread")])
+
+
 # ---------------------------------------------------------------- rollup and files
 
 def _actuals(spark, folder, merchant="supplier"):
