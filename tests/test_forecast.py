@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tillcast.config import Config
 from tillcast.functions import quantiles as q
 from tillcast.functions.columns import size_band
+from tillcast.functions import stats
 from tillcast.functions.stats import exact_percentiles, sample_skewness
 from tillcast.operators import baselines, forecast as fc, metrics, normaliser as norm
 from tillcast.operators import panel as pnl, summary
@@ -154,6 +155,40 @@ def test_exact_percentiles_per_key_with_a_hot_value(spark):
         assert r.percentiles == pytest.approx(list(data[data.k == r.k].x.quantile(LEVELS)))
 
 
+@pytest.mark.parametrize("scale", [1e-12, 1.0, 1e12])
+def test_exact_percentiles_at_any_magnitude(spark, scale):
+    """Values of a narrow range are ordered in part only, whatever their size."""
+    frame = spark.range(0, 200_000, 1, 8).select(
+        (F.pmod(F.xxhash64("id"), F.lit(100_000)) * scale).alias("x"))
+    row = exact_percentiles(frame, "x", LEVELS).first()
+    assert row.percentiles == pytest.approx(
+        list(frame.toPandas().x.quantile(LEVELS)), rel=1e-12, abs=0)
+
+
+def test_a_bad_sketch_does_not_change_percentiles(spark, monkeypatch):
+    monkeypatch.setattr(stats, "ACCURACY", 3)
+    frame = spark.range(0, 1000, 1, 8).select((F.col("id") % 3).alias("k"), F.sqrt("id").alias("x"))
+    data = frame.toPandas()
+    for r in exact_percentiles(frame, "x", LEVELS, ["k"]).collect():
+        assert r.percentiles == pytest.approx(list(data[data.k == r.k].x.quantile(LEVELS)))
+
+
+def test_no_values_have_no_percentiles(spark):
+    empty = spark.createDataFrame([], "k string, x double")
+    assert exact_percentiles(empty, "x", [0.5]).count() == 0
+    assert exact_percentiles(empty, "x", [0.5], ["k"]).count() == 0
+
+
+def test_percentiles_without_cross_joins_or_many_exchanges(spark):
+    frame = spark.range(100).select((F.col("id") % 3).alias("k"), F.rand(1).alias("x"))
+    for keys in ([], ["k"]):
+        plan = exact_percentiles(frame, "x", [0.1, 0.5], keys)
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in text and "Cartesian" not in text
+    shuffles = [line for line in text.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(shuffles) <= 6
+
+
 def test_skewness_is_bias_corrected(spark):
     row = spark.createDataFrame([(x,) for x in (1.0, 2.0, 10.0, 20.0)], "x double").agg(
         sample_skewness(F.col("x"))).first()

@@ -6,6 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+#: Of the sketch: brackets reach two steps of it to either side of the rank.
+ACCURACY = 10_000
+
 
 def sample_skewness(column: Column) -> Column:
     """Bias-corrected skewness; NULL below three values."""
@@ -18,56 +21,61 @@ def exact_percentiles(frame: DataFrame, value: str, levels: Sequence[float],
     """Interpolated percentiles per key, as ``(keys..., percentiles ARRAY<DOUBLE>)``.
 
     The built-in exact percentile gathers all distinct values of a key in one task.
-    Here equal values are counted first, then two rounds of log-spaced buckets (at most
-    some 45,000 and 4,096 per key) find the buckets the wanted ranks fall in, and only
-    those few buckets are put in order.
+    Here a mergeable sketch brackets each rank, a second pass counts what lies below and
+    inside the brackets, and only values inside them are put in order: some 4 in
+    ``ACCURACY`` of a key's rows, equal ones counted as one.  An end of a bracket that the
+    counts prove wrong is left open, so the result never leans on the sketch.  Without keys
+    the brackets are scalars; with keys they are joined.  Keys without a value give no row.
     """
     keys = list(keys)
-    only = [*keys, "_all"]
-    scaled = F.signum("_v") * F.log1p(F.abs("_v")) * 64
-    counts = (
-        frame.select(*keys, F.lit(1).alias("_all"), F.col(value).cast("double").alias("_v"))
-        .where("_v IS NOT NULL")
-        .groupBy(*only, "_v").agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_coarse", F.floor(scaled))
-        .withColumn("_fine", F.floor((scaled - F.floor(scaled)) * 4096))
-    )
-    position = F.col("_total_less_one") * F.col("_level.p")
-    wanted = (
-        counts.groupBy(*only).agg((F.sum("_n") - 1).alias("_total_less_one"))
-        .withColumn("_level", F.explode(F.array(*[
-            F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p"))
-            for i, p in enumerate(levels)])))
-        .withColumn("_weight", position - F.floor(position))
-        .withColumn("_end", F.explode(F.array(F.lit(0), F.lit(1))))
-        .select(*only, F.col("_level.i").alias("_i"), "_weight", "_end",
-                F.when(F.col("_end") == 0, F.floor(position))
-                .otherwise(F.ceil(position)).alias("_rank"))
-    )
-    settled = list(only)
-    for step in ("_coarse", "_fine", "_v"):
-        inside = counts
-        if step != "_coarse":
-            inside = counts.join(wanted.select(*settled).distinct(), settled, "left_semi")
-        sizes = (
-            inside.groupBy(*settled, step).agg(F.sum("_n").alias("_size"))
-            .withColumn("_before", F.sum("_size").over(
-                W.partitionBy(*settled).orderBy(step)
-                .rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("_size"))
-        )
-        wanted = (
-            wanted.join(sizes, settled)
-            .where((F.col("_rank") >= F.col("_before"))
-                   & (F.col("_rank") < F.col("_before") + F.col("_size")))
-            .withColumn("_rank", F.col("_rank") - F.col("_before"))
-            .drop("_before", "_size")
-        )
-        settled.append(step)
-    low = F.max(F.when(F.col("_end") == 0, F.col("_v")))
-    high = F.max(F.when(F.col("_end") == 1, F.col("_v")))
-    per_level = wanted.groupBy(*only, "_i", "_weight").agg(
-        (low + (high - low) * F.col("_weight")).alias("_value"))
-    ordered = F.array_sort(F.collect_list(F.struct("_i", "_value")))
-    return (per_level.groupBy(*only)
+    values = frame.select(*keys, F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL")
+    margin = 2 / ACCURACY
+    ends = [end for p in levels for end in (max(0.0, p - margin), min(1.0, p + margin))]
+    sketch = values.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", ends, ACCURACY).alias("_cuts"))
+    cuts = [f"_cut{i}" for i in range(len(ends))]
+    counts = _beside(values, sketch, keys).select(
+        *keys, "_v", F.col("_m._n").alias("_n"),
+        *[F.get("_m._cuts", F.lit(i)).alias(c) for i, c in enumerate(cuts)]
+    ).groupBy(*keys, "_n", *cuts).agg(
+        *[F.count_if(F.col("_v") < F.col(c)).alias(f"_below{c}") for c in cuts[::2]],
+        *[F.count_if(F.col("_v") <= F.col(c)).alias(f"_upto{c}") for c in cuts[1::2]])
+    wanted = []
+    for i, p in enumerate(levels):
+        position = (F.col("_n") - 1) * F.lit(float(p))
+        first, last = F.floor(position), F.ceil(position)
+        low, high = cuts[2 * i], cuts[2 * i + 1]
+        begins = F.col(f"_below{low}") <= first
+        wanted.append(F.struct(
+            F.lit(i).alias("i"), (position - first).alias("weight"),
+            first.alias("first"), last.alias("last"),
+            F.when(begins, F.col(low)).alias("low"),
+            F.when(last < F.col(f"_upto{high}"), F.col(high)).alias("high"),
+            F.when(begins, F.col(f"_below{low}")).otherwise(F.lit(0)).alias("before")))
+    brackets = counts.select(*keys, F.array(*wanted).alias("_wanted"))
+    v = F.col("_v")
+    inside = F.filter("_m._wanted", lambda w: F.coalesce(v >= w["low"], F.lit(True))
+                      & F.coalesce(v <= w["high"], F.lit(True)))
+    rank = ["i", "weight", "first", "last", "before"]
+    counted = (_beside(values, brackets, keys).select(*keys, "_v", F.inline(inside))
+               .groupBy(*keys, *rank, "_v").agg(F.count(F.lit(1)).alias("_size")))
+    running = W.partitionBy(*keys, "i").orderBy("_v").rowsBetween(
+        W.unboundedPreceding, W.currentRow)
+    placed = counted.withColumn("_end", F.col("before") + F.sum("_size").over(running))
+
+    def at(place: str) -> Column:
+        here = (F.col(place) >= F.col("_end") - F.col("_size")) & (F.col(place) < F.col("_end"))
+        return F.max(F.when(here, F.col("_v")))
+
+    per_level = placed.groupBy(*keys, "i", "weight").agg(
+        (at("first") + (at("last") - at("first")) * F.col("weight")).alias("_value"))
+    ordered = F.array_sort(F.collect_list(F.struct("i", "_value")))
+    return (per_level.groupBy(*keys)
             .agg(F.transform(ordered, lambda s: s["_value"]).alias("percentiles"))
-            .drop("_all"))
+            .where(F.size("percentiles") > 0))
+
+
+def _beside(frame: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """Each row with its key's row of a table as ``_m``; the only row is a scalar."""
+    packed = table.select(*keys, F.struct(*[c for c in table.columns if c not in keys]).alias("_m"))
+    return frame.join(packed, keys) if keys else frame.withColumn("_m", packed.scalar())
