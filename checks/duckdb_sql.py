@@ -505,6 +505,12 @@ def oracles() -> dict[str, str]:
     days = "SELECT DISTINCT request_date FROM txn"
     out["calendar_lookup"] = ctes(txn(), HOLIDAY) + (
         f"SELECT request_date, {calendar_select('request_date', FLAG)} FROM ({days})")
+    out["calendar_lookup_first_row"] = """SELECT request_date, day_of_week, day_name, day_type
+    FROM (SELECT CAST(l_shipdate AS DATE) AS request_date, l_linenumber AS day_of_week,
+      l_returnflag AS day_name, l_linestatus AS day_type, ROW_NUMBER() OVER (
+        PARTITION BY CAST(l_shipdate AS DATE)
+        ORDER BY l_orderkey, l_linenumber, l_returnflag, l_linestatus) AS k FROM lineitem)
+    WHERE k = 1"""
     out["calendar_dim"] = out["calendar_lookup"]
     out["calendar_week"] = ctes(txn(), calendar_dim(91)) + (
         "SELECT request_date, calendar_week_of_year FROM dim")
@@ -705,6 +711,8 @@ rules AS (SELECT h FROM holiday WHERE h BETWEEN (SELECT MIN(request_date) FROM t
     q_logs = ", ".join(r(f"q[{i + 1}]", 6, c) for i, c in enumerate(Q))
     out["quantile_forecast"] = ctes(*base("region"), CUT, LATEST) + (
         f"SELECT merchant_id, origin_time_idx, step, time_idx, {q_logs} FROM predicted")
+    out["ml_forecast_keys"] = ctes(*base("nation"), CUT, LATEST) + (
+        "SELECT merchant_id, origin_time_idx, step, time_idx, date FROM predicted")
     out["quantile_forecast_by_origin"] = out["quantile_forecast"]
     out["forecast_report"] = ctes(*base("region"), *latest) + f"""SELECT merchant_id, time_idx, date,
     {', '.join(r(c, 4) for c in ('q35', 'q50', 'q65', 'expected_gbp'))} FROM tab"""
@@ -856,6 +864,12 @@ rep AS (SELECT *, hm / GREATEST(rm, 1e-9) AS lr, he / GREATEST(hm, 1e-9) AS dr F
                            ("forecast_files_text_ids", "forecast_files_scan")):
         head, tail = out[numbered].rsplit("CAST(merchant_id AS BIGINT) AS merchant_id", 1)
         out[name] = head + "'S-' || merchant_id || ' a/b+50%' AS merchant_id" + tail
+    for name, same in (("log_files", "daily_fact"), ("fact_files", "daily_fact_by_region"),
+                       ("prediction_files", "holdout_predictions"),
+                       ("summary_files", "forecast_summary"),
+                       ("consolidated_files", "forecast_report"),
+                       ("rollup_files", "monthly_rollup"), ("metric_files", "forecast_metrics")):
+        out[name] = out[same]
     out["event_series"] = ctes("""clean AS (SELECT CAST(ts AS DATE) AS request_date,
     CAST(user_id AS VARCHAR) AS merchant_id, COUNT(*) AS n,
     CAST(SUM(CASE WHEN event_type <> 'error' THEN CAST(value AS DECIMAL(18,2)) ELSE 0 END)

@@ -188,6 +188,17 @@ def calendar_lookup(spark, folder):
     return cal.calendar_lookup(log(spark, folder, calendar=True))
 
 
+@query
+def calendar_lookup_first_row(spark, folder):
+    """Rows of a date disagree about its labels: the earliest speaks, as a whole."""
+    items = fixture.table(spark, folder, "lineitem")
+    rows = items.select(F.col("l_shipdate").cast("date").alias(DATE), "l_orderkey",
+                        F.col("l_linenumber").alias("day_of_week"),
+                        F.col("l_returnflag").alias("day_name"),
+                        F.col("l_linestatus").alias("day_type"))
+    return cal.calendar_lookup(rows, "l_orderkey")
+
+
 @query
 def calendar_dim(spark, folder):
     days = log(spark, folder).select(DATE).distinct()
@@ -631,6 +642,16 @@ def ml_quantile_forecast(spark, folder):
                        *[r(F.col("q_log")[i]).alias(c) for i, c in enumerate(QCOLS)])
 
 
+@query
+def ml_forecast_keys(spark, folder):
+    """Merchant, origin, step and date of every row the fitted forecaster gives."""
+    ready = prepared(spark, folder, "nation")
+    first_day = pnl.axis_start(ready.observed)
+    return learned_forecast(ready, CFG).select(
+        MERCHANT, "origin_time_idx", "step", TIME,
+        F.date_add(first_day, F.col(TIME).cast("int")).alias("date"))
+
+
 @query
 def decoder_dates(spark, folder):
     ready, calendar = _future(spark, folder)
@@ -957,6 +978,73 @@ def forecast_files_text_ids(spark, folder):
         MERCHANT, TIME, DATE, *[r(c, 4) for c in ("q35", "q50", "q65", "expected_gbp")])
 
 
+# ---------------------------------------------------------------- files
+
+def _path(spark, name: str) -> str:
+    return f"{staging_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _csv(spark, frame, path):
+    return spark.read.schema(frame.schema).option("header", True).csv(path)
+
+
+@query
+def log_files(spark, folder):
+    """The log written under its full schema and read back by path."""
+    path = _path(spark, "log")
+    rows = log(spark, folder, calendar=True)
+    rows.select(*[F.col(f.name).cast(f.dataType) for f in readers.TRANSACTION_SCHEMA]).write.parquet(path)
+    facts = daily.daily_fact(readers.read_transactions(spark, path))
+    return facts.withColumns({
+        "merchant_created_datetime": F.col("merchant_created_datetime").cast("date"),
+        **{c: F.col(c).cast("double") for c in facts.columns if c.endswith("_gbp")}})
+
+
+@query
+def fact_files(spark, folder):
+    path = _path(spark, "fact")
+    sinks.write_fact(daily_fact_by_region(spark, folder), path)
+    return readers.load_fact(spark, path)
+
+
+@query
+def prediction_files(spark, folder):
+    path = _path(spark, "predictions")
+    sinks.write_predictions(holdout_predictions(spark, folder), path)
+    return spark.read.parquet(path)
+
+
+@query
+def summary_files(spark, folder):
+    path, table = _path(spark, "summary"), _table(spark, folder).summary
+    sinks.write_summary(table, path)
+    return _rounded_summary(_csv(spark, table, path))
+
+
+@query
+def consolidated_files(spark, folder):
+    path = _path(spark, "consolidated")
+    table = fc.report_columns(_table(spark, folder).table, CFG)
+    sinks.write_consolidated(table.withColumnRenamed("date", DATE), path)
+    return _csv(spark, table, path).select(
+        MERCHANT, TIME, "date", *[r(c, 4) for c in ("q35", "q50", "q65", "expected_gbp")])
+
+
+@query
+def rollup_files(spark, folder):
+    path, source = _path(spark, "months"), snapshot(slim_fact(spark, folder, "region"), "fact")
+    months = plan.monthly(source, _run(source).table, CFG)
+    sinks.write_rollup(months, path)
+    return _numbered(_rounded_months(_csv(spark, months, path)))
+
+
+@query
+def metric_files(spark, folder):
+    path, table = _path(spark, "metrics"), forecast_metrics(spark, folder)
+    sinks.write_metrics(table, path)
+    return spark.read.schema(table.schema).json(path)
+
+
 @query
 def event_series(spark, folder):
     """The other fixture: a week's horizon over a month of user events."""

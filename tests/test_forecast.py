@@ -68,6 +68,20 @@ def test_forecast_is_the_weekday_quantile(make_series):
     assert [(r.merchant_id, r.history_days) for r in missing] == [("short", 27)]
 
 
+@pytest.mark.parametrize("part", ["train", "validation", "holdout"])
+def test_windows_and_join_give_the_same_forecasts(make_series, part):
+    cfg = Config(horizon=10, val_days=20, max_encoder_length=30, min_encoder_length=4)
+    series = make_series({"a": (3, [float(i % 11) for i in range(80)]),
+                          "b": (40, [float(i % 5) for i in range(43)])})
+    left = fc.forecast_part(series, part, cfg)
+    right = fc.forecast(series, pnl.window_origins(series, part, cfg), cfg).select(*left.columns)
+    key = lambda r: (r.merchant_id, r.origin_time_idx, r.step)
+    one, two = sorted(left.collect(), key=key), sorted(right.collect(), key=key)
+    assert one and list(map(key, one)) == list(map(key, two))
+    for x, y in zip(one, two):
+        assert x.time_idx == y.time_idx and x.q_log == pytest.approx(y.q_log, abs=1e-12)
+
+
 def test_latest_and_general_forms_agree(make_series):
     series = make_series({"a": (3, [float(i % 11) for i in range(200)]),
                           "b": (9, [float(i % 5) for i in range(40)])})

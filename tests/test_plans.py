@@ -135,6 +135,13 @@ def test_origins_are_a_filter(make_series):
         assert not re.search(r"\bExchange\b|Join|Window", text)
 
 
+def test_evaluation_windows_need_no_join(make_series):
+    series = make_series({"a": (0, [1.0] * 500)})
+    for part in ("validation", "holdout"):
+        text = physical(fc.forecast_part(series, part))
+        assert "Join" not in text and len(re.findall(r"\bExchange\b", text)) == 1
+
+
 def test_top_reports_do_not_sort_everything(make_series):
     run = plan.Forecasts(make_series({"a": (0, [1.0] * 200)}))
     assert "TakeOrderedAndProject" in physical(summary.sanity_failures(run.summary))

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tillcast.config import Config
-from tillcast.operators import quality, rollup
+from tillcast.operators import normaliser as norm, panel as pnl, quality, rollup
 from tillcast.plans import forecasting as plan
 from tillcast.sources import readers, sinks
 
@@ -104,6 +104,35 @@ def test_no_merchant_is_lost_for_its_id(spark, make_series, make_fact, tmp_path)
     assert {r.merchant_id for r in months.collect()} == set(ids)
 
 
+def test_delivery_checks_before_it_writes(spark, make_series, make_fact, tmp_path):
+    series = make_series({"a": (0, [float(i % 9) for i in range(200)])})
+    table = plan.Forecasts(series).table
+    plan.require_deliverable(series, table)
+    with pytest.raises(ValueError, match="target"):
+        plan.require_deliverable(series.withColumn("tpv", F.lit(None).cast("double")), table)
+    with pytest.raises(ValueError, match="history"):
+        plan.require_deliverable(series, table.where("merchant_id = 'b'"))
+    with pytest.raises(ValueError, match="forecast day"):
+        plan.require_deliverable(series, table.where("step <> 5"))
+    fact = make_fact([("a", n, float(n % 9), 1) for n in range(200)])
+    plan.deliver(fact, str(tmp_path / "out"))
+    assert readers.read_forecasts(spark, str(tmp_path / "out" / "forecasts")).count() == 91
+    short = make_fact([("a", n, float(n % 9), 1) for n in range(20)])
+    with pytest.raises(ValueError, match="history"):
+        plan.deliver(short, str(tmp_path / "short"), Config(min_series_days=5, min_active_days=5))
+    assert not (tmp_path / "short").exists()
+
+
+def test_windows_scaled_by_another_pair_are_an_error(make_series):
+    series = make_series({"a": (0, [float(i % 9) for i in range(400)])})
+    origins = pnl.window_origins(series, "holdout")
+    cutoff = pnl.Split(series).train_cutoff
+    fitted = norm.fit_normaliser(series.where(F.col("time_idx") <= cutoff))
+    norm.require_aligned(origins, series, fitted, cutoff)
+    with pytest.raises(ValueError, match="pair"):
+        norm.require_aligned(origins, series, fitted.withColumn("center", F.lit(9.0)), cutoff)
+
+
 def test_other_sinks(spark, run, make_fact, tmp_path):
     fact = make_fact([("a", 0, 1.0, 1)])
     sinks.write_fact(fact, str(tmp_path / "fact"))

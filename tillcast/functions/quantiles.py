@@ -60,3 +60,11 @@ def crossings(array: Column, n_levels: int) -> Column:
 def pinball(actual: Column, predicted: Column, level: float) -> Column:
     shortfall = actual - predicted
     return F.greatest(F.lit(level) * shortfall, F.lit(level - 1.0) * shortfall)
+
+
+def of_sorted(values: Column, level: float) -> Column:
+    """A level's interpolated quantile of an ascending array with at least one element."""
+    position = (F.size(values) - 1) * F.lit(float(level))
+    below = F.floor(position).cast("int")
+    low, high = F.get(values, below), F.get(values, F.ceil(position).cast("int"))
+    return low + (high - low) * (position - below)

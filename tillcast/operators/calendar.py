@@ -122,8 +122,8 @@ def bank_holidays(spark: SparkSession, first: dt.date, last: dt.date) -> DataFra
 def calendar_lookup(fact: DataFrame, order: str | None = None) -> DataFrame:
     """The warehouse's own calendar: one row per date that has any row.
 
-    With an order column the earliest row of a date speaks for it; without one the
-    columns are taken as functions of the date, as the daily fact makes them.
+    With an order column the earliest row of a date speaks for it, the least row among
+    equals; without one the least row does.  Either way it is a row the warehouse has.
     """
     present = [c for c in CALENDAR_COLUMNS if c in fact.columns]
     # Hashing the few distinct rows per date first spares sorting the fact for its texts.
@@ -131,10 +131,10 @@ def calendar_lookup(fact: DataFrame, order: str | None = None) -> DataFrame:
         lookup = fact.select(DATE).distinct()
     elif order is None:
         lookup = fact.select(DATE, *present).distinct().groupBy(DATE).agg(
-            *[F.max(c).alias(c) for c in present])
+            F.min(F.struct(*present)).alias("_first")).select(DATE, "_first.*")
     else:
         earliest = fact.groupBy(DATE, *present).agg(F.min(order).alias("_order"))
-        first = F.min_by(F.struct(*present), "_order").alias("_first")
+        first = F.min_by(F.struct(*present), F.struct("_order", *present)).alias("_first")
         lookup = earliest.groupBy(DATE).agg(first).select(DATE, "_first.*")
     if "is_uk_bank_holiday" in present:
         lookup = lookup.withColumn("is_uk_bank_holiday", text_flag("is_uk_bank_holiday"))

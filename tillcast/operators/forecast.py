@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tillcast.config import Config, DATE, MERCHANT, TIME
 from tillcast.functions import quantiles as q
@@ -36,6 +36,36 @@ def forecast(series: DataFrame, origins: DataFrame, cfg: Config = Config()) -> D
     return _weekday_quantiles(pnl.encoder_rows(series, origins, [cfg.target]), cfg)
 
 
+def forecast_part(series: DataFrame, part: str, cfg: Config = Config(),
+                  max_t: Column | None = None) -> DataFrame:
+    """The same for the origins of an evaluation part, from windows instead of a join.
+
+    Such origins lie inside the dense series, which has a target on every day: the encoder is
+    the array of the days before the origin.  Days too early for the part's encoders are left
+    out before the window, and each origin's array is parted by weekday after thinning.
+    """
+    split = pnl.Split(series, cfg, max_t=max_t)
+    after = {"validation": split.sel_cutoff, "holdout": split.val_cutoff}
+    reach = series if part not in after else series.where(
+        F.col(TIME) > after[part] - cfg.max_encoder_length)
+    past = F.collect_list(cfg.target).over(
+        W.partitionBy(MERCHANT).orderBy(TIME).rowsBetween(-cfg.max_encoder_length, -1))
+    origins = pnl.window_origins(reach.withColumn("_past", past), part, cfg, max_t=split.max_t,
+                                 keep=["_past"])
+    # The day j places into the array is size - j days before the origin.
+    by_step = F.inline(F.array(*[
+        F.struct(F.lit(step).alias("_first"), F.sort_array(F.filter("_past", lambda x, j: (
+            F.size("_past") - j + step - 1) % 7 == 0)).alias("_values"))
+        for step in range(1, min(7, cfg.horizon) + 1)]))
+    parted = origins.select(*_KEY, by_step).where(F.size("_values") > 0)
+    step = F.explode(F.sequence(F.col("_first"), F.lit(cfg.horizon), F.lit(7)))
+    return (parted.select(*_KEY, "_first", F.array(*[
+                q.of_sorted(F.col("_values"), level) for level in cfg.quantiles]).alias("q_log"))
+            .select(*_KEY, step.alias("step"), "q_log")
+            .select(*_KEY, "step", (F.col("origin_time_idx") + F.col("step") - 1).alias(TIME),
+                    "q_log"))
+
+
 def forecast_latest(series: DataFrame, cfg: Config = Config()) -> DataFrame:
     """The same for every merchant's newest origin, in one job and without a join.
 

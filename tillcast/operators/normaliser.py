@@ -93,6 +93,14 @@ def mask_identity(origins: DataFrame, cfg: Config = Config(), code: str = "merch
         code, F.when(masked, F.lit(0)).otherwise(F.col(code)))
 
 
+def require_aligned(origins: DataFrame, panel: DataFrame, normaliser: DataFrame, cutoff,
+                    cfg: Config = Config()) -> None:
+    """Fail if any window's pair is not that of its merchant's own training rows."""
+    bad = scale_alignment(origins, panel, normaliser, cutoff, (), cfg=cfg).first()["mismatched"]
+    if bad:
+        raise ValueError(f"{bad} windows are scaled by a pair that is not their merchant's")
+
+
 def scale_alignment(origins: DataFrame, panel: DataFrame, normaliser: DataFrame, cutoff,
                     parts: Iterable[str] = ("part",), tolerance: float = 1e-2,
                     cfg: Config = Config()) -> DataFrame:

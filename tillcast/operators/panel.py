@@ -219,12 +219,14 @@ def split_bounds(panel: DataFrame, cfg: Config = Config(), full: bool = False) -
 
 
 def window_origins(panel: DataFrame, part: str, cfg: Config = Config(),
-                   full: bool = False, max_t: Column | None = None) -> DataFrame:
+                   full: bool = False, max_t: Column | None = None,
+                   keep: Iterable[str] = ()) -> DataFrame:
     """Forecast origins of one part: ``train``, ``validation`` or ``holdout``.
 
     An origin is the first decoder day.  It needs the shortest encoder before it and a
     whole horizon that ends inside both the part and the series.  On a dense panel each
     row is a candidate, so this is a filter: no window is ever materialised here.
+    ``keep`` names columns of the origin's row to carry along.
     Validation origins are thinned to every n-th of a series by arithmetic on the index.
     """
     split = Split(panel, cfg, full, max_t)
@@ -243,7 +245,7 @@ def window_origins(panel: DataFrame, part: str, cfg: Config = Config(),
     encoder_start = F.greatest(start, origin - cfg.max_encoder_length)
     return panel.where(usable).select(
         MERCHANT, origin.alias("origin_time_idx"), encoder_start.alias("encoder_start_idx"),
-        (origin - encoder_start).alias("encoder_length"))
+        (origin - encoder_start).alias("encoder_length"), *keep)
 
 
 def latest_origins(series: DataFrame, cfg: Config = Config()) -> DataFrame:

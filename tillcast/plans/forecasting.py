@@ -8,8 +8,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tillcast.config import Config, DATE, MERCHANT, TIME
 from tillcast.functions.staging import snapshot
-from tillcast.operators import baselines, forecast as fc, metrics, panel, rollup, summary
-from tillcast.plans.prepare import core_columns, dense_series
+from tillcast.operators import (
+    baselines, forecast as fc, metrics, panel, quality, rollup, summary,
+)
+from tillcast.plans.prepare import core_columns, dense_series, observe
+from tillcast.sources import sinks
 
 
 def first_day(series: DataFrame) -> Column:
@@ -68,8 +71,7 @@ def evaluation_rows(series: DataFrame, cfg: Config = Config(),
     frames = []
     end = None if observed is None else panel.axis_end(observed, cfg)
     for part in parts:
-        origins = panel.window_origins(series, part, cfg, max_t=end)
-        rows = fc.forecast(series, origins, cfg).withColumn("part", F.lit(part))
+        rows = fc.forecast_part(series, part, cfg, end).withColumn("part", F.lit(part))
         frames.append(rows)
     both = frames[0]
     for frame in frames[1:]:
@@ -91,6 +93,33 @@ def holdout_baselines(series: DataFrame, cfg: Config = Config(),
     return baselines.with_baselines(rows, series, cfg)
 
 
+def require_deliverable(series: DataFrame, table: DataFrame, cfg: Config = Config()) -> None:
+    """Fail unless all series are complete and each has one whole, dated forecast."""
+    quality.require_complete(series, cfg)
+    short = fc.missing_forecasts(series, table).count()
+    if short:
+        raise ValueError(f"{short} merchants have too little history for a forecast")
+    holes = table.groupBy(MERCHANT).agg(
+        F.count_distinct(F.when(F.col("date").isNotNull() & F.col("expected_gbp").isNotNull(),
+                                F.col("date"))).alias("days")).where(F.col("days") != cfg.horizon)
+    broken = holes.count()
+    if broken:
+        raise ValueError(f"{broken} merchants lack a date or a value on some forecast day")
+
+
+def deliver(fact: DataFrame, folder: str, cfg: Config = Config(),
+            order: list[str] | None = None) -> Forecasts:
+    """Forecast all merchants of a stored fact, check the result, and write what is delivered:
+    a folder per merchant, the summary and the monthly rollup."""
+    run = Forecasts.of(snapshot(observe(fact, cfg, order), "observed"), cfg)
+    table = snapshot(run.table, "forecasts")
+    require_deliverable(run.series, table, cfg)
+    sinks.write_forecasts(table, f"{folder}/forecasts", cfg)
+    sinks.write_summary(run.summary, f"{folder}/forecast_summary")
+    sinks.write_rollup(monthly(fact, table, cfg), f"{folder}/months")
+    return run
+
+
 def monthly(fact: DataFrame, table: DataFrame, cfg: Config = Config()) -> DataFrame:
     """Monthly rollup of the fact's actuals and a forecast table.  Merchant ids are text."""
     actuals = fact.select(F.col(MERCHANT).cast("string").alias(MERCHANT), DATE, cfg.raw_target)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tillcast.config import Config, TIME
 from tillcast.functions.staging import snapshot
-from tillcast.operators import features, learned, normaliser as norm, panel as pnl
+from tillcast.operators import features, learned, normaliser as norm, panel as pnl, quality
 from tillcast.plans.prepare import Prepared
 
 
@@ -18,6 +18,7 @@ def learned_forecast(prepared: Prepared, cfg: Config = Config()) -> DataFrame:
     without a scale of their own get the median pair.
     """
     panel = snapshot(prepared.panel, "panel")
+    quality.require_complete(panel, cfg)
     roles = features.column_roles(panel.columns, cfg)
     split = prepared.split(cfg)
     fitted = norm.fit_normaliser(panel.where(F.col(TIME) <= split.train_cutoff), cfg)
@@ -26,6 +27,7 @@ def learned_forecast(prepared: Prepared, cfg: Config = Config()) -> DataFrame:
     windows = pnl.window_origins(panel, "train", cfg, max_t=split.max_t)
     model = learned.fit(learned.inputs(panel, levels, windows, roles, cfg), roles, cfg)
     validation = pnl.window_origins(panel, "validation", cfg, max_t=split.max_t)
+    norm.require_aligned(validation, panel, fitted, split.train_cutoff, cfg)
     errors = snapshot(learned.residuals(
         model, learned.inputs(panel, levels, validation, roles, cfg)), "errors")
     ahead = pnl.with_future(panel, prepared.future_calendar(cfg), prepared.ratio_names, cfg)

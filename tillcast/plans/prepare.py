@@ -83,7 +83,8 @@ def prepare(fact: DataFrame, cfg: Config = Config(), filtered: bool = True,
     Pass a stored fact (see ``snapshot``): the sparse series and the calendar each read it.
     Both are stored, as the panel, the day axis and the date features refer to them again.
     """
-    lookup = snapshot(cal.calendar_lookup(daily.coerce_fact(fact)), "calendar")
+    lookup = snapshot(cal.calendar_lookup(
+        daily.coerce_fact(fact), order[0] if order else None), "calendar")
     covered = cal.covered_range(lookup)
     observed = snapshot(observe(fact, cfg, order), "observed")
     series = dense_series(observed, cfg, filtered)

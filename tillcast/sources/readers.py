@@ -64,16 +64,6 @@ def load_fact(spark: SparkSession, path: str, schema: T.StructType | None = None
     return reader.parquet(path)
 
 
-def spread(frame: DataFrame) -> DataFrame:
-    """Share out a scan that yields fewer partitions than there are task slots.
-
-    A small file in one row group is read by a single task, and all work up to the next
-    exchange would stay in it.  A log of many files passes through unchanged.
-    """
-    slots = frame.sparkSession.sparkContext.defaultParallelism
-    return frame.repartition(slots) if frame.rdd.getNumPartitions() < slots else frame
-
-
 def frame_size(frame: DataFrame) -> DataFrame:
     """Rows and columns of a table as one row."""
     return frame.agg(F.count(F.lit(1)).alias("rows")).withColumn(
