@@ -26,7 +26,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -160,7 +160,17 @@ def near_groups(prints: DataFrame, id_column: str = "doc_id", block: int = BLOCK
     """(fingerprint, component_id): for each distinct fingerprint the least id reachable."""
     entries = snapshot(prints.groupBy(F.col("fingerprint").alias("fp"))
                        .agg(F.min(id_column).alias("least")), "entries")
-    nodes = components(links(entries, block))
+    return _least_of(entries, links(entries, block))
+
+
+def least_ids(prints: DataFrame, id_column: str, found: DataFrame) -> DataFrame:
+    """The same by given links between fingerprints."""
+    return _least_of(prints.groupBy(F.col("fingerprint").alias("fp"))
+                     .agg(F.min(id_column).alias("least")), found)
+
+
+def _least_of(entries: DataFrame, found: DataFrame) -> DataFrame:
+    nodes = components(found)
     joined = entries.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "least", F.coalesce("component", "fp").alias("component"))
     least = joined.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -189,7 +199,11 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     prints = snapshot(docs.select(
         F.col(id_column).alias("id"), key.alias("row"),
         _fingerprints(F.col(text_column)).alias("fingerprint")), "fingerprints")
-    groups = near_groups(prints, "id", block)
+    return keep_rows(docs, key, prints, near_groups(prints, "id", block))
+
+
+def keep_rows(docs: DataFrame, key: Column, prints: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, by their ``prints`` (id, row, fingerprint) and groups."""
     chosen = (prints.join(groups, "fingerprint")
               .where(F.col("id").eqNullSafe(F.col("component_id")))
               .groupBy("fingerprint", "component_id").agg(F.min("row").alias("row")))
