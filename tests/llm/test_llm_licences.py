@@ -1,7 +1,10 @@
 """License scans: canonical forms, whole texts and notices."""
 
+import re
+
 from tillcast.llm import licences
 
+LICENCE_LIKE = re.compile(r"licen[cs]e|spdx|creative commons|\bcc[ -]by|rights reserved", re.I)
 MIT = licences.TEXTS["MIT"]
 TEXTS = [
     MIT, "MIT Licence\n\nCopyright (c) 2020 Someone\n\n" + MIT.upper().replace("\n", "\r\n"),
@@ -31,3 +34,25 @@ def test_awkward_rows_and_columns(awkward):
     rows = licences.scan(awkward).collect()
     assert len(rows) == 10 and not any(r.license or r.n_notices for r in rows)
     assert licences.scan(awkward.limit(0)).count() == 0
+
+
+def test_no_licence_line_of_the_table_is_missed(spark, small, docs):
+    frame = spark.read.parquet(f"{small.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    lines = sorted({x for r in frame.collect() for x in (r.text or "").split("\n")
+                    if len(x) < 200 and LICENCE_LIKE.search(x)})
+    rows = licences.scan(docs(lines)).collect()
+    assert len(lines) > 4
+    # This line claims rights without naming a license.
+    assert [lines[r.doc_id] for r in rows if not r.n_notices] == ["All rights reserved."]
+
+
+def test_creative_commons_family(docs):
+    texts = {"Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Released under CC-BY-SA-3.0": "CC-BY-SA-3.0",
+             "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives "
+             "4.0 International License.": "CC-BY-NC-ND-4.0",
+             "Licensed under the Creative Commons Attribution 3.0 Unported License": "CC-BY-3.0",
+             "# SPDX-License-Identifier: CC-BY-ND-4.0": "CC-BY-ND-4.0",
+             "SPDX-License-Identifier: GPL-2.0-or-later": "GPL-2.0-or-later",
+             "Licensed under CC BY-NC": "", "Licensed under GPLv3.": "GPL-3.0"}
+    rows = licences.scan(docs(list(texts))).collect()
+    assert {list(texts)[r.doc_id]: r.notices for r in rows} == texts

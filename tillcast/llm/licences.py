@@ -89,10 +89,42 @@ NAMES = {
     "LGPL-3.0": ["GNU Lesser General Public License, Version 3"],
     "MPL-2.0": ["Mozilla Public License, Version 2.0", "Mozilla Public License 2.0"],
     "CC-BY-4.0": ["Creative Commons Attribution 4.0 International License"],
-    "CC0-1.0": ["CC0 1.0 Universal"], "Unlicense": ["Unlicense"],
+    "CC0-1.0": ["CC0 1.0 Universal", "CC0 1.0", "CC0", "Creative Commons Zero v1.0 Universal"],
+    "Unlicense": ["Unlicense"],
+    "MIT-0": ["MIT No Attribution"], "0BSD": ["BSD Zero Clause License"],
+    "AGPL-3.0": ["GNU Affero General Public License, Version 3", "AGPLv3"],
+    "LGPL-2.1": ["GNU Lesser General Public License, Version 2.1", "LGPLv2.1"],
+    "EPL-1.0": ["Eclipse Public License 1.0"], "EPL-2.0": ["Eclipse Public License 2.0"],
+    "BSL-1.0": ["Boost Software License 1.0"], "Zlib": ["zlib License"],
+    "Artistic-2.0": ["Artistic License 2.0"], "OFL-1.1": ["SIL Open Font License 1.1"],
+    "ODbL-1.0": ["Open Database License 1.0"], "EUPL-1.2": ["European Union Public License 1.2"],
+    "CDDL-1.0": ["Common Development and Distribution License 1.0"],
+    "PSF-2.0": ["Python Software Foundation License 2.0"], "WTFPL": ["WTFPL"],
+    "NCSA": ["University of Illinois/NCSA Open Source License"], "PostgreSQL": ["PostgreSQL License"],
 }
-VERBS = ("Released under the", "Licensed under the", "Distributed under the",
-         "This work is licensed under the", "Available under the")
+for _key, _names in {"Apache-2.0": ["Apache 2.0"], "GPL-2.0": ["GPLv2", "GPL v2"],
+                     "GPL-3.0": ["GPLv3", "GPL v3"], "LGPL-3.0": ["LGPLv3"],
+                     "MPL-2.0": ["MPL 2.0"]}.items():
+    NAMES[_key] += _names
+for _key in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0"):
+    NAMES |= {f"{_key}-only": [], f"{_key}-or-later": []}
+#: The Creative Commons family: short name -> spellings of the long one.
+_CC = {"BY": [""], "BY-SA": ["ShareAlike", "Share Alike"],
+       "BY-NC": ["NonCommercial", "Non-Commercial"],
+       "BY-ND": ["NoDerivatives", "NoDerivs", "No Derivatives"],
+       "BY-NC-SA": ["NonCommercial-ShareAlike", "Non-Commercial-Share Alike"],
+       "BY-NC-ND": ["NonCommercial-NoDerivatives", "NonCommercial-NoDerivs",
+                    "Non-Commercial-No Derivatives"]}
+for _short, _longs in _CC.items():
+    for _version, _realms in {"4.0": ["", " International"],
+                              "3.0": ["", " Unported", " International"]}.items():
+        NAMES.setdefault(f"CC-{_short}-{_version}", []).extend(
+            [f"Creative Commons {_short} {_version}",
+             *(f"Creative Commons Attribution{'-' * bool(_long)}{_long} {_version}{_realm}"
+               for _long in _longs for _realm in _realms)])
+VERBS = [f"{verb}{article}" for verb in ("Released under", "Licensed under", "Distributed under",
+                                         "This work is licensed under", "Available under")
+         for article in (" the", " a", " an", "")]
 #: Spellings that count as equal: pattern over lower-case letters -> spelling.
 SPELLINGS = {
     r"licence": "license", r"https": "http", r"sub[ -]licens": "sublicens",
@@ -118,12 +150,18 @@ def canonical_lines(text: Column) -> Column:
 def notices() -> dict[str, str]:
     """Notice -> license, built from the names, the verbs and the identifier line."""
     found = {f"SPDX-License-Identifier: {key}": key for key in NAMES}
-    for key, names in NAMES.items():
-        for name in names:
+    for key in NAMES:
+        for name in names_of(key):
             found |= {f"{verb} {name}": key for verb in VERBS}
     return found
 
 
+def names_of(key: str) -> list[str]:
+    """The names and the identifier of a license, each with and without the word License."""
+    names = dict.fromkeys([*NAMES[key], key])
+    return [*names, *(f"{n} License" for n in names if not n.lower().endswith("license"))]
+
+
 def known(spark, texts: dict[str, str]) -> DataFrame:
     """(digest, license) of texts, in a fixed and short list."""
     rows = spark.createDataFrame(list(texts.items()), "text string, license string")
