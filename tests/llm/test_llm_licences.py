@@ -56,3 +56,24 @@ def test_creative_commons_family(docs):
              "Licensed under CC BY-NC": "", "Licensed under GPLv3.": "GPL-3.0"}
     rows = licences.scan(docs(list(texts))).collect()
     assert {list(texts)[r.doc_id]: r.notices for r in rows} == texts
+
+
+def test_titles_and_holders_above_a_licence(docs):
+    apache = "Apache License\nVersion 2.0, January 2004\n\nTERMS AND CONDITIONS"
+    heads = ["The MIT License (MIT)\n\n", "Copyright The Foo Authors\n\n", "MIT License\nCopyright (c) Jo\n",
+             "Copyright law is fun\n", "More words\n"]
+    rows = {r.doc_id: r.license for r in licences.scan(docs([h + MIT for h in heads] + [apache])).collect()}
+    assert rows == {0: "MIT", 1: "MIT", 2: "MIT", 3: None, 4: None, 5: None}
+
+
+def test_given_texts(spark, docs):
+    apache = "Apache License\nVersion 2.0, January 2004\n\nTERMS AND CONDITIONS"
+    given = spark.createDataFrame(
+        [(apache, "Apache-2.0"), (apache, "Apache-2.0"), ("My licence: do as you like.", "Own"),
+         (None, "Null"), ("", "Empty"), ("MIT License", "Title"), ("text", None)],
+        "text string, license string")
+    texts = [apache.upper(), "Copyright 2020 Jo\n" + apache, "Apache License 2.0\n" + apache,
+             "my license - do as you like", MIT, "", None, "text", "MIT License"]
+    rows = {r.doc_id: r.license for r in licences.scan(docs(texts), texts=given).collect()}
+    assert rows == {0: "Apache-2.0", 1: "Apache-2.0", 2: "Apache-2.0", 3: "Own", 4: "MIT",
+                    5: None, 6: None, 7: None, 8: "Title"}

@@ -3,8 +3,10 @@
 A text is brought into a canonical form: A-Z in lower case, copyright lines left out,
 equivalent spellings replaced, and everything but letters and digits turned into one space.
 The digest of the whole form is looked up among the digests of known license texts, and the
-digests of its single lines among those of known notices.  Both lists are fixed and short, so
-they are broadcast and no text is shuffled.
+digests of its single lines among those of known notices.  The shipped lists are fixed and short,
+so they are broadcast and no text is shuffled; digests of further texts are broadcast if a count
+proves them few.  A whole text that is not known as it stands is looked up without the titles and
+undated copyright lines above it.
 
 Defined results: a null or empty text, and one of copyright lines only, matches nothing; each
 row is scanned for itself; a notice on two lines of a text counts twice and is listed once.
@@ -13,10 +15,13 @@ Other columns do not matter.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillcast.llm.common import ascii_lower, held, row_key
+from tillcast.functions.staging import snapshot
+from tillcast.llm.common import ascii_lower, held, row_key, small_side
 
 # The published texts of short licenses, without their copyright lines.
 _MIT_GRANT = (
@@ -133,6 +138,8 @@ SPELLINGS = {
     r"copyright owner": "copyright holder", r"per cent": "percent", r"&": " and ",
 }
 COPYRIGHT_LINE = r"^[^\p{L}\p{N}©]*(copyright|©|\(c\))[^\n]*([0-9]{4}|©|\(c\))|^[^\p{L}\p{N}]*all rights reserved[^\p{L}\p{N}]*$"
+#: In canonical form, above a license: a copyright without a year.
+HOLDER_LINE = r"^(portions )?copyright (c )?(?!holder|owner|notice|law|license|statement)."
 PUNCTUATION = r"[^\p{L}\p{N}]+"
 
 
@@ -178,9 +185,47 @@ def known_texts() -> dict[str, str]:
     return plain | {f"{TITLES[key]}\n\n{text}": key for text, key in plain.items()}
 
 
-def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def titles() -> list[str]:
+    """Canonical forms of the lines that may stand above a license as its title."""
+    found = {f"{the}{name}{short}" for key in NAMES for name in {*names_of(key), TITLES.get(key, key)}
+             for the in ("", "the ") for short in ("", f" {key}")}
+    return sorted({re.sub("[^a-z0-9]+", " ", t.lower().replace("licence", "license")).strip()
+                   for t in found})
+
+
+def body(lines: Column) -> Column:
+    """Canonical lines without the titles and undated copyright lines at the top."""
+    head = F.transform(lines, lambda x: x.isin(titles()) | x.rlike(HOLDER_LINE))
+    first = F.array_position(head, False)
+    return F.when(first > 0, F.slice(lines, first.cast("int"), F.size(lines))).otherwise(
+        F.array().cast("array<string>"))
+
+
+def known_digests(spark, texts: DataFrame | None = None) -> DataFrame:
+    """(whole, digest, license): shipped and given texts, as they stand and as bodies.
+
+    A text given for several licenses counts for the least; null and empty ones for none.
+    """
+    rows = spark.createDataFrame(list(known_texts().items()), "text string, license string")
+    if texts is not None:
+        rows = rows.unionByName(texts.select("text", "license").where("license IS NOT NULL"))
+    lined = held(rows, lines=canonical_lines(F.col("text")))
+    lined = held(lined, rest=body(F.col("lines")))
+    digests = lined.select("license", F.inline(F.array(*(
+        F.struct(F.lit(whole).alias("whole"), whole_digest(F.col(c)).alias("digest"),
+                 F.size(c).alias("n"))
+        for whole, c in ((True, "lines"), (False, "rest")))))).where("n > 0")
+    return digests.groupBy("whole", "digest").agg(F.min("license").alias("license"))
+
+
+def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
+         texts: DataFrame | None = None) -> DataFrame:
     """Per row: id, ``digest`` of the canonical text, ``license`` of the whole text or null,
-    ``n_notices`` lines that are known notices, and ``notices``: their licenses."""
+    ``n_notices`` lines that are known notices, and ``notices``: their licenses.
+
+    ``texts`` (text, license) are whole licenses to know besides the shipped ones.  A text that
+    equals none as it stands is looked up by its body.
+    """
     spark = docs.sparkSession
     lined = held(docs.select(F.col(id_column), F.col(text_column).alias("whole text"),
                              row_key(F.col(id_column), F.col(text_column)).alias("row key")),
@@ -192,8 +237,17 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
                .dropDuplicates(["row key", "at"]).groupBy("row key")
                .agg(F.count(F.lit(1)).alias("n_notices"),
                     F.sort_array(F.collect_set("license")).alias("notices")))
-    whole = (lined.select(F.col(id_column), "row key", whole_digest(lines).alias("digest"))
-             .join(F.broadcast(known(spark, known_texts())), "digest", "left"))
+    digests = known_digests(spark, texts)
+    if texts is not None:
+        digests = snapshot(digests, "license_digests")
+    side = lambda whole, *names: (F.broadcast if texts is None else small_side)(
+        digests.where(F.col("whole") == whole).select(*(
+            F.col(c).alias(n) for c, n in zip(("digest", "license"), names, strict=True))))
+    whole = (lined.select(F.col(id_column), "row key", whole_digest(lines).alias("digest"),
+                          whole_digest(body(lines)).alias("body digest"))
+             .join(side(True, "digest", "license"), "digest", "left")
+             .join(side(False, "body digest", "body license"), "body digest", "left"))
     return whole.join(by_line, "row key", "left").select(
-        id_column, "digest", "license", F.coalesce("n_notices", F.lit(0)).alias("n_notices"),
+        id_column, "digest", F.coalesce("license", "body license").alias("license"),
+        F.coalesce("n_notices", F.lit(0)).alias("n_notices"),
         F.concat_ws(",", F.coalesce("notices", F.array().cast("array<string>"))).alias("notices"))
