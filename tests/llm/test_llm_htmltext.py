@@ -69,3 +69,27 @@ def test_awkward_rows_and_columns(spark):
     assert got.columns == ["page_id", "text", "N_CHARS", "text_", "n_chars_"]
     assert sorted(r.text_ for r in got.collect()) == ["", "", "a"]
     assert htmltext.extract(frame.limit(0)).count() == 0
+
+
+TEXT = LONG.strip()
+KEPT = {
+    "slug ids": (page(f"<article><h2 id='how-to-search'>How</h2><p>{LONG}</p><section id='social-impact'>"
+                      f"<h2 id=share-of-renewables>Share</h2><p class=login-flow>{LONG}</p></section>"
+                      "</article>"), f"How {TEXT} Share {TEXT}"),
+    "layout words": (page(f"<div class='content has-sidebar'><article><p>{LONG}</p></article></div>"), TEXT),
+    "own name": (page(f"<div class='post-content no-sidebar'><p>{LONG}</p><p>{LONG}</p></div>"
+                      "<div class='main-nav'>Menu</div>"), f"{TEXT} {TEXT}"),
+    "form around": (page(f"<form id=aspnet><nav>Menu</nav><article><p>{LONG}</p></article></form>"), TEXT),
+    "form without article": (page(f"<form><div><p>{LONG}</p><p>{LONG}</p></div></form>"), f"{TEXT} {TEXT}"),
+    "unclosed ad": (page(f"<div class=ad>Buy<article><p>{LONG}</p></article>"), TEXT),
+    "unclosed nav": (page(f"<nav><a href=x>Menu</a><article><p>{LONG}</p></article>"), TEXT),
+    "comments as articles": (page(f"<article><p>{LONG}</p><section id=comments><article class=comment>"
+                                  "<p>Nice.</p></article></section></article>"), TEXT),
+    "numbered ad": (page(f"<article><p>{LONG}</p><div id=ad-2>Buy</div></article>"), TEXT),
+}
+
+
+@pytest.mark.parametrize("name", KEPT)
+def test_names_and_wrappers(name):
+    html, expected = KEPT[name]
+    assert htmltext.main_text(html) == expected

@@ -2,7 +2,8 @@
 
 The page becomes a tree of elements.  What is never main text by its tag or its class (menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) is cut
-out first.  Each remaining node gets its characters per tag, adjusted by the links among
+out first, unless it holds an article or main element, or running text and over half of the
+page's unlinked characters.  Each remaining node gets its characters per tag, adjusted by the links among
 them; a node's sum is that of its children's densities, its own direct text counting as one
 child.  The node with the largest sum is the core.  If it stands in an article or main
 element, that element is the main text; otherwise every node whose density reaches the least
@@ -49,6 +50,16 @@ CUT_NAMES = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertis
 DOUBTFUL = {"header", "masthead", "banner", "notice", "notices", "disclaimer", "widget", "related",
             "recommended", "side", "skip", "topbar", "teaser", "teasers", "rail"}
 CONTENT_NAMES = {"article", "post", "entry", "content", "story", "body", "main"}
+#: Elements without text of their own for a reader: these go whatever they hold.
+NEVER = {"head", "script", "style", "noscript", "template", "select", "textarea", "input", "iframe",
+         "frame", "object", "embed", "applet", "svg", "canvas", "audio", "video", "map", "title",
+         "datalist"}
+#: Words of a class that speak of the layout: what follows one says nothing of the element.
+LAYOUT = {"has", "no", "with", "without", "hide", "show"}
+#: Elements whose names say nothing of their kind.
+UNNAMED = {"html", "body", "article", "main", "h1", "h2", "h3", "h4", "h5", "h6", "p"}
+#: Elements that running text stands in.
+PROSE = {"p", "pre", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6"}
 #: Start tags that end an open paragraph.
 CLOSES_P = {"address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div",
             "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4",
@@ -64,16 +75,19 @@ CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}),
           "option": ({"option"}, {"select", "datalist"})}
 _SPACES = re.compile(r"\s+")
 _NAME = re.compile(r"[a-z0-9]+")
+_NUMBER = re.compile(r"[-_]?[0-9]+$")
 
 
 class Node:
     """An element: its children are nodes and strings, in page order."""
 
-    __slots__ = ("tag", "names", "children", "chars", "link_chars", "tags", "link_tags",
-                 "density", "sum")
+    __slots__ = ("tag", "names", "named_cut", "children", "chars", "link_chars", "tags",
+                 "link_tags", "density", "sum", "holds", "prose", "plain")
 
-    def __init__(self, tag: str, names: frozenset = frozenset()):
-        self.tag, self.names, self.children = tag, names, []
+    def __init__(self, tag: str, names: frozenset = frozenset(), named_cut: bool = False):
+        self.tag, self.names, self.named_cut, self.children = tag, names, named_cut, []
+        self.holds = self.prose = False
+        self.plain = 0
         self.chars = self.link_chars = self.tags = self.link_tags = 0
         self.density = self.sum = 0.0
 
@@ -81,6 +95,30 @@ class Node:
         return [c for c in self.children if isinstance(c, Node)]
 
 
+def _names(attrs) -> tuple[frozenset, bool]:
+    """The words of an element's class and role and its id; whether these name boilerplate.
+
+    An id counts as a whole, but for a number at its end.  A class that names content, and
+    nothing else, outweighs the others.
+    """
+    names, cut, content = set(), False, False
+    for key, value in attrs:
+        if key == "id" and value:
+            name = _NUMBER.sub("", value.strip().lower())
+            names.add(name)
+            cut = cut or name in CUT_NAMES
+        elif key in ("class", "role") and value:
+            for token in value.lower().split():
+                words = _NAME.findall(token)
+                words = [w for w, before in zip(words, ["", *words]) if before not in LAYOUT]
+                names.update(words)
+                if not CUT_NAMES.isdisjoint(words):
+                    cut = True
+                elif words and words[-1] in CONTENT_NAMES:
+                    content = True
+    return frozenset(names), cut and not content
+
+
 class _Builder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -96,10 +134,7 @@ class _Builder(HTMLParser):
             self._close({"head"}, set())
         if tag in CLOSES:
             self._close(*CLOSES[tag])
-        names = frozenset(
-            w for key, value in attrs if key in ("class", "id", "role") and value
-            for w in _NAME.findall(value.lower()))
-        node = Node(tag, names)
+        node = Node(tag, *_names(attrs))
         self.open[-1].children.append(node)
         if tag not in VOID:
             self.open.append(node)
@@ -137,24 +172,49 @@ def parse(html: str) -> Node:
     return builder.root
 
 
-def _boilerplate(node: Node, in_article: bool) -> bool:
-    if node.tag in CUT or node.tag == "header" and not in_article:
+def _survey(root: Node) -> None:
+    """What each element holds: an article or main element, running text, unlinked characters."""
+    left, order = [root], []
+    while left:
+        node = left.pop()
+        order.append(node)
+        left += node.elements()
+    for node in reversed(order):
+        inner = [c for c in node.elements() if c.tag not in NEVER]
+        node.holds = any(c.holds or c.tag in ("article", "main") and not c.named_cut for c in inner)
+        node.prose = any(c.prose or c.tag in PROSE for c in inner)
+        node.plain = 0 if node.tag == "a" else sum(c.plain for c in inner) + sum(
+            _length(c) for c in node.children if isinstance(c, str))
+
+
+def _boilerplate(node: Node, in_article: bool, total: int) -> bool:
+    if node.tag in NEVER:
         return True
-    if node.tag in ("html", "body", "article", "main"):
+    if node.tag not in CUT and not (node.tag == "header" and not in_article):
+        if node.tag in UNNAMED:
+            return False
+        if not (node.named_cut or node.names & DOUBTFUL and not node.names & CONTENT_NAMES
+                and node.tag != "header"):
+            return False
+    # What holds most of the page's running text or the article is never cut whole.
+    if node.holds and not in_article:
+        if node.tag != "form":
+            node.children = [c for c in node.elements() if c.tag not in INLINE and (
+                c.holds or c.prose or c.tag in PROSE or c.tag in ("article", "main"))]
         return False
-    return bool(node.names & CUT_NAMES
-                or node.names & DOUBTFUL and not node.names & CONTENT_NAMES and node.tag != "header")
+    return not (node.prose and 2 * node.plain > total)
 
 
 def _cut(root: Node) -> list[Node]:
     """Take boilerplate out of the tree; the elements left, each before its children."""
+    _survey(root)
     left, order = [(root, False)], []
     while left:
         node, inside = left.pop()
         order.append(node)
         inside = inside or node.tag in ("article", "main")
         node.children = [c for c in node.children
-                         if not isinstance(c, Node) or not _boilerplate(c, inside)]
+                         if not isinstance(c, Node) or not _boilerplate(c, inside, root.plain)]
         left += [(c, inside) for c in reversed(node.elements())]
     return order
 
