@@ -81,3 +81,11 @@ def test_native_plan(spark, docs):
     frame = winnow.contamination(docs(["a b"]), spark.createDataFrame([(1, "a b")], "item_id long, text string"))
     plan = frame._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_long_items_are_not_broadcast(spark):
+    entries = spark.createDataFrame([(1, ["abc"] * 100), (2, ["de"])], "entry long, own array<string>")
+    marked = lambda **how: "broadcast" in (
+        winnow.small_words(entries, **how)._jdf.queryExecution().logical().toString())
+    assert marked(size=401) and not marked(size=400) and not marked(rows=1)
+    assert marked() and winnow.small_words(entries.limit(0)).count() == 0

@@ -19,9 +19,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillcast.functions.staging import snapshot
-from tillcast.llm.common import TOKEN, ascii_lower, held, row_key, small_side
+from tillcast.llm.common import BROADCAST_ROWS, TOKEN, ascii_lower, held, row_key, small_side
 
 GRAM = 5
+#: Benchmark items of more bytes of words than this are joined by a shuffle.
+BROADCAST_BYTES = 1 << 24
 
 
 def words_of(text: Column) -> Column:
@@ -83,6 +85,13 @@ class Benchmark:
         return [self.k, *(-length for length in self.short)]
 
 
+def small_words(entries: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark entries for broadcast if their number and the bytes of their words are small."""
+    n, total = entries.limit(rows + 1).agg(
+        F.count(F.lit(1)), F.sum(F.octet_length(F.array_join("own", " ")))).first()
+    return F.broadcast(entries) if n <= rows and (total or 0) <= size else entries
+
+
 def candidates(texts: DataFrame, bench: Benchmark) -> DataFrame:
     """Keys of the texts that share a fingerprint with the benchmark (columns row, words)."""
     found = None
@@ -118,7 +127,7 @@ def hits(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_colu
                  .select("row", "entry", (F.col("doc_at") - F.col("item_at")).alias("shift")))
         aligned = found if aligned is None else aligned.unionByName(found)
     entries = bench.items.select("entry", F.col("words").alias("own"), "items", "n")
-    pairs = (aligned.distinct().join(small_side(entries), "entry")
+    pairs = (aligned.distinct().join(small_words(entries), "entry")
              .join(suspects, "row"))
     doc, own = F.col("words"), F.col("own")
     # The stretch of the document beside the item; '' beyond its ends equals no word.
