@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillcast.functions.staging import snapshot
-from tillcast.llm import bpe, jaccard, lines, quality, winnow
+from tillcast.llm import bpe, lines, quality, simhash, winnow
 from tillcast.llm.queries import table, vocabulary
 
 
@@ -31,8 +31,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group with a five-word Jaccard similarity of 0.8 stays: the least id."""
-    return jaccard.keep_one(docs)
+    """One document of each group linked by fingerprints of at most 3 differing bits stays: the least id."""
+    return simhash.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
