@@ -117,6 +117,61 @@ SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_it
 FROM docs LEFT JOIN hit USING (r) LEFT JOIN listed USING (r)
 """
 
+#: SQL has no crc32: the table of the reflected polynomial 0xEDB88320, and a fold over the bytes.
+CRC32 = """
+crc_table AS (
+  SELECT list(list_reduce([CAST(b AS UBIGINT), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x:
+      CASE WHEN c % 2 = 1 THEN xor(c >> 1, CAST(3988292384 AS UBIGINT)) ELSE c >> 1 END) ORDER BY b) AS crcs
+  FROM range(256) AS r(b)),
+"""
+
+
+def _crc32(text: str) -> str:
+    """SQL for the crc32 of a text's UTF-8, beside the table ``crc_table``."""
+    whole = f"hex(encode({text}))"
+    unhex = "((strpos('0123456789ABCDEF', x[1]) - 1) * 16 + strpos('0123456789ABCDEF', x[2]) - 1)"
+    data = (f"[CAST({unhex} AS UBIGINT) FOR x IN "
+            f"[substr({whole}, 2 * k + 1, 2) FOR k IN range(length({whole}) // 2)]]")
+    return (f"xor(list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), {data}), lambda c, b: "
+            f"xor(c >> 8, crcs[CAST(xor(c & 255, b) AS BIGINT) + 1])), CAST(4294967295 AS UBIGINT))")
+
+
+OP12 = rf"""
+WITH {CRC32}
+split AS (
+  SELECT row_number() OVER () AS r, doc_id, CAST({_crc32("CAST(doc_id AS VARCHAR)")} AS BIGINT) AS h,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents, crc_table),
+sized AS (SELECT *, len(words) AS n, h // 10 AS g FROM split),
+planted AS (
+  SELECT r, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0
+    THEN [words[1 + CASE WHEN i < g % n THEN i
+                         ELSE g % n + (i - g % n) % (1 + (n - g % n) // (3 + g % 8)) END]
+          FOR i IN range(n)] ELSE words END AS words FROM sized),
+places AS (SELECT r, n, words, unnest(range(n - 3)) AS i FROM planted WHERE n >= 6),
+grams AS (SELECT r, n, i, hash(words[i + 1], words[i + 2], words[i + 3], words[i + 4]) AS gram,
+                 words[i + 1:i + 4] AS four FROM places),
+equal AS (SELECT a.r, a.i, b.i - a.i AS q FROM grams a JOIN grams b
+          ON a.r = b.r AND a.gram = b.gram AND a.i < b.i AND 4 * (b.i - a.i) <= a.n
+          AND a.four = b.four),
+islands AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM equal),
+stretches AS (SELECT r, q, min(i) AS start, max(i) + 4 - min(i) + q AS length
+              FROM islands GROUP BY r, q, island),
+runs AS (SELECT r, start, length, min(q) AS period FROM stretches
+         WHERE length >= greatest(6, 4 * q) GROUP BY r, start, length),
+told AS (SELECT r, count(*) AS n_runs, arg_min(struct_pack(s := start, l := length, p := period),
+                 struct_pack(a := -length, b := start, c := period)) AS best,
+                string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed
+         FROM runs GROUP BY r),
+dropped AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM runs),
+words AS (SELECT r, unnest(range(n)) AS i, unnest(words) AS word FROM planted),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS collapsed
+         FROM words ANTI JOIN dropped USING (r, i) GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, CAST(best.s AS BIGINT) AS start, CAST(best.l AS BIGINT) AS length,
+       CAST(best.p AS BIGINT) AS period, CAST(1000 * best.l // best.p AS BIGINT) AS exponent_milli,
+       sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(collapsed, '')) AS collapsed_sha256
+FROM planted LEFT JOIN told USING (r) LEFT JOIN kept USING (r)
+"""
+
 
 def _text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
@@ -154,4 +209,5 @@ LEFT JOIN found USING (r)
 ORACLES = {
     "op1_line_dedup": OP1, "op2_quality_rules": OP2, "op2_rule_ablation": OP2_ABLATION,
     "op4_reply_trees": OP4, "op8_license_scan": op8(), "op10_winnowing": OP10,
+    "op12_periodic_runs": OP12,
 }

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillcast.llm import (
-    bpe, chat, crossentropy, htmltext, licences, lines, quality, sharding, simhash, winnow)
-from tillcast.llm.common import small_side
+    bpe, chat, crossentropy, htmltext, licences, lines, periods, quality, sharding, simhash, winnow)
+from tillcast.llm.common import WORD, held, small_side
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -94,6 +94,41 @@ def op10_winnowing(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): in every tenth document by its hash, the words repeat from some word on.
+
+    The hash h is the crc32 of the decimal id and g = h // 10; word a = g % n and what follows
+    has the period 1 + (n - a) // (3 + g % 8).
+    """
+    hashed = F.crc32(F.col("doc_id").cast("string"))
+    begin = docs.select("doc_id", "text", (F.when(hashed % 10 == 0, F.floor(hashed / 10))).alias("g"))
+    split = held(begin, words=F.when(F.col("g").isNotNull(), F.regexp_extract_all(
+        F.col("text"), F.lit(WORD), F.lit(0))))
+    n = F.size("words")
+    placed = split.withColumn("a", F.expr("g % if(size(words) > 0, size(words), 1)")).withColumn(
+        "p", F.expr("1 + (size(words) - a) div (3 + g % 8)"))
+    source = lambda i: F.when(i < F.col("a"), i).otherwise(
+        F.col("a") + (i - F.col("a")) % F.col("p"))
+    repeated = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(
+        F.col("words"), source(i).cast("int"))), " ")
+    return placed.select("doc_id", F.when(n > 0, repeated).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = periods.periodic_runs(with_planted_runs(table(spark, folder, "documents")))
+    greatest = F.array_min(F.transform("runs", lambda r: F.struct(
+        (-r.length).alias("minus"), r.start.alias("start"), r.period.alias("period"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(
+        ",", r.start, r.length, r.period)), "\n")
+    listed = F.when(F.size("runs") > 0, F.concat(listed, F.lit("\n"))).otherwise("")
+    return found.withColumn("best", greatest).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"),
+        (-F.col("best.minus")).alias("length"), F.col("best.period").alias("period"),
+        F.expr("-1000 * best.minus div best.period").alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, folder)
@@ -103,4 +138,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_line_dedup, op2_quality_rules, op2_rule_ablation, op3_simhash, op4_reply_trees,
         op5_cross_entropy, op6_sharding, op7_html_text, op8_license_scan, op9_bpe,
-        op10_winnowing, pipeline)}
+        op10_winnowing, op12_periodic_runs, pipeline)}
