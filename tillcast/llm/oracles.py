@@ -173,6 +173,28 @@ FROM planted LEFT JOIN told USING (r) LEFT JOIN kept USING (r)
 """
 
 
+OP13 = """
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS data,
+                     length(data) // 2 AS n FROM documents),
+places AS (SELECT doc_id, r, data, unnest(range(n - 99)) AS i FROM docs WHERE n >= 100),
+strings AS (SELECT doc_id, r, i, substr(data, 2 * i + 1, 200) AS string FROM places),
+later AS (SELECT r, i FROM (SELECT r, i, row_number() OVER (PARTITION BY string ORDER BY doc_id, i) AS k
+                            FROM strings) WHERE k > 1),
+begins AS (SELECT r, i, i - 100 > lag(i, 1, -1000) OVER (PARTITION BY r ORDER BY i) AS new FROM later),
+spans AS (SELECT r, min(i) AS a, max(i) + 100 AS b
+          FROM (SELECT r, i, sum(CAST(new AS INT)) OVER (PARTITION BY r ORDER BY i) AS span FROM begins)
+          GROUP BY r, span),
+cuts AS (SELECT r, a, lead(a) OVER (PARTITION BY r ORDER BY a) AS upto, b FROM spans),
+kept AS (SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans, min(a) AS head,
+                string_agg(substr(data, 2 * b + 1, 2 * (coalesce(upto, n) - b)), '' ORDER BY a) AS tail
+         FROM cuts JOIN docs USING (r) GROUP BY r)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(CASE WHEN head IS NULL THEN data ELSE substr(data, 1, 2 * head) || tail END)) AS kept_sha256
+FROM docs LEFT JOIN kept USING (r)
+"""
+
+
 def _text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
@@ -209,5 +231,5 @@ LEFT JOIN found USING (r)
 ORACLES = {
     "op1_line_dedup": OP1, "op2_quality_rules": OP2, "op2_rule_ablation": OP2_ABLATION,
     "op4_reply_trees": OP4, "op8_license_scan": op8(), "op10_winnowing": OP10,
-    "op12_periodic_runs": OP12,
+    "op12_periodic_runs": OP12, "op13_suffix_dedup": OP13,
 }

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillcast.llm import (
-    bpe, chat, crossentropy, htmltext, licences, lines, periods, quality, sharding, simhash, winnow)
+    bpe, chat, crossentropy, htmltext, licences, lines, periods, quality, repeats,
+    sharding, simhash, winnow)
 from tillcast.llm.common import WORD, held, small_side
 
 VOCABULARY = "word_bpe_49k.json"
@@ -129,6 +130,12 @@ def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
 
 
+def op13_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = repeats.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans",
+                        F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, folder)
@@ -138,4 +145,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_line_dedup, op2_quality_rules, op2_rule_ablation, op3_simhash, op4_reply_trees,
         op5_cross_entropy, op6_sharding, op7_html_text, op8_license_scan, op9_bpe,
-        op10_winnowing, op12_periodic_runs, pipeline)}
+        op10_winnowing, op12_periodic_runs, op13_suffix_dedup, pipeline)}
