@@ -39,7 +39,8 @@ from pyspark.sql import types as T
 from tillcast.functions.staging import snapshot
 from tillcast.llm.common import fresh, small_side
 
-GRAM = 32
+#: Half a string: short enough that neighbours share their least gram, long enough to be rare.
+GRAM = 48
 #: Items at later levels hold so many strings.
 WIDTHS = (8, 1)
 #: An item of the first level holds at most so many strings.
