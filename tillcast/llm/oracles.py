@@ -195,6 +195,37 @@ FROM docs LEFT JOIN kept USING (r)
 """
 
 
+OP11 = rf"""
+WITH RECURSIVE {CRC32}
+docs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id,
+                regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[a-zÀ-ÿ]+') AS runs FROM documents),
+occurring AS (SELECT id, run, count(*) AS times FROM (SELECT id, unnest(runs) AS run FROM docs)
+              WHERE length(run) >= 6 GROUP BY id, run),
+hashed AS (SELECT run, times, CAST({_crc32("id || ':' || run")} AS BIGINT) AS h FROM occurring, crc_table),
+spelt AS (SELECT times, CASE WHEN h % 199 <> 0 THEN run
+                 ELSE substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) END AS word
+          FROM hashed),
+counted AS (SELECT word, CAST(sum(times) AS BIGINT) AS n FROM spelt WHERE length(word) >= 6 GROUP BY word
+            HAVING sum(times) >= 5),
+cut AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest
+        FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM counted)),
+pairs AS (SELECT a.word, b.word AS near FROM cut a JOIN cut b USING (i, rest) WHERE a.word <> b.word
+          UNION SELECT a.word, b.word FROM cut a JOIN counted b ON a.rest = b.word
+          UNION SELECT b.word, a.word FROM cut a JOIN counted b ON a.rest = b.word),
+ranked AS (SELECT p.word, p.near, c.n, count(*) OVER (PARTITION BY p.word) AS n_near,
+                  row_number() OVER (PARTITION BY p.word ORDER BY c.n DESC, encode(p.near)) AS place
+           FROM pairs p JOIN counted c ON p.near = c.word),
+told AS (SELECT w.word, w.n, coalesce(r.n_near, 0) AS n_near,
+                CASE WHEN r.n >= 5 * w.n THEN r.near END AS form, CASE WHEN r.n >= 5 * w.n THEN r.n END AS form_n
+         FROM counted w LEFT JOIN ranked r ON w.word = r.word AND r.place = 1),
+chain(word, tip, steps) AS (SELECT word, word, 0 FROM told
+         UNION ALL SELECT c.word, t.form, steps + 1 FROM chain c JOIN told t ON c.tip = t.word
+         WHERE t.form IS NOT NULL),
+roots AS (SELECT word, arg_max(tip, steps) AS root FROM chain GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM told JOIN roots USING (word)
+"""
+
+
 def _text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
@@ -231,5 +262,5 @@ LEFT JOIN found USING (r)
 ORACLES = {
     "op1_line_dedup": OP1, "op2_quality_rules": OP2, "op2_rule_ablation": OP2_ABLATION,
     "op4_reply_trees": OP4, "op8_license_scan": op8(), "op10_winnowing": OP10,
-    "op12_periodic_runs": OP12, "op13_suffix_dedup": OP13,
+    "op11_spelling_variants": OP11, "op12_periodic_runs": OP12, "op13_suffix_dedup": OP13,
 }

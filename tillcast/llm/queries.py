@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from tillcast.llm import (
     bpe, chat, crossentropy, htmltext, licences, lines, periods, quality, repeats,
-    sharding, simhash, winnow)
-from tillcast.llm.common import WORD, held, small_side
+    sharding, simhash, spelling, winnow)
+from tillcast.llm.common import WORD, ascii_lower, held, small_side
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -95,6 +95,24 @@ def op10_winnowing(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def spelt_words(docs: DataFrame) -> DataFrame:
+    """(word) of each run of letters, A-Z lower-cased; by its hash, one in 199 lacks a letter.
+
+    The hash h is the crc32 of id, colon and run; the letter left out is number h % length.
+    """
+    found = F.explode(F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(spelling.RUN), F.lit(0)))
+    runs = (docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), found.alias("run"))
+            .where(F.char_length("run") >= 6)
+            .select("run", F.crc32(F.concat("id", F.lit(":"), "run")).alias("h")))
+    return runs.select(F.when(F.col("h") % 199 != 0, F.col("run")).otherwise(F.expr(
+        "left(run, int(h % char_length(run))) || substr(run, int(h % char_length(run)) + 2)")).alias("word"))
+
+
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    words = spelt_words(table(spark, folder, "documents"))
+    return spelling.variants(spelling.count_words(words))
+
+
 def with_planted_runs(docs: DataFrame) -> DataFrame:
     """(doc_id, text): in every tenth document by its hash, the words repeat from some word on.
 
@@ -145,4 +163,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_line_dedup, op2_quality_rules, op2_rule_ablation, op3_simhash, op4_reply_trees,
         op5_cross_entropy, op6_sharding, op7_html_text, op8_license_scan, op9_bpe,
-        op10_winnowing, op12_periodic_runs, op13_suffix_dedup, pipeline)}
+        op10_winnowing, op11_spelling_variants, op12_periodic_runs, op13_suffix_dedup, pipeline)}
