@@ -713,6 +713,71 @@ rules AS (SELECT h FROM holiday WHERE h BETWEEN (SELECT MIN(request_date) FROM t
         f"SELECT merchant_id, origin_time_idx, step, time_idx, {q_logs} FROM predicted")
     out["ml_forecast_keys"] = ctes(*base("nation"), CUT, LATEST) + (
         "SELECT merchant_id, origin_time_idx, step, time_idx, date FROM predicted")
+    some_levels = ("level7", "level28", "level120", "highest", "idle")
+    some_days = ("year_cos1", "is_month_start", "is_payday_window", "days_to_month_end",
+                 "holiday_offset", "log_merchant_age")
+    inputs = sorted([*some_levels, "weekday_level", "step_share", *some_days, "one", "label"])
+    pairs = [(a, b) for i, a in enumerate(inputs) for b in inputs[i:]]
+    scaled = """scaled AS (SELECT p.*, (p.tpv - center) / scale AS label, 1.0 AS one,
+    CASE WHEN p.tpv <= 0 THEN 1.0 ELSE 0.0 END AS no_sale FROM panel p JOIN fit USING (merchant_id)),
+weekly AS (SELECT *, (label + COALESCE(LAG(label, 7) OVER w, label) + COALESCE(LAG(label, 14) OVER w, label)
+    + COALESCE(LAG(label, 21) OVER w, label)) / 4 AS week,
+    AVG(label) OVER (w ROWS 6 PRECEDING) AS level7, AVG(label) OVER (w ROWS 27 PRECEDING) AS level28,
+    AVG(label) OVER (w ROWS 119 PRECEDING) AS level120, MAX(label) OVER (w ROWS 119 PRECEDING) AS highest,
+    AVG(no_sale) OVER (w ROWS 119 PRECEDING) AS idle
+  FROM scaled WINDOW w AS (PARTITION BY merchant_id ORDER BY time_idx)),
+told AS (SELECT merchant_id, time_idx + 1 AS origin_time_idx, level7, level28, level120, highest, idle, ["""
+    scaled += ", ".join(f"COALESCE(LAG(week, {k}) OVER w, level28)" for k in range(7)) + """] AS weeks
+  FROM weekly WINDOW w AS (PARTITION BY merchant_id ORDER BY time_idx)),
+stepped AS (SELECT k.*, UNNEST(range(1, 92)) AS step FROM orig o
+  JOIN told k USING (merchant_id, origin_time_idx)),
+x AS (SELECT s.level7, s.level28, s.level120, s.highest, s.idle, s.weeks[(91 - s.step) % 7 + 1] AS weekday_level,
+    s.step / 91 AS step_share, d.* FROM stepped s JOIN scaled d
+  ON d.merchant_id = s.merchant_id AND d.time_idx = s.origin_time_idx + s.step - 1)"""
+    products = f"""SELECT UNNEST([{', '.join(f"'{a}'" for a, _ in pairs)}]) AS "left",
+    UNNEST([{', '.join(f"'{b}'" for _, b in pairs)}]) AS "right",
+    ROUND(UNNEST([{', '.join(f'SUM({a} * {b})' for a, b in pairs)}]) / COUNT(*), 5) + 0.0 AS mean,
+    COUNT(*) AS n FROM x"""
+    features_of = (*base("region"), calendar_dim(0), panel(), CUT, FIT)
+    every = TRAIN.replace("LEAST(sel_cutoff, series_last_idx)", "series_last_idx")
+    out["ml_moments"] = ctes(*features_of, f"orig AS ({TRAIN})", scaled) + products
+    out["ml_full_refit_state"] = ctes(*features_of, f"orig AS ({every})", scaled) + products
+    columns = ("merchant_id", "day_of_week", "day_of_month", "calendar_month", "is_uk_bank_holiday",
+               "merchant_category", "sector_group", "iso_name")
+    fold = "((time_idx // 91) % 5)"
+    trained = f"""trained AS (SELECT p.*, (p.tpv - center) / scale AS label, {fold} AS fold
+  FROM panel p JOIN fit USING (merchant_id), cut WHERE time_idx <= sel_cutoff)"""
+    each = "each AS (" + " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS value, label, fold FROM trained WHERE {c} IS NOT NULL"
+        for c in columns) + ")"
+    out["category_effects"] = ctes(
+        *base("nation"), calendar_dim(0), panel(), CUT, FIT, trained, each) + """SELECT "column", value,
+    COUNT(*) AS days, """ + r("SUM(label) / (COUNT(*) + 200)", 6, "effect0") + ", " + ", ".join(
+        r(f"COALESCE(SUM(label) FILTER (WHERE fold <> {k}), 0) / (COUNT(*) FILTER (WHERE fold <> {k}) + 200)",
+          6, f"effect{k + 1}") for k in range(5)) + " FROM each GROUP BY 1, 2"
+    draw = "('0x' || substr(md5(o.merchant_id || '|' || o.origin_time_idx || '|42'), 1, 8))::BIGINT % 10000"
+    out["masked_identity"] = ctes(
+        *base("nation"), CUT, FIT, f"orig AS ({TRAIN})", f"""trained AS (SELECT merchant_id, {fold} AS fold,
+    (tpv - center) / scale AS label FROM series JOIN fit USING (merchant_id), cut WHERE time_idx <= sel_cutoff)""",
+        """own AS (SELECT merchant_id, f.fold, COALESCE(SUM(label) FILTER (WHERE t.fold <> f.fold), 0)
+      / (COUNT(*) FILTER (WHERE t.fold <> f.fold) + 200) AS effect
+  FROM trained t, (SELECT UNNEST(range(5)) AS fold) f GROUP BY 1, 2)""") + f"""SELECT o.merchant_id,
+    COUNT(*) AS windows, COUNT(*) FILTER (WHERE {draw} < 1500 OR effect = 0) AS without_identity,
+    {r(f'SUM(CASE WHEN {draw} < 1500 THEN 0 ELSE effect END)', 4, 'total_identity')}
+    FROM orig o JOIN own ON own.merchant_id = o.merchant_id AND own.fold = (o.origin_time_idx // 91) % 5
+    GROUP BY 1"""
+    out["ml_pinball_gradient"] = f"SELECT UNNEST({LEVEL_LIST})::DOUBLE AS level, 0.0::DOUBLE AS largest_gap"
+    out["ml_dropped_inputs"] = ctes(*base("region"), CUT, f"orig AS ({TRAIN})") + """SELECT
+    UNNEST(['constant', 'twice', 'blend']) AS input, (SELECT COUNT(*) FROM orig) AS windows"""
+    out["ml_evaluation_rows"] = ctes(*base("region"), CUT, tidy("validation", "holdout")) + f"""SELECT part,
+    merchant_id, COUNT(*) AS rows, COUNT(DISTINCT origin_time_idx) AS origins,
+    {r('SUM(actual_gbp)', 2, 'actual_gbp')}, CAST(0 AS BIGINT) AS crossed FROM tidy GROUP BY 1, 2"""
+    out["scale_alignment_faulty"] = ctes(*base("nation"), CUT, FIT, f"orig AS ({VALIDATION})") + """SELECT
+    'validation' AS part, COUNT(*) FILTER (WHERE center IS NOT NULL) AS checked,
+    COUNT(*) FILTER (WHERE center IS NULL) AS cold,
+    COUNT(*) FILTER (WHERE center IS NOT NULL AND (CAST(orig.merchant_id AS INT) % 3 = 0
+                     OR CAST(orig.merchant_id AS INT) % 5 = 0)) AS mismatched
+    FROM orig LEFT JOIN fit USING (merchant_id)"""
     out["quantile_forecast_by_origin"] = out["quantile_forecast"]
     out["forecast_report"] = ctes(*base("region"), *latest) + f"""SELECT merchant_id, time_idx, date,
     {', '.join(r(c, 4) for c in ('q35', 'q50', 'q65', 'expected_gbp'))} FROM tab"""

@@ -16,11 +16,11 @@ from tillcast.functions.quantiles import quantile_name
 from tillcast.functions.staging import snapshot, staging_folder
 from tillcast.functions.stats import exact_percentiles
 from tillcast.operators import (
-    baselines, calendar as cal, daily, features, forecast as fc, metrics, normaliser as norm,
-    panel as pnl, quality, rollup, summary,
+    baselines, calendar as cal, daily, effects as fx, features, forecast as fc, learned, metrics,
+    moments as mm, normaliser as norm, panel as pnl, quality, quantile_fit as qf, rollup, summary,
 )
 from tillcast.plans import forecasting as plan
-from tillcast.plans.learned import learned_forecast
+from tillcast.plans.learned import Learner, learned_forecast
 from tillcast.plans.prepare import (
     Prepared, clean_fact, core_columns, core_series, dense_series, observe, prepare,
 )
@@ -652,6 +652,111 @@ def ml_forecast_keys(spark, folder):
         F.date_add(first_day, F.col(TIME).cast("int")).alias("date"))
 
 
+#: Inputs of the matrix that SQL sums over exploded windows.
+SOME_DAYS = ("year_cos1", "is_month_start", "is_payday_window", "days_to_month_end",
+             "holiday_offset", "log_merchant_age")
+SOME_LEVELS = ("level7", "level28", "level120", "highest", "idle")
+
+
+def _some_moments(learner: Learner, origins: DataFrame) -> DataFrame:
+    windows = learner.windows(origins)
+    return mm.moments(learner.days, windows, list(SOME_LEVELS), list(SOME_DAYS), CFG)
+
+
+def _means(state: DataFrame) -> DataFrame:
+    """Sums of products per row of the windows, and how many such rows there are."""
+    rows = state.where("left = 'one' AND right = 'one'").select("total").scalar()
+    return state.select("left", "right", r(F.col("total") / rows, 5).alias("mean"),
+                        F.round(rows).cast("long").alias("n"))
+
+
+@query
+def ml_moments(spark, folder):
+    """The products of all training windows and steps, summed in one pass over the days."""
+    learner = Learner(prepared(spark, folder, "region"), CFG)
+    return _means(snapshot(_some_moments(learner, learner.origins("train")), "moments"))
+
+
+@query
+def ml_full_refit_state(spark, folder):
+    """The sums of the training windows and those of the later ones, merged."""
+    learner = Learner(prepared(spark, folder, "region"), CFG)
+    first, every = learner.origins("train"), learner.origins("train", full=True)
+    new = every.join(first, [MERCHANT, "origin_time_idx"], "left_anti")
+    return _means(snapshot(mm.merged(
+        _some_moments(learner, first), _some_moments(learner, new)), "moments"))
+
+
+@query
+def category_effects(spark, folder):
+    """Effects of merchants, sectors and calendar columns, out of fold and shrunken."""
+    learner = Learner(prepared(spark, folder, "nation"), CFG)
+    return learner.effects.select("column", "value", "days", *[
+        r(F.col("effects")[i]).alias(f"effect{i}") for i in range(fx.FOLDS + 1)])
+
+
+@query
+def masked_identity(spark, folder):
+    """Training windows of each merchant: how many are masked, and that those have effect zero."""
+    learner = Learner(prepared(spark, folder, "nation"), CFG)
+    windows = learner.windows(learner.origins("train"), training=True)
+    return windows.groupBy(MERCHANT).agg(
+        F.count(F.lit(1)).alias("windows"),
+        F.count_if(F.col(learned.IDENTITY) == 0).alias("without_identity"),
+        r(F.sum(learned.IDENTITY), 4).alias("total_identity"))
+
+
+@query
+def ml_pinball_gradient(spark, folder):
+    """How far each level's fit is from a minimum of its pinball loss: the largest slope."""
+    fit = Learner(prepared(spark, folder, "region"), CFG).fit()
+    gaps = qf.optimality(fit.rows, fit.plan, fit.levels, CFG.quantiles)
+    rows = spark.createDataFrame(gaps, "level double, input string, gap double")
+    return rows.groupBy("level").agg(r(F.max("gap"), 2).alias("largest_gap"))
+
+
+@query
+def ml_dropped_inputs(spark, folder):
+    """Constant and collinear inputs that the fit names and leaves out, from the sums alone."""
+    learner = Learner(prepared(spark, folder, "region"), CFG)
+    days = learner.days.withColumns({
+        "constant": F.lit(3.5), "twice": 2 * F.col("days_to_month_end") - 1,
+        "blend": F.col("is_month_start") - 3 * F.col("is_payday_window")})
+    names = [*SOME_DAYS, "constant", "twice", "blend"]
+    state = mm.moments(days, learner.windows(learner.origins("train")), list(SOME_LEVELS), names, CFG)
+    plan_ = qf.design(snapshot(state, "moments"), [*SOME_LEVELS, *names])
+    return spark.createDataFrame([(n,) for n in plan_.dropped], "input string").withColumn(
+        "windows", F.lit(int(plan_.rows / CFG.horizon)).cast("long"))
+
+
+@query
+def ml_evaluation_rows(spark, folder):
+    """The fitted forecaster in the evaluation: rows, origins and revenue by part and merchant."""
+    learner = Learner(prepared(spark, folder, "region"), CFG)
+    fit = learner.fit()
+    series, observed = both_forms(spark, folder)
+    rows = plan.evaluation_rows(series, CFG, observed=observed,
+                                forecaster=lambda part: learner.forecast(fit, part))
+    ordered = F.lit(True)
+    for low, high in zip(QCOLS, QCOLS[1:]):
+        ordered = ordered & (F.col(low) <= F.col(high))
+    return rows.groupBy("part", MERCHANT).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct("origin_time_idx").alias("origins"),
+        r(F.sum("actual_gbp"), 2).alias("actual_gbp"), F.count_if(~ordered).alias("crossed"))
+
+
+@query
+def scale_alignment_faulty(spark, folder):
+    """Pairs of every third merchant shifted, and those of every fifth stretched."""
+    series, fitted = _fitted(spark, folder)
+    number = F.col(MERCHANT).cast("int")
+    shifted = fitted.withColumns({
+        "center": F.col("center") + F.when(number % 3 == 0, 0.5).otherwise(0.0),
+        "scale": F.col("scale") * F.when(number % 5 == 0, 1.5).otherwise(1.0)})
+    origins = pnl.window_origins(series, "validation", CFG).withColumn("part", F.lit("validation"))
+    return norm.scale_alignment(origins, series, shifted, pnl.Split(series, CFG).train_cutoff)
+
+
 @query
 def decoder_dates(spark, folder):
     ready, calendar = _future(spark, folder)

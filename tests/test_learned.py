@@ -1,10 +1,17 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tillcast.config import Config
-from tillcast.operators import quality
-from tillcast.plans.learned import learned_forecast
-from tillcast.plans.prepare import prepare
+from tillcast.operators import effects as fx
+from tillcast.operators import learned, quality
+from tillcast.operators import moments as mm
+from tillcast.operators import quantile_fit as qf
+from tillcast.operators.baselines import with_baselines
+from tillcast.operators.metrics import baseline_metrics
+from tillcast.plans.forecasting import Forecasts, evaluate, evaluation_rows
+from tillcast.plans.learned import Learner, learned_forecast
+from tillcast.plans.prepare import core_columns, prepare
 
 CFG = Config(horizon=14, val_days=42, max_encoder_length=56, min_encoder_length=28)
 
@@ -39,3 +46,115 @@ def test_a_calendar_without_warehouse_columns(prepared):
     assert new_year.day_of_week == "1"
     with pytest.raises(ValueError):
         quality.require_complete(panel.withColumn("tpv", F.lit(None).cast("double")))
+
+
+@pytest.fixture
+def learner(prepared):
+    return Learner(prepared, CFG, stride=5)
+
+
+def test_sums_equal_those_of_exploded_windows(learner):
+    windows = learner.windows(learner.origins("train"), training=True)
+    state = {(r["left"], r["right"]): r["total"] for r in learner.state(windows).collect()}
+    rows = learned.window_rows(learner.days, windows, CFG)
+    names = [*learner.names, mm.ONE, mm.LABEL]
+    pairs = [(a, b) for a in names for b in names if a <= b]
+    expected = rows.agg(*[F.sum(F.col(a) * F.col(b)) for a, b in pairs]).first()
+    assert set(state) == set(pairs)
+    for pair, value in zip(pairs, expected):
+        assert state[pair] == pytest.approx(value, rel=1e-9, abs=1e-6), pair
+
+
+def test_sums_need_no_row_per_step(learner):
+    windows = learner.windows(learner.origins("train"))
+    frame = mm.moments(learner.days, windows, list(learned.ORIGIN_INPUTS), ["is_month_end"], CFG)
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "explode" not in plan
+
+
+def test_a_refit_adds_the_later_windows(learner):
+    first, later, every = (learner.origins("train"), learner.origins("validation"),
+                           learner.origins("train", full=True))
+    assert first.count() < every.count() and later.count()
+    fit = learner.fit()
+    refit = learner.refit(fit)
+    whole = learner.state(learner.windows(every, training=True))
+    got, want = ({(r["left"], r["right"]): r["total"] for r in s.collect()} for s in (refit.state, whole))
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k], rel=1e-9, abs=1e-6) for k in want)
+    assert refit.plan.rows > fit.plan.rows
+
+
+def test_fit_reaches_a_minimum(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(20_000, 2))
+    y = 1 + 2 * x[:, 0] - x[:, 1] + (1 + 0.5 * np.abs(x[:, 0])) * rng.exponential(size=20_000)
+    rows = spark.createDataFrame([(float(a), float(b), float(c)) for (a, b), c in zip(x, y)],
+                                 "a double, b double, label double").repartition(4).cache()
+    names = ["a", "b", "one", "label"]
+    columns = dict(zip(names, [x[:, 0], x[:, 1], np.ones(len(y)), y]))
+    state = spark.createDataFrame([(p, q, float(columns[p] @ columns[q])) for p in names for q in names
+                                   if p <= q], mm.SCHEMA)
+    plan = qf.design(state, ["a", "b"])
+    levels = (0.02, 0.5, 0.9)
+    fits = qf.fit_quantiles(rows, plan, levels)
+    assert max(gap for _, _, gap in qf.optimality(rows, plan, fits, levels)) < 0.002
+    scored = rows.select("label", qf.quantile_columns(plan, fits).alias("q"))
+    for i, level in enumerate(levels):
+        share = scored.agg(F.avg((F.col("label") <= F.col("q")[i]).cast("double"))).first()[0]
+        assert share == pytest.approx(level, abs=0.004)
+
+
+def test_inputs_without_information_are_named(spark):
+    rng = np.random.default_rng(1)
+    a, b = rng.normal(size=(2, 500))
+    data = {"a": a, "b": b, "flat": np.full(500, 7.0), "sum": a - 2 * b + 3, "one": np.ones(500),
+            "label": a + b}
+    names = sorted(data)
+    state = spark.createDataFrame([(p, q, float(data[p] @ data[q])) for p in names for q in names if p <= q],
+                                  mm.SCHEMA)
+    plan = qf.design(state, ["a", "flat", "b", "sum"])
+    assert plan.names == ("a", "b") and plan.dropped == ("flat", "sum") and plan.rows == 500
+    assert plan.least_squares[1:] / plan.spread == pytest.approx([1, 1])
+
+
+def test_effects_are_learned_elsewhere(spark):
+    cfg = Config(horizon=10)
+    rows = [(t, "x" if t % 2 else "y", 4.0 if t < 10 else 1.0) for t in range(100)] + [(5, None, 9.0)]
+    frame = spark.createDataFrame(rows, "time_idx long, kind string, label double")
+    found = fx.category_effects(frame, ["kind"], cfg, folds=5, prior=10)
+    told = {r.value: (r.days, list(r.effects)) for r in found.collect()}
+    assert set(told) == {"x", "y"} and told["x"][0] == 50
+    assert told["x"][1][0] == pytest.approx((5 * 4 + 45) / 60)
+    assert told["x"][1][1] == pytest.approx(40 / 50)          # without the fold of days 0-9 and 50-59
+    assert told["x"][1][2] == pytest.approx((5 * 4 + 35) / 50)
+    new = spark.createDataFrame([(3, "x"), (13, "x"), (400, "x"), (3, "z"), (3, None)], "time_idx long, kind string")
+    fold = F.when(F.col("time_idx") < 100, fx.fold_of(F.col("time_idx"), cfg))
+    got = [r.kind_effect for r in fx.with_effects(new, found, ["kind"], fold).collect()]
+    assert sorted(got) == pytest.approx(sorted([0.8, 1.1, 65 / 60, 0.0, 0.0]))
+
+
+def test_masked_windows_know_no_merchant(learner):
+    origins = learner.origins("train")
+    masked = learner.windows(origins, training=True).where("identity = 0").count()
+    assert 0.05 < masked / origins.count() < 0.3
+    newest = learner.windows(origins.limit(5))
+    assert newest.where("identity != 0").count() == 5
+    strange = newest.withColumn("merchant_id", F.lit("nobody")).drop("identity")
+    rows = learned.with_identity(strange, learner.effects, learner.cutoff, CFG).collect()
+    assert [r.identity for r in rows] == [0.0] * 5
+
+
+def test_the_fitted_forecaster_is_delivered(prepared):
+    series = prepared.panel.select(*core_columns(CFG))
+    learner = Learner(prepared, CFG, stride=5)
+    fit = learner.fit()
+    table = evaluate(series, CFG, forecaster=lambda part: learner.forecast(fit, part)).collect()
+    assert {r.part for r in table} == {"validation", "holdout"} and all(r.n > 0 for r in table)
+    rows = evaluation_rows(series, CFG, ("holdout",), forecaster=lambda part: learner.forecast(fit, part))
+    naive = {r.baseline: r.MAE_log for r in baseline_metrics(with_baselines(rows, series, CFG)).collect()}
+    (fitted,) = (r.MAE_log for r in table if r.part == "holdout")
+    assert fitted < 0.5 * naive["naive_last"], (fitted, naive)
+    run = Forecasts.of(prepared.observed, CFG, learner.forecast(fit))
+    assert run.table.count() == 2 * CFG.horizon and run.missing.count() == 0
+    assert run.summary.count() == 2

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -11,7 +12,8 @@ from tillcast.functions.staging import snapshot
 from tillcast.operators import (
     baselines, forecast as fc, metrics, panel, quality, rollup, summary,
 )
-from tillcast.plans.prepare import core_columns, dense_series, observe
+from tillcast.plans.learned import learned_forecast
+from tillcast.plans.prepare import core_columns, dense_series, observe, prepare
 from tillcast.sources import sinks
 
 
@@ -24,17 +26,21 @@ def first_day(series: DataFrame) -> Column:
 class Forecasts:
     """Forecasts of all merchants of a stored series, newest origin each.
 
-    With the sparse form of the series the day axis is read from it, and only the days that
+    Without ``predictions`` the empirical forecaster is used; any forecaster's rows
+    ``(merchant, origin, step, time_idx, q_log)`` may be given instead.  With the sparse form of the series the day axis is read from it, and only the days that
     an encoder or a recent level looks back to are made dense.
     """
 
     series: DataFrame
     cfg: Config = Config()
     observed: DataFrame | None = None
+    predictions: DataFrame | None = None
 
     @staticmethod
-    def of(observed: DataFrame, cfg: Config = Config()) -> "Forecasts":
-        return Forecasts(dense_series(observed, cfg).select(*core_columns(cfg)), cfg, observed)
+    def of(observed: DataFrame, cfg: Config = Config(), predictions: DataFrame | None = None
+           ) -> "Forecasts":
+        series = dense_series(observed, cfg).select(*core_columns(cfg))
+        return Forecasts(series, cfg, observed, predictions)
 
     def _last(self, days: int) -> DataFrame:
         if self.observed is None:
@@ -46,8 +52,10 @@ class Forecasts:
     def table(self) -> DataFrame:
         start = (first_day(self.series) if self.observed is None
                  else panel.axis_start(self.observed))
-        tail = self._last(self.cfg.max_encoder_length)
-        return fc.forecast_table(fc.forecast_latest(tail, self.cfg), start, self.cfg)
+        rows = self.predictions
+        if rows is None:
+            rows = fc.forecast_latest(self._last(self.cfg.max_encoder_length), self.cfg)
+        return fc.forecast_table(rows, start, self.cfg)
 
     @property
     def summary(self) -> DataFrame:
@@ -66,23 +74,29 @@ class Forecasts:
 
 def evaluation_rows(series: DataFrame, cfg: Config = Config(),
                     parts: tuple[str, ...] = ("validation", "holdout"),
-                    observed: DataFrame | None = None) -> DataFrame:
-    """Tidy predictions of the evaluation parts, each origin forecast from its own past."""
+                    observed: DataFrame | None = None,
+                    forecaster: Callable[[str], DataFrame] | None = None) -> DataFrame:
+    """Tidy predictions of the evaluation parts, each origin forecast from its own past.
+
+    ``forecaster`` gives the rows of a part; the empirical one does if there is none.
+    """
     frames = []
     end = None if observed is None else panel.axis_end(observed, cfg)
     for part in parts:
-        rows = fc.forecast_part(series, part, cfg, end).withColumn("part", F.lit(part))
-        frames.append(rows)
+        rows = (fc.forecast_part(series, part, cfg, end) if forecaster is None
+                else forecaster(part))
+        frames.append(rows.withColumn("part", F.lit(part)))
     both = frames[0]
     for frame in frames[1:]:
         both = both.unionByName(frame)
     return fc.tidy_predictions(both, series, cfg)
 
 
-def evaluate(series: DataFrame, cfg: Config = Config(), observed: DataFrame | None = None
-             ) -> DataFrame:
+def evaluate(series: DataFrame, cfg: Config = Config(), observed: DataFrame | None = None,
+             forecaster: Callable[[str], DataFrame] | None = None) -> DataFrame:
     """All metrics by part.  The rows are stored, as several statistics pass over them."""
-    rows = snapshot(evaluation_rows(series, cfg, observed=observed), "predictions")
+    rows = snapshot(evaluation_rows(series, cfg, observed=observed, forecaster=forecaster),
+                    "predictions")
     return metrics.forecast_metrics(rows, ["part"], cfg)
 
 
@@ -108,10 +122,15 @@ def require_deliverable(series: DataFrame, table: DataFrame, cfg: Config = Confi
 
 
 def deliver(fact: DataFrame, folder: str, cfg: Config = Config(),
-            order: list[str] | None = None) -> Forecasts:
+            order: list[str] | None = None, learned: bool = False) -> Forecasts:
     """Forecast all merchants of a stored fact, check the result, and write what is delivered:
-    a folder per merchant, the summary and the monthly rollup."""
-    run = Forecasts.of(snapshot(observe(fact, cfg, order), "observed"), cfg)
+    a folder per merchant, the summary and the monthly rollup.  With ``learned`` the fitted
+    forecaster does it, refitted on everything."""
+    if learned:
+        ready = prepare(fact, cfg, order=order)
+        run = Forecasts.of(ready.observed, cfg, snapshot(learned_forecast(ready, cfg, full=True), "predictions"))
+    else:
+        run = Forecasts.of(snapshot(observe(fact, cfg, order), "observed"), cfg)
     table = snapshot(run.table, "forecasts")
     require_deliverable(run.series, table, cfg)
     sinks.write_forecasts(table, f"{folder}/forecasts", cfg)
