@@ -93,3 +93,49 @@ KEPT = {
 def test_names_and_wrappers(name):
     html, expected = KEPT[name]
     assert htmltext.main_text(html) == expected
+
+
+SHORT = "<p>Short text.</p>"
+FOREIGN = {
+    "comments inside": (page(f"<article>{SHORT}<div class=comments><p>{LONG * 9}</p></div></article>"), "Short text."),
+    "comments beside": (page(f"<article>{SHORT}</article><div class=comments><p>{LONG * 9}</p></div>"), "Short text."),
+    "sidebar": (page(f"<div class=article-body><p>{LONG}</p></div><div class=sidebar>{f'<p>{LONG}</p>' * 5}</div>"), TEXT),
+    "aside": (page(f"<div><p>{LONG}</p></div><aside>{f'<p>{LONG}</p>' * 5}</aside>"), TEXT),
+    "paragraph of an ad": (page(f"<article><p>{LONG}</p><p class=ad>Buy this.</p><p class='ad-3'>And this.</p></article>"), TEXT),
+    "articles in comments": (page(f"<article>{SHORT}</article><div id=comments><article><p>{LONG}</p></article></div>"),
+                             "Short text."),
+    "comment as article": (page(f"<article><p>{LONG}</p></article><article class=comment><p>{LONG}</p></article>"), TEXT),
+    "parts": (page("<main>" + f"<article><h2>Part</h2><p>{LONG}</p></article>" * 3 + "</main>"),
+              " ".join([f"Part {TEXT}"] * 3)),
+    "posts": (page("<div>" + f"<article><p>{LONG}</p></article>" * 3 + "</div><nav><a href=x>Menu</a></nav>"),
+              " ".join([TEXT] * 3)),
+    "only article": (page(f"<div class=sidebar>Buy<article><p>{LONG}</p></article></div>"), TEXT),
+    "open comment": (page(f"<article><p>{LONG}</p></article><!-- never closed <p>no</p>"), TEXT),
+    "open tag": (f"<article><p>{LONG}</p></article><a href='x", TEXT),
+    "stray signs": (f"<article><p>1 < 2 && 3 > 2 <3 </> </ p>{LONG}</p></article>", f"1 < 2 && 3 > 2 <3 {TEXT}"),
+    "attributes": (f"<article data-a = 'x>y' b=\"<p>\" c=d/e checked><p>{LONG}</p></article>", TEXT),
+    "raw": (f"<article><SCRIPT>if (a</b>) '</scriptx>'</SCRIPT ><p>{LONG}</p></article>", TEXT),
+}
+
+
+@pytest.mark.parametrize("name", FOREIGN)
+def test_what_is_never_main_text(name):
+    html, expected = FOREIGN[name]
+    assert htmltext.main_text(html) == expected
+
+
+HOSTILE = {
+    "nested": "<div>" * 100_000 + "deep", "tags": "<a " * 350_000, "comments": "<!--" * 250_000,
+    "inline": "<b>" * 200_000 + "x" + "</i>" * 100_000, "paragraphs": "<p><table><td>" + "<div>" * 100_000,
+    "lists": "<ul><li>" * 60_000 + "<li>" * 60_000, "quotes": "<a b='" * 100_000 + '<a b="' * 100_000,
+    "scripts": "<script>" * 100_000, "ends": "<div>" * 50_000 + "</p></span></td>" * 50_000,
+    "signs": "<" * 1_000_000, "entities": "&amp" * 200_000,
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_time_is_linear(name):
+    import time
+    start = time.perf_counter()
+    htmltext.main_text(HOSTILE[name])
+    assert time.perf_counter() - start < 8

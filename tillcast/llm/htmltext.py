@@ -2,14 +2,16 @@
 
 The page becomes a tree of elements.  What is never main text by its tag or its class (menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) is cut
-out first, unless it holds an article or main element, or running text and over half of the
-page's unlinked characters.  Each remaining node gets its characters per tag, adjusted by the links among
+out first.  Reader comments, adverts, sidebars, menus and footers go whatever their size, unless they
+hold the only article or main element; a form, header, notice or the like stays if it holds one
+outside any other, or running text and over half of the page's unlinked characters.  Each remaining node gets its characters per tag, adjusted by the links among
 them; a node's sum is that of its children's densities, its own direct text counting as one
 child.  The node with the largest sum is the core.  If it stands in an article or main
-element, that element is the main text; otherwise every node whose density reaches the least
-density on the path from the core up to the body adds the node of largest sum below it.
+element, that element is the main text, with those beside it of the same tag whose density reaches
+the least density on the path from the core up to the body; otherwise every node whose density reaches the least
+density on that path adds the node of largest sum below it.
 
-Parsing is row work inside a task; pages are dealt as they are read, without a shuffle.
+Every step is linear in the page, however it is nested and whatever it leaves open.  Parsing is row work inside a task; pages are dealt as they are read, without a shuffle.
 Defined results: a null or empty page, or one without text, gives the empty text; unclosed
 elements end with their parent, stray end tags are passed over; repeated rows and ties give
 equal results, the first node in page order winning a tie.  Other columns are carried along.
@@ -20,7 +22,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from html.parser import HTMLParser
+from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,7 +40,8 @@ INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code"
 CUT = {"head", "script", "style", "noscript", "template", "nav", "footer", "aside", "form",
        "button", "select", "textarea", "input", "iframe", "frame", "object", "embed", "applet",
        "svg", "canvas", "audio", "video", "map", "menu", "dialog", "title", "datalist"}
-RAW = {"script", "style"}
+#: Elements whose content is text up to their end tag.
+RAW = {"script", "style", "textarea", "title", "iframe"}
 #: Words of a class, id or role that are never main text.
 CUT_NAMES = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "sponsor",
              "sponsored", "promo", "promotion", "sidebar", "menu", "nav", "navbar", "navigation",
@@ -46,6 +49,11 @@ CUT_NAMES = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertis
              "newsletter", "subscribe", "signup", "share", "sharing", "social", "comment",
              "comments", "disqus", "replies", "respond", "toolbar", "pager", "pagination", "login",
              "search", "contentinfo", "complementary", "alert", "alertdialog", "footer"}
+#: Of these, the words of what others wrote or paid for: no share of the page makes it main text.
+FOREIGN = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "sponsor",
+           "sponsored", "promo", "promotion", "sidebar", "comment", "comments", "disqus", "replies",
+           "respond", "complementary"}
+FOREIGN_TAGS = {"aside", "nav", "footer", "menu"}
 #: Words that are not main text unless the same element calls itself content as well.
 DOUBTFUL = {"header", "masthead", "banner", "notice", "notices", "disclaimer", "widget", "related",
             "recommended", "side", "skip", "topbar", "teaser", "teasers", "rail"}
@@ -56,8 +64,9 @@ NEVER = {"head", "script", "style", "noscript", "template", "select", "textarea"
          "datalist"}
 #: Words of a class that speak of the layout: what follows one says nothing of the element.
 LAYOUT = {"has", "no", "with", "without", "hide", "show"}
-#: Elements whose names say nothing of their kind.
-UNNAMED = {"html", "body", "article", "main", "h1", "h2", "h3", "h4", "h5", "h6", "p"}
+#: Elements whose names say nothing of their kind, but for a class that is a foreign word as a whole.
+UNNAMED = {"html", "body", "main", "article", "h1", "h2", "h3", "h4", "h5", "h6", "p"}
+PAGE = {"html", "body", "main"}
 #: Elements that running text stands in.
 PROSE = {"p", "pre", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6"}
 #: Start tags that end an open paragraph.
@@ -81,11 +90,17 @@ _NUMBER = re.compile(r"[-_]?[0-9]+$")
 class Node:
     """An element: its children are nodes and strings, in page order."""
 
-    __slots__ = ("tag", "names", "named_cut", "children", "chars", "link_chars", "tags",
-                 "link_tags", "density", "sum", "holds", "prose", "plain")
+    __slots__ = ("tag", "names", "named_cut", "foreign", "children", "chars", "link_chars", "tags",
+                 "link_tags", "density", "sum", "best", "holds", "prose", "plain")
 
-    def __init__(self, tag: str, names: frozenset = frozenset(), named_cut: bool = False):
+    def __init__(self, tag: str, names: frozenset = frozenset(), named_cut: bool = False,
+                 foreign: bool = False):
         self.tag, self.names, self.named_cut, self.children = tag, names, named_cut, []
+        if tag in UNNAMED:
+            self.foreign = foreign and tag not in PAGE
+        else:
+            self.foreign = tag in FOREIGN_TAGS or named_cut and not FOREIGN.isdisjoint(names)
+        self.best = self
         self.holds = self.prose = False
         self.plain = 0
         self.chars = self.link_chars = self.tags = self.link_tags = 0
@@ -95,13 +110,14 @@ class Node:
         return [c for c in self.children if isinstance(c, Node)]
 
 
-def _names(attrs) -> tuple[frozenset, bool]:
-    """The words of an element's class and role and its id; whether these name boilerplate.
+def _names(attrs) -> tuple[frozenset, bool, bool]:
+    """The words of an element's class and role and its id; whether these name boilerplate, and
+    whether a class is a foreign word as a whole.
 
     An id counts as a whole, but for a number at its end.  A class that names content, and
     nothing else, outweighs the others.
     """
-    names, cut, content = set(), False, False
+    names, cut, content, whole = set(), False, False, False
     for key, value in attrs:
         if key == "id" and value:
             name = _NUMBER.sub("", value.strip().lower())
@@ -109,6 +125,7 @@ def _names(attrs) -> tuple[frozenset, bool]:
             cut = cut or name in CUT_NAMES
         elif key in ("class", "role") and value:
             for token in value.lower().split():
+                whole = whole or _NUMBER.sub("", token) in FOREIGN
                 words = _NAME.findall(token)
                 words = [w for w, before in zip(words, ["", *words]) if before not in LAYOUT]
                 names.update(words)
@@ -116,20 +133,36 @@ def _names(attrs) -> tuple[frozenset, bool]:
                     cut = True
                 elif words and words[-1] in CONTENT_NAMES:
                     content = True
-    return frozenset(names), cut and not content
+    return frozenset(names), cut and not content, whole and not content
 
 
-class _Builder(HTMLParser):
+class _Builder:
+    """The tree of a page.  Where each kind of open element stands is kept, so that nothing has to
+    be sought among the open ones."""
+
     def __init__(self):
-        super().__init__(convert_charrefs=True)
         self.root = Node("#page")
         self.open = [self.root]
-
-    def handle_starttag(self, tag, attrs):
-        if tag in ("html", "body") and any(n.tag == tag for n in self.open):
+        self.places: dict[str, list[int]] = {}
+        self.blocks = [0]
+
+    def _last(self, tag: str) -> int:
+        places = self.places.get(tag)
+        return places[-1] if places else -1
+
+    def _end(self, at: int) -> None:
+        """End the open element at this place and all within it."""
+        while len(self.open) > at:
+            gone = self.open.pop()
+            self.places[gone.tag].pop()
+            if gone.tag not in INLINE:
+                self.blocks.pop()
+
+    def start(self, tag: str, attrs: list[tuple[str, str]]) -> None:
+        if tag in ("html", "body") and self.places.get(tag):
             return
         if tag in CLOSES_P:
-            self._close({"p"}, {"button", "table", "td", "th", "object", *CUT})
+            self._close({"p"}, P_BOUNDS)
         if tag == "body":
             self._close({"head"}, set())
         if tag in CLOSES:
@@ -137,58 +170,129 @@ class _Builder(HTMLParser):
         node = Node(tag, *_names(attrs))
         self.open[-1].children.append(node)
         if tag not in VOID:
+            self.places.setdefault(tag, []).append(len(self.open))
+            if tag not in INLINE:
+                self.blocks.append(len(self.open))
             self.open.append(node)
 
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-
-    def _close(self, tags, within):
+    def _close(self, tags, within) -> None:
         """End the innermost open element of the given kinds, unless a boundary comes first."""
-        for at in range(len(self.open) - 1, 0, -1):
-            if self.open[at].tag in tags:
-                del self.open[at:]
-                return
-            if self.open[at].tag in within:
-                return
-
-    def handle_endtag(self, tag):
+        at = max(map(self._last, tags))
+        if at > 0 and all(self._last(t) <= at for t in within):
+            self._end(at)
+
+    def end(self, tag: str) -> None:
         if tag in VOID or tag in ("html", "body"):
             return
-        for at in range(len(self.open) - 1, 0, -1):
-            if self.open[at].tag == tag:
-                del self.open[at:]
-                return
-            if tag in INLINE and self.open[at].tag not in INLINE:
-                return
-
-    def handle_data(self, data):
+        at = self._last(tag)
+        if at > 0 and not (tag in INLINE and self.blocks[-1] > at):
+            self._end(at)
+
+    def text(self, data: str) -> None:
         self.open[-1].children.append(data)
 
 
+#: Open elements that a new block does not look beyond for a paragraph to end.
+P_BOUNDS = {"button", "table", "td", "th", "object", *CUT}
+_TAG_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_ATTRIBUTE = re.compile(r"[\s/]*([^\s/>][^\s/>=]*)(?:\s*=\s*)?")
+_PLAIN_VALUE = re.compile(r"[^\s>]*")
+_TAG_END = re.compile(r"[\s/]*>")
+
+
+def _attributes(html: str, at: int) -> tuple[list[tuple[str, str]], int]:
+    """The attributes from a place on, and the place behind the tag; -1 if the tag never ends."""
+    attrs = []
+    while True:
+        closed = _TAG_END.match(html, at)
+        if closed:
+            return attrs, closed.end()
+        found = _ATTRIBUTE.match(html, at)
+        if not found:
+            return attrs, -1
+        name, at = found[1].lower(), found.end()
+        value = ""
+        if found[0].rstrip().endswith("="):
+            quote = html[at:at + 1]
+            if quote in ("'", '"') and quote:
+                stop = html.find(quote, at + 1)
+                if stop < 0:
+                    return attrs, -1
+                value, at = html[at + 1:stop], stop + 1
+            else:
+                value = _PLAIN_VALUE.match(html, at)[0]
+                at += len(value)
+        attrs.append((name, unescape(value)))
+
+
 def parse(html: str) -> Node:
-    builder = _Builder()
-    builder.feed(html)
-    builder.close()
+    """The tree of a page, in one pass.  What the page's end cuts off inside a tag, a comment or a
+    script is no text."""
+    builder, at = _Builder(), 0
+    while at < len(html):
+        mark = html.find("<", at)
+        if mark < 0:
+            mark = len(html)
+        if mark > at:
+            builder.text(unescape(html[at:mark]))
+        after = html[mark + 1:mark + 2]
+        if mark == len(html):
+            break
+        if html.startswith("<!--", mark):
+            stop = html.find("-->", mark + 2)
+            at = stop + 3
+        elif after in ("!", "?") or after == "/" and not html[mark + 2:mark + 3].isalpha():
+            stop = html.find(">", mark)
+            at = stop + 1
+        elif after == "/":
+            name = _TAG_NAME.match(html, mark + 2)
+            stop = html.find(">", mark)
+            at = stop + 1
+            if name and stop >= 0:
+                builder.end(name[0].lower())
+        elif after.isascii() and after.isalpha():
+            tag = _TAG_NAME.match(html, mark + 1)
+            name = tag[0].lower()
+            attrs, stop = _attributes(html, tag.end())
+            at = stop
+            if stop >= 0:
+                builder.start(name, attrs)
+                if name in RAW:
+                    end = re.compile(f"</{name}(?=[\\s/>])", re.IGNORECASE).search(html, at)
+                    if not end:
+                        break
+                    at = end.start()
+        else:
+            builder.text("<")
+            stop, at = 0, mark + 1
+        if stop < 0:
+            break
     return builder.root
 
 
-def _survey(root: Node) -> None:
-    """What each element holds: an article or main element, running text, unlinked characters."""
-    left, order = [root], []
+def _survey(root: Node) -> bool:
+    """What each element holds: an article or main element, running text, unlinked characters.
+
+    True if an article or main element stands outside all foreign elements.
+    """
+    left, order, own = [(root, False)], [], False
     while left:
-        node = left.pop()
+        node, foreign = left.pop()
         order.append(node)
-        left += node.elements()
+        foreign = foreign or node.foreign
+        own = own or not foreign and node.tag in ("article", "main")
+        left += [(c, foreign) for c in node.elements()]
     for node in reversed(order):
         inner = [c for c in node.elements() if c.tag not in NEVER]
         node.holds = any(c.holds or c.tag in ("article", "main") and not c.named_cut for c in inner)
         node.prose = any(c.prose or c.tag in PROSE for c in inner)
         node.plain = 0 if node.tag == "a" else sum(c.plain for c in inner) + sum(
             _length(c) for c in node.children if isinstance(c, str))
+    return own
 
 
-def _boilerplate(node: Node, in_article: bool, total: int) -> bool:
-    if node.tag in NEVER:
+def _boilerplate(node: Node, in_article: bool, total: int, own: bool) -> bool:
+    if node.tag in NEVER or node.foreign and (own or not node.holds):
         return True
     if node.tag not in CUT and not (node.tag == "header" and not in_article):
         if node.tag in UNNAMED:
@@ -207,14 +311,14 @@ def _boilerplate(node: Node, in_article: bool, total: int) -> bool:
 
 def _cut(root: Node) -> list[Node]:
     """Take boilerplate out of the tree; the elements left, each before its children."""
-    _survey(root)
+    own = _survey(root)
     left, order = [(root, False)], []
     while left:
         node, inside = left.pop()
         order.append(node)
         inside = inside or node.tag in ("article", "main")
         node.children = [c for c in node.children
-                         if not isinstance(c, Node) or not _boilerplate(c, inside, root.plain)]
+                         if not isinstance(c, Node) or not _boilerplate(c, inside, root.plain, own)]
         left += [(c, inside) for c in reversed(node.elements())]
     return order
 
@@ -242,17 +346,11 @@ def _densities(order: list[Node], body: Node) -> None:
         node.density = chars / tags * math.log(ratio) / max(math.log(base), 1.0) if chars else 0.0
         direct = sum(_length(c) for c in node.children if isinstance(c, str))
         node.sum = direct + sum(c.density for c in node.elements())
-
-
-def _largest(node: Node) -> Node:
-    """The node of largest sum at or below, the first in page order among equals."""
-    best, left = node, [node]
-    while left:
-        top = left.pop()
-        if top.sum > best.sum:
-            best = top
-        left += reversed(top.elements())
-    return best
+        # The node of largest sum at or below, the first in page order among equals.
+        node.best = node
+        for child in node.elements():
+            if child.best.sum > node.best.sum:
+                node.best = child.best
 
 
 def _path(body: Node, core: Node) -> list[Node]:
@@ -270,17 +368,18 @@ def _path(body: Node, core: Node) -> list[Node]:
 
 
 def _main(body: Node) -> list[Node]:
-    core = _largest(body)
+    core = body.best
     path = _path(body, core)
-    for node in path:
-        if node.tag in ("article", "main"):
-            return [node]
     least = min(node.density for node in path)
+    for above, node in zip([body, *path], path):
+        if node.tag in ("article", "main"):
+            return [c for c in above.elements()
+                    if c is node or c.tag == node.tag and c.density >= least] if above is not node else [node]
     found, left = [core], [body]
     while left:
         top = left.pop()
         if top is not body and top.density >= least and top.tag not in INLINE:
-            found.append(_largest(top))
+            found.append(top.best)
         left += top.elements()
     return found
 
