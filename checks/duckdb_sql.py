@@ -360,7 +360,7 @@ def metric_select(keys: str) -> str:
     {r('SQRT(AVG((q50 - actual_gbp) * (q50 - actual_gbp)))', 4, 'RMSE_gbp')},
     {r('MEDIAN(ABS(q50 - actual_gbp))', 4, 'MedAE_gbp')},
     {r('AVG(q50 - actual_gbp)', 4, 'bias_gbp')},
-    {r('SUM(actual_gbp)', 2, 'total_actual_gbp')}, {r('SUM(q50)', 2, 'total_pred_median_gbp')},
+    {r('CAST(ROUND(SUM(CAST(actual_gbp AS DECIMAL(28, 6))), 2) AS DOUBLE)', 2, 'total_actual_gbp')}, {r('SUM(q50)', 2, 'total_pred_median_gbp')},
     {r('AVG(ABS(LN(1 + GREATEST(q50, 0)) - LN(1 + actual_gbp)))', 6, 'MAE_log')},
     {r(f'SUM({pinball}) / SUM(ABS(actual_gbp))', 6, 'wQL')}, {r(SMAPE, 6, 'sMAPE')},
     {r('AVG(CASE WHEN actual_gbp BETWEEN q10 AND q90 THEN 1.0 ELSE 0.0 END)', 6, 'coverage_p10_p90')},

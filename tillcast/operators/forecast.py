@@ -40,24 +40,28 @@ def forecast_part(series: DataFrame, part: str, cfg: Config = Config(),
                   max_t: Column | None = None) -> DataFrame:
     """The same for the origins of an evaluation part, from windows instead of a join.
 
-    Such origins lie inside the dense series, which has a target on every day: the encoder is
-    the array of the days before the origin.  Days too early for the part's encoders are left
-    out before the window, and each origin's array is parted by weekday after thinning.
+    Such origins lie inside the dense series, which has a target on every day.  A day's window
+    holds the same weekday of the weeks up to it, at most a seventh of an encoder.  It serves the
+    steps that fall on its weekday from the origins of the seven days behind it, so each day
+    looks for those among the part's origins.  Days too early for the part's encoders are left
+    out before the window.
     """
     split = pnl.Split(series, cfg, max_t=max_t)
     after = {"validation": split.sel_cutoff, "holdout": split.val_cutoff}
     reach = series if part not in after else series.where(
         F.col(TIME) > after[part] - cfg.max_encoder_length)
-    past = F.collect_list(cfg.target).over(
-        W.partitionBy(MERCHANT).orderBy(TIME).rowsBetween(-cfg.max_encoder_length, -1))
-    origins = pnl.window_origins(reach.withColumn("_past", past), part, cfg, max_t=split.max_t,
-                                 keep=["_past"])
-    # The day j places into the array is size - j days before the origin.
-    by_step = F.inline(F.array(*[
-        F.struct(F.lit(step).alias("_first"), F.sort_array(F.filter("_past", lambda x, j: (
-            F.size("_past") - j + step - 1) % 7 == 0)).alias("_values"))
-        for step in range(1, min(7, cfg.horizon) + 1)]))
-    parted = origins.select(*_KEY, by_step).where(F.size("_values") > 0)
+    weeks = W.partitionBy(MERCHANT, F.pmod(TIME, F.lit(7))).orderBy(TIME)
+    past = F.collect_list(cfg.target).over(weeks.rowsBetween(-(cfg.max_encoder_length // 7), 0))
+    # The last day before origin o on the weekday of step s is day o + s - 8.
+    step = F.explode(F.sequence(F.lit(1), F.lit(min(7, cfg.horizon))))
+    served = (reach.withColumn("_past", past).withColumn("_first", step)
+              .withColumn(TIME, F.col(TIME) + 8 - F.col("_first")))
+    inside = F.floor((F.lit(cfg.max_encoder_length - 8) + F.col("_first")) / 7).cast("int") + 1
+    parted = (pnl.window_origins(served, part, cfg, max_t=split.max_t, keep=["_past", "_first"])
+              .where(inside > 0)
+              .select(*_KEY, "_first", F.sort_array(F.when(
+                  F.size("_past") > inside, F.slice("_past", -inside, inside)).otherwise(
+                  F.col("_past"))).alias("_values")))
     step = F.explode(F.sequence(F.col("_first"), F.lit(cfg.horizon), F.lit(7)))
     return (parted.select(*_KEY, "_first", F.array(*[
                 q.of_sorted(F.col("_values"), level) for level in cfg.quantiles]).alias("q_log"))

@@ -43,7 +43,8 @@ def forecast_metrics(predictions: DataFrame, keys: Sequence[str] = (), cfg: Conf
         F.when(F.sum(F.abs(actual)) > 0, F.sum(loss) / F.sum(F.abs(actual))).alias("wQL"),
         F.avg(_smape_term(median, actual)).alias("sMAPE"),
         F.avg(error).alias("bias_gbp"),
-        F.sum(actual).alias("total_actual_gbp"),
+        # Exact, so that the total does not depend on the order of the rows.
+        F.sum(actual.cast("decimal(28,6)")).cast("double").alias("total_actual_gbp"),
         F.sum(median).alias("total_pred_median_gbp"),
         _coverage(quantile_name(cfg.quantiles[0]),
                   quantile_name(cfg.quantiles[-1])).alias("coverage_outer"),
