@@ -771,7 +771,8 @@ x AS (SELECT s.level7, s.level28, s.level120, s.highest, s.idle, s.weeks[(91 - s
     UNNEST(['constant', 'twice', 'blend']) AS input, (SELECT COUNT(*) FROM orig) AS windows"""
     out["ml_evaluation_rows"] = ctes(*base("region"), CUT, tidy("validation", "holdout")) + f"""SELECT part,
     merchant_id, COUNT(*) AS rows, COUNT(DISTINCT origin_time_idx) AS origins,
-    {r('SUM(actual_gbp)', 0, 'actual_gbp')}, CAST(0 AS BIGINT) AS crossed FROM tidy GROUP BY 1, 2"""
+    CAST(ROUND(SUM(CAST(actual_gbp AS DECIMAL(28, 6))), 2) AS DOUBLE) AS actual_gbp,
+    CAST(0 AS BIGINT) AS crossed FROM tidy GROUP BY 1, 2"""
     out["scale_alignment_faulty"] = ctes(*base("nation"), CUT, FIT, f"orig AS ({VALIDATION})") + """SELECT
     'validation' AS part, COUNT(*) FILTER (WHERE center IS NOT NULL) AS checked,
     COUNT(*) FILTER (WHERE center IS NULL) AS cold,

@@ -742,7 +742,8 @@ def ml_evaluation_rows(spark, folder):
         ordered = ordered & (F.col(low) <= F.col(high))
     return rows.groupBy("part", MERCHANT).agg(
         F.count(F.lit(1)).alias("rows"), F.count_distinct("origin_time_idx").alias("origins"),
-        r(F.sum("actual_gbp"), 0).alias("actual_gbp"), F.count_if(~ordered).alias("crossed"))
+        F.round(F.sum(F.col("actual_gbp").cast("decimal(28,6)")), 2).cast("double").alias("actual_gbp"),
+        F.count_if(~ordered).alias("crossed"))
 
 
 @query
