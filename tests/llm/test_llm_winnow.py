@@ -89,3 +89,21 @@ def test_long_items_are_not_broadcast(spark):
         winnow.small_words(entries, **how)._jdf.queryExecution().logical().toString())
     assert marked(size=401) and not marked(size=400) and not marked(rows=1)
     assert marked() and winnow.small_words(entries.limit(0)).count() == 0
+
+
+def test_joined_rows_follow_the_input(spark):
+    """A phrase, and a whole window, that n texts and n items share."""
+    def joined(n):
+        tail = lambda kind, i: " ".join(f"{kind}{i}w{j}" for j in range(20))
+        phrase, passage = "which of the following is", "p q r s t u v w x y z zz"
+        texts = [f"{tail('d', i)} {phrase} {tail('e', i)}" + (f" {passage}" if i % 2 else "") for i in range(n)]
+        items = [(i, f"{tail('a', i)} {phrase} {tail('b', i)} {passage}") for i in range(n)]
+        bench = winnow.Benchmark(spark.createDataFrame(items, "item_id long, text string"),
+                                 "item_id", "text", 10)
+        docs = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+        split = docs.select("row", winnow.words_of(docs["text"]).alias("words"))
+        found = winnow.shared_windows(split, bench)
+        assert found.join(bench.classes, winnow.CLASS).count() == found.count()
+        return found.count()
+
+    assert joined(20) == 10 * 3 and joined(40) == 20 * 3
