@@ -88,6 +88,31 @@ def test_cycles_orphans_and_repeats(tree):
         [("user", "a"), ("user", "b")]]
 
 
+def test_two_parents_of_one_message(tree):
+    rows = [(1, 1, None, "user", "a", 0.0), (1, 2, None, "user", "b", 9.0),
+            (1, 3, 2, "assistant", "c", 1.0), (1, 3, 1, "assistant", "c", 1.0)]
+    got = chat.ReplyPaths(tree(rows)).format(None).collect()
+    assert sorted([x for _, x in chat.read_turns(r.formatted)] for r in got) == [["a", "c", "c"], ["b"]]
+
+
+@pytest.mark.parametrize("trunk", [20, 40])
+def test_stored_rows_follow_the_messages(tree, monkeypatch, trunk):
+    """A trunk with one reply to each message: its paths have a square of members."""
+    rows = [(1, n, n - 1 if n else None, "user", "t", 1.0) for n in range(trunk)]
+    rows += [(1, trunk + n, n, "assistant", "r", 0.0) for n in range(trunk)]
+    stored = []
+
+    def count(frame, label):
+        made = snapshot(frame, label)
+        stored.append(made.count())
+        return made
+
+    snapshot = chat.snapshot
+    monkeypatch.setattr(chat, "snapshot", count)
+    best = chat.ReplyPaths(tree(rows)).format().collect()
+    assert [r.leaf for r in best] == [2 * trunk - 1] and max(stored) == 2 * trunk
+
+
 @given(st.text(max_size=40))
 def test_unescape_undoes_the_escape(text):
     escaped = text.replace("\\", "\\\\").replace("<|", "<\\|")

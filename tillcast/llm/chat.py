@@ -1,10 +1,11 @@
 """Chat formatting of reply trees.
 
 Messages name their parent.  Iterative self-joins build, for each message, its ancestor 1, 2,
-4, ... steps up; walking these from the top enumerates every root-to-leaf path with one join
-for each power of two, whatever the depth.  Paths are ranked within their tree by score, and
-each chosen path is one conversation: a text with marked turns and the spans that count for
-the loss.
+4, ... steps up and the score of the messages between, with one row per message and join.
+At the end each leaf has the score of its whole path; paths are ranked within their tree by
+it, and only the chosen ones are enumerated, walking the stored steps from the longest to the
+shortest.  Each chosen path is one conversation: a text with marked turns and the spans that
+count for the loss.  Such a text is one value, so a path must stay below 2 GB of text.
 
 Escaping: ``\\`` becomes ``\\\\`` and ``<|`` becomes ``<\\|``, so that a text never contains a
 control string; a line break in a role becomes ``\\n``.  ``unescape`` undoes all three.
@@ -12,7 +13,8 @@ control string; a line break in a role becomes ``\\n``.  ``unescape`` undoes all
 Defined results: null text or role is the empty text; a null tree id is a tree of its own; a
 parent that does not exist makes the message a root; messages on or below a cycle of parents
 have no path from a root and are left to ``unrooted``; a message id given twice in a tree keeps
-both rows, side by side, in the order of role and text; null scores count as zero; ties are
+both rows, side by side, in the order of role and text, and replies to the least of its
+parents that exist; null scores count as zero; ties are
 broken by the longer path, then by the lesser leaf.  Empty tables give empty results.
 """
 
@@ -69,52 +71,63 @@ class ReplyPaths:
     def __init__(self, messages: DataFrame):
         self.messages = messages = snapshot(
             messages.select("tree", "node", "parent", "role", "text", "score"), "messages")
-        nodes = messages.select(*NODE).distinct()
+        nodes = messages.groupBy(*NODE).agg(F.sum(F.coalesce("score", F.lit(0.0))).alias("total"))
         size = messages.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
-        exists = nodes.withColumnRenamed("node", "up")
         step = snapshot(messages.where("parent IS NOT NULL AND parent != node")
-                        .select(*NODE, F.col("parent").alias("up")).distinct()
-                        .join(exists, ["tree", "up"], "left_semi").select(*NODE, "up"), "parents")
-        levels, reach, endless = [], 1, None
-        while not step.isEmpty():
+                        .select("tree", "node", F.col("parent").alias("up"))
+                        .join(nodes.select("tree", F.col("node").alias("up")), ["tree", "up"], "left_semi")
+                        .groupBy(*NODE).agg(F.min("up").alias("up")), "parents")
+        # Each message: score and number of the messages from it up to, but without, ``up``.
+        climb = snapshot(nodes.withColumn("length", F.lit(1).cast("long"))
+                         .join(step, NODE, "left"), "climb")
+        self.levels, reach = [], 1
+        # Messages that have reached a root are only looked up from then on.
+        rooted, open_ = climb.where("up IS NULL"), climb.where("up IS NOT NULL")
+        while not open_.isEmpty():
             if reach > size:
                 # Only below a cycle can one climb more steps than the tree has messages.
-                endless = step.select(*NODE).distinct()
                 break
-            levels.append(step)
-            higher = step.select("tree", F.col("node").alias("up"), F.col("up").alias("top"))
-            step = snapshot(step.join(higher, ["tree", "up"])
-                            .select(*NODE, F.col("top").alias("up")), "ancestors")
+            self.levels.append(open_.select(*NODE, "up"))
+            higher = rooted.unionByName(open_).select(
+                "tree", F.col("node").alias("up"), F.col("up").alias("top"),
+                F.col("total").alias("more"), F.col("length").alias("longer"))
+            climb = snapshot(open_.join(higher, ["tree", "up"]).select(
+                *NODE, (F.col("total") + F.col("more")).alias("total"),
+                (F.col("length") + F.col("longer")).alias("length"), F.col("top").alias("up")), "climb")
+            rooted = rooted.unionByName(climb.where("up IS NULL"))
+            open_ = climb.where("up IS NOT NULL")
             reach *= 2
-        parents = levels[0].select("tree", F.col("up").alias("node")).distinct() if levels else None
-        leaves = nodes if parents is None else nodes.join(parents, NODE, "left_anti")
-        if endless is not None:
-            leaves = leaves.join(endless, NODE, "left_anti")
-        self.unrooted = (messages.limit(0) if endless is None
-                         else messages.join(endless, NODE, "left_semi"))
-        members = leaves.select("tree", F.col("node").alias("leaf"), "node",
-                                F.lit(0).cast("long").alias("height"))
-        for power in reversed(range(len(levels))):
-            higher = members.join(levels[power], NODE).select(
+        self.unrooted = messages.join(open_, NODE, "left_semi")
+        inner = step.select("tree", F.col("up").alias("node")).distinct()
+        #: (tree, leaf, total, length): score and number of messages of each path.
+        self.leaves = snapshot(
+            rooted.join(inner, NODE, "left_anti")
+            .select("tree", F.col("node").alias("leaf"), "total", "length"), "leaves")
+
+    def chosen(self, branches: int | None = 1) -> DataFrame:
+        """(tree, leaf, node, height above the leaf) of the best paths of each tree; of all for None.
+
+        Leaves are ranked by the sums of their paths; only the chosen ones are walked up.
+        """
+        best = self.leaves
+        if branches is not None:
+            order = Window.partitionBy("tree").orderBy(F.desc("total"), F.desc("length"), "leaf")
+            best = (best.withColumn("place", F.row_number().over(order))
+                    .where(F.col("place") <= branches))
+        members = best.select("tree", "leaf", F.col("leaf").alias("node"),
+                              F.lit(0).cast("long").alias("height"))
+        for power in reversed(range(len(self.levels))):
+            higher = members.join(self.levels[power], NODE).select(
                 "tree", "leaf", F.col("up").alias("node"),
                 (F.col("height") + (1 << power)).alias("height"))
             # Stored at each step: the plan would double with every power of two.
             members = snapshot(members.unionByName(higher), "paths")
-        #: (tree, leaf, node, height above the leaf)
-        self.members = members if levels else snapshot(members, "paths")
+        return members
 
-    def chosen(self, branches: int | None = 1) -> DataFrame:
-        """Members of the best paths of each tree; of all paths for None."""
-        if branches is None:
-            return self.members
-        scores = (self.members.join(self.messages.select(*NODE, "score"), NODE)
-                  .groupBy("tree", "leaf")
-                  .agg(F.sum(F.coalesce("score", F.lit(0.0))).alias("total"),
-                       F.max("height").alias("length")))
-        order = Window.partitionBy("tree").orderBy(F.desc("total"), F.desc("length"), "leaf")
-        best = (scores.withColumn("place", F.row_number().over(order))
-                .where(F.col("place") <= branches).select("tree", "leaf"))
-        return self.members.join(best, ["tree", "leaf"], "left_semi")
+    @property
+    def members(self) -> DataFrame:
+        """The messages of all paths."""
+        return self.chosen(None)
 
     def format(self, branches: int | None = 1, learn: str = "assistant") -> DataFrame:
         """(tree, leaf, formatted, spans): one row per chosen path.
