@@ -2,6 +2,8 @@
 
 import re
 
+import pytest
+
 from tillcast.llm import quality
 
 
@@ -61,3 +63,15 @@ def test_clean_documents_stay(spark, small):
     bad = rows.where("quality = 0")
     assert good.where(quality.verdict(good.failures, 2)).count() == good.count() > 100
     assert bad.where(quality.verdict(bad.failures, 2)).count() < 0.1 * bad.count()
+
+
+def test_policies_read_the_stored_ledger(spark, awkward, monkeypatch):
+    rows = quality.stored(awkward)
+    assert "text" not in rows.columns and rows.count() == awkward.count()
+    assert {r.rules for r in rows.collect()} == {quality.RULES_VERSION}
+    plan = rows.where(quality.verdict(rows.failures, 2, rows.rules))._jdf.queryExecution().toString()
+    assert "quality_ledger" in plan and "regexp" not in plan
+    monkeypatch.setattr(quality, "RULES_VERSION", 99)
+    with pytest.raises(Exception, match="other rules"):
+        rows.select(quality.verdict(rows.failures, 2, rows.rules)).collect()
+    assert quality.keep(awkward).columns == awkward.columns

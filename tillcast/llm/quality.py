@@ -1,8 +1,9 @@
 """Quality rules: a ledger of failure bits, versioned policies, ablations by bits.
 
 Every rule is evaluated once for each text.  The ledger keeps the measurements and one long
-with a bit for each failed rule; a policy is a mask over these bits, so that another policy
-or an ablation never reads a text again.
+with a bit for each failed rule.  ``stored`` writes it once, with the version of the rules; a
+policy is a mask over these bits, so that another policy or an ablation reads the stored
+bits and never a text again.  A ledger of other rules is refused.
 
 Defined results: a null or empty text has no words and fails ``few_words``.  Rows are judged
 one by one: ties, repeated rows and other columns do not matter.  Windows of words are
@@ -14,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillcast.functions.staging import snapshot
 from tillcast.llm.common import WORD, fresh, held
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words",
@@ -30,6 +32,8 @@ RULES = {
     "capitals": "2 * n_capitals > word_chars",
 }
 BIT = {name: 1 << at for at, name in enumerate(RULES)}
+#: To be raised whenever a rule or its bit changes.
+RULES_VERSION = 1
 #: Version of the policy -> the rules it applies.
 POLICIES = {
     1: ("few_words", "repeated_windows"),
@@ -85,20 +89,30 @@ def ledger(docs: DataFrame, text_column: str = "text") -> DataFrame:
 
 
 def _names(docs: DataFrame) -> tuple:
-    inner = fresh(docs, "whole", "words", "lines", "windows", "ordered", *MEASURES, "failures")
-    return (*inner[:5], dict(zip((*MEASURES, "failures"), inner[5:], strict=True)))
+    inner = fresh(docs, "whole", "words", "lines", "windows", "ordered", *MEASURES, "failures", "rules")
+    return (*inner[:5], dict(zip((*MEASURES, "failures", "rules"), inner[5:], strict=True)))
 
 
-def verdict(failures: Column, version: int) -> Column:
-    """Whether a policy keeps the text."""
-    return failures.bitwiseAND(F.lit(mask(POLICIES[version]))) == 0
+def stored(docs: DataFrame, text_column: str = "text", with_text: bool = False) -> DataFrame:
+    """The ledger as a written table, with the version of its rules; the text only if asked for."""
+    names = _names(docs)[5]
+    rows = ledger(docs, text_column).withColumn(names["rules"], F.lit(RULES_VERSION))
+    return snapshot(rows if with_text else rows.drop(text_column), "quality_ledger")
+
+
+def verdict(failures: Column, version: int, rules: Column | None = None) -> Column:
+    """Whether a policy keeps the text; with ``rules``, the ledger's version of them is checked."""
+    kept = failures.bitwiseAND(F.lit(mask(POLICIES[version]))) == 0
+    return kept if rules is None else F.when(rules == RULES_VERSION, kept).otherwise(
+        F.raise_error(F.lit("the ledger was written by other rules")))
 
 
 def keep(docs: DataFrame, text_column: str = "text", version: int = 2) -> DataFrame:
-    """The rows that a policy keeps, with their own columns only."""
+    """The rows that a policy keeps, with their own columns only, from a stored ledger."""
     names = _names(docs)[5]
-    judged = ledger(docs, text_column)
-    return judged.where(verdict(F.col(names["failures"]), version)).select(*docs.columns)
+    judged = stored(docs, text_column, with_text=True)
+    return judged.where(verdict(F.col(names["failures"]), version, F.col(names["rules"]))).select(
+        *docs.columns)
 
 
 def ablation(rows: DataFrame, version: int = 2) -> DataFrame:

@@ -32,16 +32,16 @@ def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
-    rows = quality.ledger(table(spark, folder, "documents").select("doc_id", "text"))
+    rows = quality.stored(table(spark, folder, "documents").select("doc_id", "text"))
     failures = F.col("failures")
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "failures",
         (failures.bitwiseAND(F.lit(quality.mask(quality.BASE))) != 0).alias("base_failed"),
-        quality.verdict(failures, 2).alias("kept"))
+        quality.verdict(failures, 2, F.col("rules")).alias("kept"))
 
 
 def op2_rule_ablation(spark: SparkSession, folder: str) -> DataFrame:
-    return quality.ablation(quality.ledger(table(spark, folder, "documents").select("text")))
+    return quality.ablation(quality.stored(table(spark, folder, "documents").select("text")))
 
 
 def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
