@@ -45,11 +45,28 @@ def test_known_texts(library, text):
 
 
 @settings(max_examples=400, deadline=None)
-@given(st.text(st.characters(max_codepoint=0x2FFF, exclude_categories=["Cs", "Cn"]), max_size=60))
+@given(st.text(st.characters(exclude_categories=["Cs"]), max_size=60))
 def test_any_text(library, text):
     same(library, text)
 
 
+@pytest.mark.parametrize("around", ["a {}b", "a\u0301{}\u03231"])
+def test_every_code_point(library, around):
+    """Beside letters, and between marks that may combine or change places."""
+    texts = [around.format(chr(c)) for c in range(0x110000) if not 0xD800 <= c < 0xE000
+             and (c < 0x34000 or c % 0x10000 < 0x400 or c % 0x10000 >= 0xFC00 or 0x3CF00 <= c < 0x3FD00)]
+    found = library.encode_batch_fast(texts, add_special_tokens=False)
+    assert [t for t, e in zip(texts, found, strict=True) if own(t) != e.ids] == []
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(st.one_of(st.sampled_from([chr(c) for c in bpe.LOWERED]),
+                         st.characters(min_codepoint=0x300, categories=["Mn", "Mc", "Lo"]),
+                         st.characters(max_codepoint=0x250)), max_size=20))
+def test_marks_among_letters(library, text):
+    same(library, text)
+
+
 def test_scan_and_heap_agree():
     pieces, rng = bpe.load(PATH), random.Random(2)
     for _ in range(300):

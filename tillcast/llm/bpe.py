@@ -7,7 +7,9 @@ go by a heap over the same ranks instead, since scans of a long array would be q
 both orders are least rank first, then leftmost, so the results are equal.
 
 Spark deals the texts; in a task, words already seen come from a bounded cache.  Special
-tokens are found in the raw text first.  Defined results: null and empty texts have no
+tokens are found in the raw text first.  The library's Unicode tables are older than those
+here: what it does not know is stated as fixed values, and pieces of text that hold such a
+character go by patterns that leave it out.  Defined results: null and empty texts have no
 tokens and decode to the empty text; each row stands for itself.
 """
 
@@ -18,7 +20,9 @@ import hashlib
 import heapq
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +37,48 @@ LONG = 64
 #: Words kept by a worker, about 400 bytes each, and texts encoded at a time.
 CACHE = 150_000
 TEXTS = 512
-_SPACES = regex.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
+# Code points, in hexadecimal, whose later Unicode properties the library lacks.
+# Letters and numbers that are neither to it:
+LATE_LETTERS = """
+558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D
+107BB-107BF 10940-10959 10EC5-10EC7 10ED9-10EEE 11B0A 11DB0-11DDB 11DF1 16EA0-16EB8
+16EBB-16ED3 16FF2-16FF3 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191
+191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF
+1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E
+2CEA2-2CEAD 323B0-33479 3D000-3FC3F"""
+LATE_NUMBERS = "11DE0-11DE9 1246F 12475-1247F 12550-12686 16FF4-16FF6"
+# Marks that combine with nothing and reorder nothing there; 11930 joins to 11938 only here:
+LATE_MARKS = """
+7FD 898-89F 8CA-8D3 9FE C3C D3B-D3C EBA 1715 1ABF-1ACE 1DF6-1DFA A82C 10D24-10D27
+10EAB-10EAC 10EFD-10EFF 10F46-10F50 10F82-10F85 11070 1133B 1145E 11839-1183A 11930
+1193D-1193E 11943 119E0 11A34 11A47 11A99 11D42 11D44-11D45 11D97 11F41-11F42 16FF0-16FF1
+1E08F 1E130-1E136 1E2AE 1E2EC-1E2EF 1E4EC-1E4EF"""
+# Capitals that only the library lowers: first, last, and the lower case of the first.
+LATE_CAPITALS = """
+1C89-1C89:1C8A A7CB-A7CB:264 A7CC-A7CC:A7CD A7CE-A7CE:A7CF A7D2-A7D2:A7D3 A7D4-A7D4:A7D5
+A7DA-A7DA:A7DB A7DC-A7DC:19B 10D50-10D65:10D70 16EA0-16EB8:16EBB"""
+# End of the fixed values.
+
+
+def _class(ranges: str) -> str:
+    """The members of a character class, from ranges of code points."""
+    ends = (r.split("-") for r in ranges.split())
+    return "".join(f"\\U{int(e[0], 16):08X}-\\U{int(e[-1], 16):08X}" for e in ends)
+
+
+def _lowered(capitals: str) -> dict[int, int]:
+    found = {}
+    for rule in capitals.split():
+        span, to = rule.split(":")
+        first, last = (int(x, 16) for x in span.split("-"))
+        found.update(zip(range(first, last + 1), range(int(to, 16), 0x110000)))
+    return found
+
+
+LOWERED = _lowered(LATE_CAPITALS)
+_MARK = regex.compile(f"([{_class(LATE_MARKS)}])")
+_LATE = regex.compile(f"[{_class(LATE_LETTERS)}{_class(LATE_NUMBERS)}{_class(LATE_MARKS)}"
+                      f"{''.join(map(chr, LOWERED))}]")
 NO_RANK = 1 << 60
 
 
@@ -56,63 +101,73 @@ class WordPieces:
         model = spec["model"]
         self.vocab: dict[str, int] = dict(model["vocab"])
         self.suffix = model.get("end_of_word_suffix") or ""
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        #: The rank of a pair of parts, and the part that a rank makes.
+        self.ranks: dict[tuple[int, int], int] = {}
+        self.made: list[int] = []
         for rank, (left, right) in enumerate(model["merges"]):
-            self.merges[self.vocab[left], self.vocab[right]] = (rank, self.vocab[left + right])
+            self.ranks[self.vocab[left], self.vocab[right]] = rank
+            self.made.append(self.vocab[left + right])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: t for t, i in [*self.vocab.items(), *self.special.items()]}
         (split,) = (p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.words = regex.compile(split["pattern"]["Regex"])
+        pattern = split["pattern"]["Regex"]
+        self.words = regex.compile(pattern)
+        letters, numbers = _class(LATE_LETTERS), _class(LATE_NUMBERS)
+        self.strict_words = regex.compile(
+            pattern.replace(r"\p{L}", rf"[\p{{L}}--[{letters}]]")
+            .replace(r"\p{N}", rf"[\p{{N}}--[{numbers}]]"), regex.V1)
         self.marks = regex.compile("|".join(
             f"({regex.escape(t)})" for t in sorted(self.special, key=len, reverse=True)) or r"(?!)")
-        self.letters = byte_letters()
+        letters = byte_letters()
+        self.inner = [self.vocab[x] for x in letters]
+        self.last = [self.vocab[x + self.suffix] for x in letters]
         self.seen: dict[str, tuple[bytes, str, str]] = {}
 
     def _parts(self, word: str) -> list[int]:
-        letters = [self.letters[b] for b in word.encode()]
-        letters[-1] += self.suffix
-        return [self.vocab[x] for x in letters if x in self.vocab]
+        said = word.encode()
+        parts = [self.inner[b] for b in said]
+        parts[-1] = self.last[said[-1]]
+        return parts
 
     def merge(self, parts: list[int]) -> list[int]:
         """Scan, delete the boundary of least rank, refresh its neighbours, repeat."""
         if len(parts) > LONG:
             return self._merge_long(parts)
-        merges = self.merges
-        none = (NO_RANK, -1)
-        ranks = [merges.get(pair, none) for pair in zip(parts, parts[1:])]
+        rank_of, made = self.ranks.get, self.made
+        ranks = list(map(rank_of, zip(parts, parts[1:]), repeat(NO_RANK)))
         while ranks:
             best = min(ranks)
-            if best is none or best[0] == NO_RANK:
+            if best == NO_RANK:
                 break
             at = ranks.index(best)
-            parts[at:at + 2] = [best[1]]
+            parts[at:at + 2] = [made[best]]
             del ranks[at]
             if at:
-                ranks[at - 1] = merges.get((parts[at - 1], parts[at]), none)
+                ranks[at - 1] = rank_of((parts[at - 1], parts[at]), NO_RANK)
             if at < len(ranks):
-                ranks[at] = merges.get((parts[at], parts[at + 1]), none)
+                ranks[at] = rank_of((parts[at], parts[at + 1]), NO_RANK)
         return parts
 
     def _merge_long(self, parts: list[int]) -> list[int]:
-        n, merges = len(parts), self.merges
+        n, rank_of, made = len(parts), self.ranks.get, self.made
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
         alive = [True] * n
-        heap = [(*merges[p], i) for i, p in enumerate(zip(parts, parts[1:])) if p in merges]
-        heap = [(rank, i, new) for rank, new, i in heap]
+        pairs = enumerate(map(rank_of, zip(parts, parts[1:])))
+        heap = [(rank, i) for i, rank in pairs if rank is not None]
         heapq.heapify(heap)
         while heap:
-            rank, at, new = heapq.heappop(heap)
+            rank, at = heapq.heappop(heap)
             end = after[at]
-            if not alive[at] or end < 0 or merges.get((parts[at], parts[end])) != (rank, new):
+            if not alive[at] or end < 0 or rank_of((parts[at], parts[end])) != rank:
                 continue
-            parts[at], alive[end], after[at] = new, False, after[end]
+            parts[at], alive[end], after[at] = made[rank], False, after[end]
             if after[at] >= 0:
                 before[after[at]] = at
             for i in (before[at], at):
                 if i >= 0 and after[i] >= 0:
-                    found = merges.get((parts[i], parts[after[i]]))
-                    if found:
-                        heapq.heappush(heap, (found[0], i, found[1]))
+                    found = rank_of((parts[i], parts[after[i]]))
+                    if found is not None:
+                        heapq.heappush(heap, (found, i))
         return [p for p, here in zip(parts, alive, strict=True) if here]
 
     def word(self, word: str) -> tuple[bytes, str, str]:
@@ -127,27 +182,39 @@ class WordPieces:
         return found
 
     def _entry(self, ids: list[int]) -> tuple[bytes, str, str]:
-        return (np.asarray(ids, "<i4").tobytes(), " ".join(map(str, ids)),
-                " ".join(self.tokens[i] for i in ids))
+        return (array("i", ids).tobytes(), " ".join(map(str, ids)),
+                " ".join([self.tokens[i] for i in ids]))
 
     def encode(self, text: str | None) -> list[tuple[bytes, str, str]]:
         """The entries of all words and special tokens of a whole text, in order."""
         out: list[tuple[bytes, str, str]] = []
         if not text:
             return out
+        known, look_up = self.seen.get, self.word
         # split() with groups hands over the marks; groups that did not take part are None.
         for piece in filter(None, self.marks.split(text)):
             if piece in self.special:
                 out.append(self._entry([self.special[piece]]))
             else:
-                if not piece.isascii():
-                    piece = unicodedata.normalize("NFC", piece)
-                piece = _SPACES.sub(" ", piece)
-                # Letter by letter, so that a final sigma is like any other.
-                piece = piece.replace("Σ", "σ").lower()
-                out += [e for e in map(self.word, self.words.findall(piece)) if e[0]]
+                out += [known(w) or look_up(w) for w in self.split(piece)]
         return out
 
+    def split(self, piece: str) -> list[str]:
+        """The words of a text without special tokens.  Blanks, runs of which the library makes
+        one space, are in no word."""
+        if piece.isascii():
+            return self.words.findall(piece.lower())
+        late = _LATE.search(piece)
+        if late:
+            # A mark that combines with nothing ends what is normalised together.
+            piece = "".join([unicodedata.normalize("NFC", x) for x in _MARK.split(piece)])
+            piece = piece.translate(LOWERED)
+        else:
+            piece = unicodedata.normalize("NFC", piece)
+        # Letter by letter, so that a final sigma is like any other.
+        piece = piece.replace("Σ", "σ").lower()
+        return (self.strict_words if late else self.words).findall(piece)
+
 
 @functools.lru_cache(maxsize=4)
 def load(path: str) -> WordPieces:
