@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from tillcast.config import Config
+from tillcast.config import Config, DATE
 from tillcast.functions import quantiles as q
 from tillcast.functions.columns import size_band
 from tillcast.functions import stats
@@ -277,3 +277,25 @@ def test_scale_alignment_counts_a_shifted_pair(make_series):
     off = fitted.withColumn("scale", F.when(F.col("merchant_id") == "a", F.col("scale") + .1)
                             .otherwise(F.col("scale")))
     assert norm.scale_alignment(origins, series, off, split.train_cutoff).first().mismatched == 13
+
+
+@pytest.mark.parametrize("start", [0, 117])
+def test_window_arrays_are_cut_from_blocks_of_days(spark, make_series, start):
+    series = make_series({"a": (start, [float(i % 9) for i in range(520)]), "b": (3, [1.0 + i for i in range(430)])})
+    origins = pnl.window_origins(series, "validation")
+    scales = norm.fit_normaliser(series)
+    arrays = pnl.window_arrays(series, origins, [Config().target], [DATE], scales, Config())
+    values = {(r.merchant_id, r.time_idx): (r[Config().target], r[DATE]) for r in series.collect()}
+    want = {(o.merchant_id, o.origin_time_idx): o.encoder_start_idx for o in origins.collect()}
+    rows = arrays.collect()
+    assert len(rows) == len(want) > 0
+    for row in rows:
+        origin = row.origin_time_idx
+        first = want[row.merchant_id, origin]
+        assert [tuple(d) for d in row.encoder] == [
+            (t, *values[row.merchant_id, t]) for t in range(first, origin)]
+        assert [tuple(d) for d in row.decoder] == [
+            (t, values[row.merchant_id, t][1]) for t in range(origin, origin + Config().horizon)]
+        assert row.scale is not None
+    plan = arrays._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode" not in plan and plan.count("Join") == 2

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tillcast.config import Config
+from tillcast.functions.staging import snapshot
 from tillcast.operators import normaliser as norm, panel as pnl, quality, rollup
 from tillcast.plans import forecasting as plan
 from tillcast.sources import readers, sinks
@@ -123,6 +124,24 @@ def test_delivery_checks_before_it_writes(spark, make_series, make_fact, tmp_pat
     assert not (tmp_path / "short").exists()
 
 
+def test_stored_tables_are_checked_in_the_pass_that_writes_them(spark, make_series, make_fact, tmp_path):
+    series = make_series({"a": (0, [float(i % 9) for i in range(200)])})
+    table = plan.Forecasts(series).table
+    kept = snapshot(table, "checked", **plan.table_faults())
+    assert kept.count() == 91
+    with pytest.raises(ValueError, match="91 days without a value"):
+        snapshot(table.withColumn("expected_gbp", F.lit(None).cast("double")), "checked",
+                 **plan.table_faults())
+    with pytest.raises(ValueError, match="1 days without a date"):
+        snapshot(table.withColumn("date", F.when(F.col("step") != 5, F.col("date"))), "checked",
+                 **plan.table_faults())
+    assert snapshot(table.limit(0), "checked", **plan.table_faults()).count() == 0
+    nan = make_fact([("a", n, float("nan") if n == 7 else 3.0 + n % 9, 1) for n in range(200)])
+    with pytest.raises(ValueError, match="1 rows with a revenue that is no number"):
+        plan.deliver(nan, str(tmp_path / "nan"))
+    assert not (tmp_path / "nan").exists()
+
+
 def test_windows_scaled_by_another_pair_are_an_error(make_series):
     series = make_series({"a": (0, [float(i % 9) for i in range(400)])})
     origins = pnl.window_origins(series, "holdout")

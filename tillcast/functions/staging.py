@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def staging_folder(spark: SparkSession) -> str:
@@ -24,12 +24,20 @@ def staging_folder(spark: SparkSession) -> str:
     return folder
 
 
-def snapshot(frame: DataFrame, label: str) -> DataFrame:
+def snapshot(frame: DataFrame, label: str, **faults: Column) -> DataFrame:
     """Write the frame as parquet in the shared folder and read it back.
 
     Later steps then scan only the columns they need, see true sizes, and survive a
-    lost executor without going back to the raw log.
+    lost executor without going back to the raw log.  ``faults`` are counts that must be zero:
+    they are taken in the pass that writes, and the table is only handed out if they are.
     """
     path = f"{staging_folder(frame.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
+    kept, seen = frame, None
+    if faults:
+        seen = Observation(f"{label}-{uuid.uuid4().hex}")
+        kept = frame.observe(seen, *[count.alias(name) for name, count in faults.items()])
+    kept.write.parquet(path)
+    found = {name.replace("_", " "): n for name, n in (seen.get if seen else {}).items() if n}
+    if found:
+        raise ValueError(f"{label}: " + ", ".join(f"{n} {name}" for name, n in found.items()))
     return frame.sparkSession.read.schema(frame.schema).parquet(path)

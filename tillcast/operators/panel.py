@@ -274,23 +274,51 @@ def decoder_rows(origins: DataFrame, cfg: Config = Config()) -> DataFrame:
         TIME, F.col("origin_time_idx") + F.col("step") - 1)
 
 
+def day_blocks(panel: DataFrame, columns: Iterable[str], days: int) -> DataFrame:
+    """The panel in blocks of so many days, one row (merchant, block, before, own, after) each:
+    the rows of the block and of both its neighbours, as arrays in the order of days.
+
+    One exchange on the merchant serves the blocks and their neighbours.
+    """
+    block = F.floor(F.col(TIME) / days).cast("int")
+    packed = (
+        panel.select(MERCHANT, TIME, *columns).repartition(MERCHANT)
+        .groupBy(MERCHANT, block.alias("block"))
+        .agg(F.array_sort(F.collect_list(F.struct(TIME, *columns))).alias("own")))
+    order = W.partitionBy(MERCHANT).orderBy("block")
+
+    def beside(way: int) -> Column:
+        near = F.lag("block", -way).over(order) == F.col("block") + way
+        return F.coalesce(F.when(near, F.lag("own", -way).over(order)), F.slice("own", 1, 0))
+
+    return packed.select(MERCHANT, "block", beside(-1).alias("before"), "own",
+                         beside(1).alias("after"))
+
+
 def window_arrays(panel: DataFrame, origins: DataFrame, observed: Iterable[str],
                   known: Iterable[str], normaliser: DataFrame, cfg: Config = Config()) -> DataFrame:
     """Model input per origin: encoder array, decoder array of known columns, scale pair.
 
-    Call it on thinned origins; each array is bounded by the encoder length or the horizon.
+    A block of days is at least as long as an encoder or a horizon, so each origin meets one
+    row, its own block with the neighbours, and both arrays are cut from that.  Call it on
+    thinned origins; each array is bounded by the encoder length or the horizon.
     """
     observed, known = list(observed), list(known)
-    key = [MERCHANT, "origin_time_idx"]
-    encoder = (
-        encoder_rows(panel, origins, [*observed, *known]).groupBy(*key)
-        .agg(F.array_sort(F.collect_list(F.struct(TIME, *observed, *known))).alias("encoder")))
-    decoder = (
-        decoder_rows(origins, cfg).join(panel.select(MERCHANT, TIME, *known), [MERCHANT, TIME])
-        .groupBy(*key)
-        .agg(F.array_sort(F.collect_list(F.struct(TIME, *known))).alias("decoder")))
-    return (encoder.join(decoder, key)
-            .join(normaliser.select(MERCHANT, "center", "scale"), MERCHANT, "left"))
+    days = max(cfg.max_encoder_length, cfg.horizon)
+    origin = F.col("origin_time_idx")
+    wanted = origins.select(MERCHANT, "origin_time_idx", "encoder_start_idx",
+                            F.floor(origin / days).cast("int").alias("block"))
+    met = wanted.join(day_blocks(panel, [*observed, *known], days), [MERCHANT, "block"])
+    past = F.filter(F.concat("before", "own"), lambda d: (
+        d[TIME] >= F.col("encoder_start_idx")) & (d[TIME] < origin))
+    ahead = F.filter(F.concat("own", "after"), lambda d: (
+        d[TIME] >= origin) & (d[TIME] < origin + cfg.horizon))
+    decoder = F.transform(ahead, lambda d: F.struct(
+        d[TIME].alias(TIME), *[d[c].alias(c) for c in known]))
+    return (
+        met.select(MERCHANT, "origin_time_idx", past.alias("encoder"), decoder.alias("decoder"))
+        .where((F.size("encoder") > 0) & (F.size("decoder") > 0))
+        .join(normaliser.select(MERCHANT, "center", "scale"), MERCHANT, "left"))
 
 
 def future_rows(panel: DataFrame, calendar: Calendar, ratio_names: Iterable[str],

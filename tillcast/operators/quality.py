@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tillcast.config import Config, DATE, MERCHANT, SIZE_BANDS, TIME
 from tillcast.functions.columns import size_band
@@ -31,6 +31,14 @@ def require_complete(panel: DataFrame, cfg: Config = Config()) -> None:
         raise ValueError(f"{bad} panel rows lack a target or a time index")
 
 
+def observed_faults(cfg: Config = Config()) -> dict[str, Column]:
+    """Counts that must be zero in the sparse form, for the pass that stores it: what makes a
+    target or time index of the dense form NULL or NaN."""
+    return {"rows_without_a_date": F.count_if(F.col(DATE).isNull()),
+            "rows_without_a_merchant": F.count_if(F.col(MERCHANT).isNull()),
+            "rows_with_a_revenue_that_is_no_number": F.count_if(F.isnan(cfg.raw_target))}
+
+
 def calendar_agreement(lookup: DataFrame) -> DataFrame:
     """Per calendar column: dates compared, share on which the formula agrees with the
     warehouse, and the first date on which it does not."""

@@ -96,7 +96,7 @@ def evaluate(series: DataFrame, cfg: Config = Config(), observed: DataFrame | No
              forecaster: Callable[[str], DataFrame] | None = None) -> DataFrame:
     """All metrics by part.  The rows are stored, as several statistics pass over them."""
     rows = snapshot(evaluation_rows(series, cfg, observed=observed, forecaster=forecaster),
-                    "predictions")
+                    "predictions", **table_faults(DATE))
     return metrics.forecast_metrics(rows, ["part"], cfg)
 
 
@@ -107,10 +107,9 @@ def holdout_baselines(series: DataFrame, cfg: Config = Config(),
     return baselines.with_baselines(rows, series, cfg)
 
 
-def require_deliverable(series: DataFrame, table: DataFrame, cfg: Config = Config()) -> None:
-    """Fail unless all series are complete and each has one whole, dated forecast."""
-    quality.require_complete(series, cfg)
-    short = fc.missing_forecasts(series, table).count()
+def require_whole(kept: DataFrame, table: DataFrame, cfg: Config = Config()) -> None:
+    """Fail unless each merchant of the kept rows, sparse or dense, has one whole, dated forecast."""
+    short = fc.missing_forecasts(kept, table).count()
     if short:
         raise ValueError(f"{short} merchants have too little history for a forecast")
     holes = table.groupBy(MERCHANT).agg(
@@ -121,18 +120,36 @@ def require_deliverable(series: DataFrame, table: DataFrame, cfg: Config = Confi
         raise ValueError(f"{broken} merchants lack a date or a value on some forecast day")
 
 
+def require_deliverable(series: DataFrame, table: DataFrame, cfg: Config = Config()) -> None:
+    """Fail unless all series are complete and each has one whole, dated forecast."""
+    quality.require_complete(series, cfg)
+    require_whole(series, table, cfg)
+
+
+def table_faults(date: str = "date") -> dict[str, Column]:
+    """Counts that must be zero in a table of forecasts, for the pass that stores it."""
+    return {"days_without_a_date": F.count_if(F.col(date).isNull()),
+            "days_without_a_value": F.count_if(F.col("expected_gbp").isNull())}
+
+
 def deliver(fact: DataFrame, folder: str, cfg: Config = Config(),
             order: list[str] | None = None, learned: bool = False) -> Forecasts:
     """Forecast all merchants of a stored fact, check the result, and write what is delivered:
     a folder per merchant, the summary and the monthly rollup.  With ``learned`` the fitted
-    forecaster does it, refitted on everything."""
+    forecaster does it, refitted on everything.
+
+    Dates and values are checked in the passes that store the sparse series and the forecasts;
+    the dense series is not made for a check.  Nothing is delivered if one fails.
+    """
     if learned:
         ready = prepare(fact, cfg, order=order)
-        run = Forecasts.of(ready.observed, cfg, snapshot(learned_forecast(ready, cfg, full=True), "predictions"))
+        observed = ready.observed
+        run = Forecasts.of(observed, cfg, snapshot(learned_forecast(ready, cfg, full=True), "predictions"))
     else:
-        run = Forecasts.of(snapshot(observe(fact, cfg, order), "observed"), cfg)
-    table = snapshot(run.table, "forecasts")
-    require_deliverable(run.series, table, cfg)
+        observed = snapshot(observe(fact, cfg, order), "observed", **quality.observed_faults(cfg))
+        run = Forecasts.of(observed, cfg)
+    table = snapshot(run.table, "forecasts", **table_faults())
+    require_whole(panel.where_usable(observed, cfg), table, cfg)
     sinks.write_forecasts(table, f"{folder}/forecasts", cfg)
     sinks.write_summary(run.summary, f"{folder}/forecast_summary")
     sinks.write_rollup(monthly(fact, table, cfg), f"{folder}/months")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from tillcast.config import CALENDAR_COLUMNS, Config, DATE, MERCHANT, TIME
 from tillcast.functions.staging import snapshot
 from tillcast.operators import calendar as cal
-from tillcast.operators import daily, features, panel
+from tillcast.operators import daily, features, panel, quality
 
 
 @dataclass(frozen=True)
@@ -86,7 +86,7 @@ def prepare(fact: DataFrame, cfg: Config = Config(), filtered: bool = True,
     lookup = snapshot(cal.calendar_lookup(
         daily.coerce_fact(fact), order[0] if order else None), "calendar")
     covered = cal.covered_range(lookup)
-    observed = snapshot(observe(fact, cfg, order), "observed")
+    observed = snapshot(observe(fact, cfg, order), "observed", **quality.observed_faults(cfg))
     series = dense_series(observed, cfg, filtered)
     frame = cal.calendar_features(lookup, covered).attach(series)
     frame = features.with_activity(features.with_age(frame), cfg)
