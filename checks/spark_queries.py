@@ -666,7 +666,7 @@ def _some_moments(learner: Learner, origins: DataFrame) -> DataFrame:
 def _means(state: DataFrame) -> DataFrame:
     """Sums of products per row of the windows, and how many such rows there are."""
     rows = state.where("left = 'one' AND right = 'one'").select("total").scalar()
-    return state.select("left", "right", r(F.col("total") / rows, 5).alias("mean"),
+    return state.select("left", "right", r(F.when(rows > 0, F.col("total") / rows), 5).alias("mean"),
                         F.round(rows).cast("long").alias("n"))
 
 

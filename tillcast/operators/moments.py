@@ -75,7 +75,8 @@ def covering(days: DataFrame, windows: DataFrame, names: list[str], cfg: Config
 def moments(days: DataFrame, windows: DataFrame, origin_names: list[str], day_names: list[str],
             cfg: Config = Config()) -> DataFrame:
     """``(left, right, total)``: the sum over all windows and steps of the product of each two
-    inputs, ``one`` and the label among them.  Names of a pair are in ascending order.
+    inputs, ``one`` and the label among them.  Names of a pair are in ascending order.  Without
+    windows each pair's sum is zero.
 
     ``days`` is the dense panel with ``one``, ``label`` and the named columns.  A task sends
     one row per pair, whatever its number of days.
@@ -122,7 +123,10 @@ def moments(days: DataFrame, windows: DataFrame, origin_names: list[str], day_na
                 [pa.array([a for a, _ in sums]), pa.array([b for _, b in sums]),
                  pa.array(list(sums.values()))], ["left", "right", "total"])
 
-    return merged(rows.mapInArrow(run, SCHEMA))
+    names = sorted([*daily, *covered])
+    nothing = days.sparkSession.createDataFrame(
+        [(a, b, 0.0) for i, a in enumerate(names) for b in names[i:]], SCHEMA)
+    return merged(rows.mapInArrow(run, SCHEMA), nothing)
 
 
 def merged(*states: DataFrame) -> DataFrame:
