@@ -47,6 +47,22 @@ def _check(spark, folder, name, problems=()):
 
 
 @pytest.mark.parametrize("name", [
-    "ml_moments", "ml_full_refit_state"])
+    "ml_moments", "ml_full_refit_state", "ml_pinball_gradient"])
 def test_without_series(spark, steady, name):
     _check(spark, steady, name)
+
+
+@pytest.mark.parametrize("name", [
+    "ml_forecast_keys", "ml_evaluation_rows"])
+def test_no_series_no_rows(spark, steady, name):
+    _check(spark, steady, name, [EMPTY])
+
+
+def test_no_series_no_fitted_forecast(spark, steady):
+    assert registry.queries()["ml_quantile_forecast"](spark, steady).count() == 0
+
+
+def test_without_windows_no_input_carries_information(spark, steady):
+    rows = registry.queries()["ml_dropped_inputs"](spark, steady).collect()
+    assert {r.windows for r in rows} == {0}
+    assert {"constant", "twice", "blend", "level7", "holiday_offset"} <= {r.input for r in rows}

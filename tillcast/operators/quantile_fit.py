@@ -38,6 +38,7 @@ def design(state: DataFrame, names: Sequence[str], tolerance: float = 1e-6) -> D
 
     Inputs are taken in order; one stays if what the ones before leave of its variance is above
     ``tolerance``.  The state has one row per pair of inputs, whatever the size of the data.
+    Without any window no input varies, and all are dropped.
     """
     total = {(r["left"], r["right"]): r["total"] for r in state.collect()}
 
@@ -45,6 +46,8 @@ def design(state: DataFrame, names: Sequence[str], tolerance: float = 1e-6) -> D
         return total[min(a, b), max(a, b)]
 
     rows = product(ONE, ONE)
+    if not rows:
+        return Design((), tuple(names), np.empty(0), np.empty(0), np.zeros(1), 0.0)
     every = [*names, LABEL]
     means = np.array([product(ONE, n) for n in every]) / rows
     cov = np.array([[product(a, b) for b in every] for a in every]) / rows - np.outer(means, means)
@@ -74,7 +77,10 @@ def _standard(batch: pa.RecordBatch, plan: Design) -> tuple[np.ndarray, np.ndarr
 
 def _summed(rows: DataFrame, plan: Design, kernel: Callable[[np.ndarray, np.ndarray], np.ndarray]
             ) -> np.ndarray:
-    """The sum of a matrix of figures over all rows; a task sends each figure once."""
+    """The sum of a matrix of figures over all rows; a task sends each figure once.
+
+    No rows have the sum zero, in the shape that the kernel gives.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
@@ -88,7 +94,7 @@ def _summed(rows: DataFrame, plan: Design, kernel: Callable[[np.ndarray, np.ndar
 
     parts = rows.select(*plan.names, LABEL).mapInArrow(run, "line int, slot int, total double")
     found = parts.groupBy("line", "slot").agg(F.sum("total").alias("total")).collect()
-    out = np.zeros((1 + max(r.line for r in found), 1 + max(r.slot for r in found)))
+    out = kernel(np.ones((0, 1 + len(plan.names))), np.empty(0))
     for row in found:
         out[row.line, row.slot] = row.total
     return out
@@ -144,7 +150,10 @@ def fit_quantiles(rows: DataFrame, plan: Design, levels: Sequence[float],
     """Per level the intercept and slopes in units of the inputs' spread.
 
     ``rows`` is a stored table, read twice in each round.  The loss of a round's band never grows.
+    Windows of which none gave a row are an error; without windows there is nothing to fit.
     """
+    if plan.rows and rows.isEmpty():
+        raise ValueError("none of the training windows is among those that give rows to the fit")
     fits = np.tile(plan.least_squares, (len(levels), 1))
     for band in bands:
         sums = _summed(rows, plan, _normal(fits, levels, band))
@@ -183,7 +192,7 @@ def optimality(rows: DataFrame, plan: Design, fits: np.ndarray, levels: Sequence
             lines.append(np.concatenate([far + np.minimum(*sides).sum(0), far + np.maximum(*sides).sum(0)]))
         return np.array(lines)
 
-    n, p = rows.count(), fits.shape[1]
+    n, p = max(1, rows.count()), fits.shape[1]
     sums = _summed(rows, plan, kernel)
     gaps = np.maximum(0.0, np.maximum(sums[:, :p], -sums[:, p:])) / n
     return [(float(level), name, float(gap)) for level, line in zip(levels, gaps, strict=True)

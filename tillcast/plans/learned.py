@@ -99,7 +99,10 @@ class Learner:
         return self._fit(state, self.windows(every, training=True))
 
     def forecast(self, fit: Fit, part: str | None = None) -> DataFrame:
-        """``(merchant, origin, step, time_idx, q_log)`` of a part's origins, or of the newest."""
+        """``(merchant, origin, step, time_idx, q_log)`` of a part's origins, or of the newest.
+
+        A fit without training windows can only forecast no origins at all.
+        """
         if part:
             origins = self.origins(part)
             norm.require_aligned(origins, self.panel, self.fitted, self.cutoff, self.cfg)
@@ -109,6 +112,8 @@ class Learner:
             ahead = pnl.future_rows(self.panel, self.prepared.future_calendar(self.cfg),
                                     self.prepared.ratio_names, self.cfg)
             days = self._days(ahead)
+        if not fit.plan.rows and not origins.isEmpty():
+            raise ValueError("no series is long enough for a training window, so nothing was fitted")
         rows = learned.window_rows(days, self.windows(origins), self.cfg)
         return learned.predict(rows, fit.plan, fit.levels)
 
