@@ -579,14 +579,14 @@ def future_batch_vs_single(spark, folder):
     panel = snapshot(ready.panel, "panel")
     ends = panel.groupBy(MERCHANT).agg(F.max(TIME).alias("t"), F.count(F.lit(1)).alias("n"),
                                        F.avg(CFG.raw_target).alias("v"))
-    chosen = ends.agg(F.min_by(MERCHANT, F.struct("t", MERCHANT)),
-                      F.min_by(MERCHANT, F.struct("n", MERCHANT)),
-                      F.max_by(MERCHANT, F.struct("v", MERCHANT))).first()
+    chosen = set(ends.agg(F.min_by(MERCHANT, F.struct("t", MERCHANT)),
+                          F.min_by(MERCHANT, F.struct("n", MERCHANT)),
+                          F.max_by(MERCHANT, F.struct("v", MERCHANT))).first()) - {None}
     batch = pnl.with_future(panel, calendar, ready.ratio_names, CFG)
-    singles = None
-    for merchant in sorted(set(chosen)):
-        one = pnl.single_future(panel, merchant, calendar, ready.ratio_names, CFG)
-        singles = one if singles is None else singles.unionByName(one)
+    singles = panel.limit(0)  # all there is to compare if the filter left no merchant
+    for merchant in sorted(chosen):
+        singles = singles.unionByName(
+            pnl.single_future(panel, merchant, calendar, ready.ratio_names, CFG))
     return quality.table_differences(
         singles, batch.where(F.col(MERCHANT).isin(*chosen))).select("only_left", "only_right")
 
