@@ -1115,9 +1115,9 @@ def fact_files(spark, folder):
 
 @query
 def prediction_files(spark, folder):
-    path = _path(spark, "predictions")
-    sinks.write_predictions(holdout_predictions(spark, folder), path)
-    return spark.read.parquet(path)
+    path, rows = _path(spark, "predictions"), holdout_predictions(spark, folder)
+    sinks.write_predictions(rows, path)
+    return spark.read.schema(rows.schema).parquet(path)
 
 
 @query
