@@ -509,9 +509,9 @@ def informative_columns(spark, folder):
     roles = features.column_roles(ready.panel.columns, CFG)
     cutoff = ready.split(CFG).train_cutoff
     spread = snapshot(features.column_spread(ready.panel, roles.observed_reals, cutoff), "spread")
-    kept = features.informative_by_spread(spread, roles)
-    return spread.select(F.explode(F.array(*[
-        F.lit(c) for c in kept.observed_reals])).alias("column_name"))
+    kept = features.informative_names(spread, roles.observed_reals)
+    names = F.array(*[F.lit(c) for c in kept]).cast("array<string>")
+    return spread.select(F.explode(names).alias("column_name"))
 
 
 @query

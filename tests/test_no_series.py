@@ -53,7 +53,7 @@ def test_without_series(spark, steady, name):
 
 
 @pytest.mark.parametrize("name", [
-    "ml_forecast_keys", "ml_evaluation_rows", "prediction_files"])
+    "ml_forecast_keys", "ml_evaluation_rows", "informative_columns", "prediction_files"])
 def test_no_series_no_rows(spark, steady, name):
     _check(spark, steady, name, [EMPTY])
 

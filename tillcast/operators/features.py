@@ -114,6 +114,11 @@ def informative_roles(panel: DataFrame, roles: ColumnRoles, cutoff,
 def informative_by_spread(spread: DataFrame, roles: ColumnRoles, tolerance: float = 1e-6
                           ) -> ColumnRoles:
     """The same from a ready row of spreads."""
+    kept = informative_names(spread, roles.observed_reals, tolerance)
+    return roles.without_observed([c for c in roles.observed_reals if c not in kept])
+
+
+def informative_names(spread: DataFrame, columns, tolerance: float = 1e-6) -> list[str]:
+    """The columns that vary; without training rows none does."""
     row = spread.first().asDict()
-    return roles.without_observed(
-        [c for c in roles.observed_reals if (row[c] or 0.0) <= tolerance])
+    return [c for c in columns if (row[c] or 0.0) > tolerance]
