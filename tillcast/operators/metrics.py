@@ -65,16 +65,18 @@ def forecast_metrics(predictions: DataFrame, keys: Sequence[str] = (), cfg: Conf
 
 def baseline_metrics(rows: DataFrame, names: Sequence[str] = ("naive_last", "seasonal_naive")
                      ) -> DataFrame:
-    """MAE, RMSE and log MAE per baseline: each row is spread over the baselines' names."""
-    each = F.explode(F.array(*[
-        F.struct(F.lit(n).alias("baseline"), F.col(n).alias("predicted")) for n in names]))
-    spread = rows.select("actual_gbp", each.alias("_b")).select("actual_gbp", "_b.*")
-    error = F.col("predicted") - F.col("actual_gbp")
-    return spread.groupBy("baseline").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg(F.abs(error)).alias("MAE_gbp"),
-        F.sqrt(F.avg(error * error)).alias("RMSE_gbp"),
-        F.avg(_log_error(F.col("predicted"), F.col("actual_gbp"))).alias("MAE_log"))
+    """MAE, RMSE and log MAE, one row for each named baseline even if there is nothing to compare."""
+    actual = F.col("actual_gbp")
+
+    def measured(name: str) -> Column:
+        error = F.col(name) - actual
+        return F.struct(
+            F.lit(name).alias("baseline"), F.count(F.lit(1)).alias("n"),
+            F.avg(F.abs(error)).alias("MAE_gbp"),
+            F.sqrt(F.avg(error * error)).alias("RMSE_gbp"),
+            F.avg(_log_error(F.col(name), actual)).alias("MAE_log"))
+
+    return rows.agg(F.array(*[measured(n) for n in names]).alias("_b")).select(F.inline("_b"))
 
 
 def merchant_level(series: DataFrame, cfg: Config = Config()) -> DataFrame:
