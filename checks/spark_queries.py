@@ -754,8 +754,9 @@ def scale_alignment_faulty(spark, folder):
     shifted = fitted.withColumns({
         "center": F.col("center") + F.when(number % 3 == 0, 0.5).otherwise(0.0),
         "scale": F.col("scale") * F.when(number % 5 == 0, 1.5).otherwise(1.0)})
-    origins = pnl.window_origins(series, "validation", CFG).withColumn("part", F.lit("validation"))
-    return norm.scale_alignment(origins, series, shifted, pnl.Split(series, CFG).train_cutoff)
+    origins = pnl.window_origins(series, "validation", CFG)
+    found = norm.scale_alignment(origins, series, shifted, pnl.Split(series, CFG).train_cutoff, ())
+    return found.withColumn("part", F.lit("validation"))
 
 
 @query

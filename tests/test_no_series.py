@@ -47,7 +47,8 @@ def _check(spark, folder, name, problems=()):
 
 
 @pytest.mark.parametrize("name", [
-    "ml_moments", "ml_full_refit_state", "ml_pinball_gradient", "future_batch_vs_single", "baseline_metrics", "merchant_report"])
+    "ml_moments", "ml_full_refit_state", "ml_pinball_gradient", "future_batch_vs_single",
+    "baseline_metrics", "merchant_report", "scale_alignment_faulty"])
 def test_without_series(spark, steady, name):
     _check(spark, steady, name)
 
