@@ -95,3 +95,27 @@ def test_awkward_rows_and_columns(awkward):
     rows = got.collect()
     assert len(rows) == 10 and [r.n_tokens for r in rows if r.doc_id in (1, 2, 3)] == [0, 0, 0]
     assert bpe.encode(awkward.limit(0), PATH).count() == 0
+
+
+def test_words_in_use_outlive_rare_ones(monkeypatch):
+    """A word met again and again is merged once, however many rare words pass between."""
+    monkeypatch.setattr(bpe, "HALF", 10)
+    pieces = bpe.WordPieces(PATH)
+    merged = []
+    monkeypatch.setattr(pieces, "merge", lambda parts, merge=pieces.merge: merged.append(len(parts)) or merge(parts))
+    for n in range(200):
+        pieces.encode("common " + "x" * (n % 50) + "abcdefghij"[n // 20] * 3)
+    assert merged.count(len("common")) < 15
+    assert len(pieces.seen) <= 10 and len(pieces.older) <= 10
+
+
+def test_written_out_properties_split_alike():
+    pieces = bpe.WordPieces(PATH)
+    for n in [*range(0xD800), *range(0xE000, 0x10000)]:
+        text = f"a{chr(n)}b'll1{chr(n)}{chr(n)} "
+        assert pieces.plain_words.findall(text) == pieces.words.findall(text), hex(n)
+        assert bool(bpe._NARROW_LATE.search(chr(n))) == bool(bpe._LATE.search(chr(n))), hex(n)
+
+
+def test_properties_outside_a_class_are_not_written_out():
+    assert bpe.plain(r"\p{L}+|[^\s]") is None

@@ -6,7 +6,8 @@ ranks are refreshed, until no adjacent parts can be merged.  Words longer than `
 go by a heap over the same ranks instead, since scans of a long array would be quadratic;
 both orders are least rank first, then leftmost, so the results are equal.
 
-Spark deals the texts; in a task, words already seen come from a bounded cache.  Special
+Spark deals the texts; in a task, words already seen come from a cache of two bounded halves,
+of which the older goes when the newer is full: words in use move over and outlive rare ones.  Special
 tokens are found in the raw text first.  The library's Unicode tables are older than those
 here: what it does not know is stated as fixed values, and pieces of text that hold such a
 character go by patterns that leave it out.  Defined results: null and empty texts have no
@@ -19,6 +20,7 @@ import functools
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 from array import array
 from collections.abc import Iterator
@@ -36,6 +38,7 @@ from tillcast.llm.common import fresh
 LONG = 64
 #: Words kept by a worker, about 400 bytes each, and texts encoded at a time.
 CACHE = 150_000
+HALF = CACHE // 2
 TEXTS = 512
 # Code points, in hexadecimal, whose later Unicode properties the library lacks.
 # Letters and numbers that are neither to it:
@@ -79,9 +82,31 @@ LOWERED = _lowered(LATE_CAPITALS)
 _MARK = regex.compile(f"([{_class(LATE_MARKS)}])")
 _LATE = regex.compile(f"[{_class(LATE_LETTERS)}{_class(LATE_NUMBERS)}{_class(LATE_MARKS)}"
                       f"{''.join(map(chr, LOWERED))}]")
+_WIDE = re.compile("[\U00010000-\U0010FFFF]")
+#: A character class, and a property that a class of code points can stand for inside one.
+_IN_BRACKETS = re.compile(r"\[(?:\\.|[^\]\\])*\]")
+_PROPERTY = re.compile(r"\\p\{\w+\}|\\s")
 NO_RANK = 1 << 60
 
 
+def _listed(kind: str) -> str:
+    """The code points up to FFFF of a property, as ranges inside a character class."""
+    narrow = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x10000)]))
+    spans = (m.span() for m in regex.finditer(f"(?:{kind})+", narrow))
+    return "".join(f"\\u{ord(narrow[a]):04X}-\\u{ord(narrow[b - 1]):04X}" for a, b in spans)
+
+
+_NARROW_LATE = re.compile(f"[{_listed(_LATE.pattern)}]")
+
+
+def plain(pattern: str):
+    """The pattern with its properties written out, which the faster ``re`` can match in pieces
+    without code points beyond FFFF; None if a property stands outside a character class."""
+    if _PROPERTY.search(_IN_BRACKETS.sub("", pattern)):
+        return None
+    return re.compile(_PROPERTY.sub(lambda m: _listed(m[0]), pattern))
+
+
 def byte_letters() -> list[str]:
     """The letter that stands for each byte: itself if printable, else one beyond Latin-1."""
     printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -112,6 +137,7 @@ class WordPieces:
         (split,) = (p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         pattern = split["pattern"]["Regex"]
         self.words = regex.compile(pattern)
+        self.plain_words = plain(pattern) or self.words
         letters, numbers = _class(LATE_LETTERS), _class(LATE_NUMBERS)
         self.strict_words = regex.compile(
             pattern.replace(r"\p{L}", rf"[\p{{L}}--[{letters}]]")
@@ -122,6 +148,7 @@ class WordPieces:
         self.inner = [self.vocab[x] for x in letters]
         self.last = [self.vocab[x + self.suffix] for x in letters]
         self.seen: dict[str, tuple[bytes, str, str]] = {}
+        self.older: dict[str, tuple[bytes, str, str]] = {}
 
     def _parts(self, word: str) -> list[int]:
         said = word.encode()
@@ -174,10 +201,10 @@ class WordPieces:
         """A word's ids as packed integers, as decimal text, and its tokens."""
         found = self.seen.get(word)
         if found is None:
-            found = self._entry(self.merge(self._parts(word)))
+            found = self.older.get(word) or self._entry(self.merge(self._parts(word)))
             if len(word) <= LONG:
-                if len(self.seen) >= CACHE:
-                    self.seen.clear()
+                if len(self.seen) >= HALF:
+                    self.older, self.seen = self.seen, {}
                 self.seen[word] = found
         return found
 
@@ -190,12 +217,13 @@ class WordPieces:
         out: list[tuple[bytes, str, str]] = []
         if not text:
             return out
-        known, look_up = self.seen.get, self.word
+        look_up = self.word
         # split() with groups hands over the marks; groups that did not take part are None.
         for piece in filter(None, self.marks.split(text)):
             if piece in self.special:
                 out.append(self._entry([self.special[piece]]))
             else:
+                known = self.seen.get  # may be of the older half before the piece ends
                 out += [known(w) or look_up(w) for w in self.split(piece)]
         return out
 
@@ -203,8 +231,8 @@ class WordPieces:
         """The words of a text without special tokens.  Blanks, runs of which the library makes
         one space, are in no word."""
         if piece.isascii():
-            return self.words.findall(piece.lower())
-        late = _LATE.search(piece)
+            return self.plain_words.findall(piece.lower())
+        late = (_LATE if _WIDE.search(piece) else _NARROW_LATE).search(piece)
         if late:
             # A mark that combines with nothing ends what is normalised together.
             piece = "".join([unicodedata.normalize("NFC", x) for x in _MARK.split(piece)])
@@ -213,7 +241,10 @@ class WordPieces:
             piece = unicodedata.normalize("NFC", piece)
         # Letter by letter, so that a final sigma is like any other.
         piece = piece.replace("Σ", "σ").lower()
-        return (self.strict_words if late else self.words).findall(piece)
+        if late:
+            return self.strict_words.findall(piece)
+        # Looked at again, as normalising makes some code points wide.
+        return (self.words if _WIDE.search(piece) else self.plain_words).findall(piece)
 
 
 @functools.lru_cache(maxsize=4)
