@@ -51,13 +51,19 @@ def log(spark: SparkSession, folder: str, merchant: str = "supplier", calendar:
     return fixture.with_warehouse_calendar(rows) if calendar else rows
 
 
+#: Suppliers have few line items a day; nations and regions have many, of many suppliers' names.
+GROUPING = {"supplier": "gathered", "nation": "sorted", "region": "sorted"}
+
+
 def fact(spark, folder, merchant="supplier", calendar=False) -> DataFrame:
-    return daily.daily_fact(log(spark, folder, merchant, calendar))
+    return daily.daily_fact(log(spark, folder, merchant, calendar), grouping=GROUPING[merchant])
 
 
 def slim_fact(spark, folder, merchant="supplier") -> DataFrame:
     """Revenue, successes and names only: the rest is never read, summed or grouped by."""
-    return daily.daily_fact(log(spark, folder, merchant), ["merchant_name"]).select(
+    rows = daily.daily_fact(log(spark, folder, merchant), ["merchant_name"],
+                            grouping=GROUPING[merchant])
+    return rows.select(
         DATE, MERCHANT, "merchant_name", CFG.raw_target, "daily_successful_transaction_count")
 
 
@@ -1101,7 +1107,8 @@ def log_files(spark, folder):
     path = _path(spark, "log")
     rows = log(spark, folder, calendar=True)
     rows.select(*[F.col(f.name).cast(f.dataType) for f in readers.TRANSACTION_SCHEMA]).write.parquet(path)
-    facts = daily.daily_fact(readers.read_transactions(spark, path))
+    facts = daily.daily_fact(readers.read_transactions(spark, path),
+                             grouping=GROUPING["supplier"])
     return facts.withColumns({
         "merchant_created_datetime": F.col("merchant_created_datetime").cast("date"),
         **{c: F.col(c).cast("double") for c in facts.columns if c.endswith("_gbp")}})

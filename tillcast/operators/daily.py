@@ -16,63 +16,105 @@ from tillcast.functions.columns import (
 from tillcast.functions.stats import exact_percentiles
 
 
+#: Texts the measures ask for, by the column of the log that holds them.
+CODED = {
+    "acquiring_bank_name": ACQUIRER_COUNTS,
+    "response_result": RESPONSE_COUNTS,
+    "payment_type": PAYMENT_COUNTS,
+    "integration_api": INTEGRATION_COUNTS,
+    "transaction_type": {"_refund": "REFUND", "_void": "VOID"},
+}
+
+
+def _code(column: str) -> Column:
+    """The number of a text among those asked for, 0 for any other; NULL stays NULL."""
+    code = F.when(F.col(column).isNull(), F.lit(None))
+    for number, text in enumerate(CODED[column].values(), 1):
+        code = code.when(equals_folded(column, text), number)
+    return code.otherwise(0).cast("tinyint").alias(f"_{column}")
+
+
+def _is(column: str, text: str) -> Column:
+    return F.col(f"_{column}") == F.lit(list(CODED[column].values()).index(text) + 1)
+
+
 def _money(condition: Column) -> Column:
     zero = F.lit(0).cast("decimal(18,2)")
     return F.sum(F.when(condition, F.col("amount_gbp")).otherwise(zero))
 
 
-def _money_measures(strict_reference: bool) -> list[Column]:
-    success = equals_folded("response_result", "SUCCESS")
-    payout = equals_folded("payment_type", "PAYOUTS")
-    refund = equals_folded("transaction_type", "REFUND")
-    void = equals_folded("transaction_type", "VOID")
+def _money_measures(strict_reference: bool) -> dict[str, Column]:
+    success = _is("response_result", "SUCCESS")
+    payout = _is("payment_type", "PAYOUTS")
+    refund = _is("transaction_type", "REFUND")
+    void = _is("transaction_type", "VOID")
     returned = F.lit(False) if strict_reference else success & ~payout
-    return [
-        _money(success & ~payout & ~refund & ~void).alias("daily_successful_amount_gbp"),
-        _money(success & payout).alias("daily_payout_amount_gbp"),
-        _money(returned & refund).alias("daily_refund_amount_gbp"),
-        _money(returned & void).alias("daily_void_amount_gbp"),
-        _money(~success).alias("daily_unsuccessful_amount_gbp"),
-    ]
+    return {
+        "daily_successful_amount_gbp": _money(success & ~payout & ~refund & ~void),
+        "daily_payout_amount_gbp": _money(success & payout),
+        "daily_refund_amount_gbp": _money(returned & refund),
+        "daily_void_amount_gbp": _money(returned & void),
+        "daily_unsuccessful_amount_gbp": _money(~success),
+    }
 
 
 def daily_fact(transactions: DataFrame, attributes: Iterable[str] | None = None,
-               strict_reference: bool = False) -> DataFrame:
+               strict_reference: bool = False, grouping: str = "hashed") -> DataFrame:
     """One row per date and merchant with all measures and the wanted attributes.
 
-    The log is first grouped with the text attributes in the key, which keeps the pass over
-    it a hash aggregation: a maximum over text would have every raw row sorted instead.
-    Partial sums form before the exchange, so a merchant holding much of the log sends a
-    few rows per day and input task.  The second grouping sees merchant-days only.
+    The texts that measures ask for become numbers first, so that each is folded and compared
+    once per row.  The rows are then brought together in one of three ways, with equal results:
+
+    * ``hashed`` groups the log with the text attributes in the key, which keeps the pass over
+      it a hash aggregation.  Partial sums form before the exchange, so a merchant holding much
+      of the log sends a few rows per day and input task; a second grouping sees merchant-days
+      only.  Where the texts vary within a merchant-day it has a row for each of their
+      combinations, and may be no smaller than the log.
+    * ``sorted`` has each task sort its rows by merchant-day for the maxima over text.  Whatever
+      the texts, a merchant-day leaves a task as one row: for logs with many rows of a
+      merchant-day.  The one exchange moves merchant-days.
+    * ``gathered`` exchanges the log's rows, which are narrower than those of the fact, and
+      groups them where they arrive: for logs with few rows of a merchant-day, where partial
+      sums would make the data larger.
 
     Refund and void money follow the stated intent (successful, not a payout);
     ``strict_reference`` gives the zeros that the published condition literally yields.
     """
+    if grouping not in ("hashed", "sorted", "gathered"):
+        raise ValueError(f"unknown grouping {grouping!r}")
     wanted = CALENDAR_COLUMNS + MERCHANT_ATTRIBUTES if attributes is None else tuple(attributes)
     present = [c for c in wanted if c in transactions.columns]
+    money = _money_measures(strict_reference)
     counts = [
-        F.count_if(equals_folded(source, text)).alias(name)
-        for source, group in (("acquiring_bank_name", ACQUIRER_COUNTS),
-                              ("response_result", RESPONSE_COUNTS),
-                              ("payment_type", PAYMENT_COUNTS),
-                              ("integration_api", INTEGRATION_COUNTS))
-        for name, text in group.items()
+        F.count_if(_is(source, text)).alias(name)
+        for source in ("acquiring_bank_name", "response_result", "payment_type", "integration_api")
+        for name, text in CODED[source].items()
     ]
-    texts = [c for c in present if isinstance(transactions.schema[c].dataType, T.StringType)]
-    others = [F.max(c).alias(c) for c in present if c not in texts]
-    by_attribute = transactions.groupBy(DATE, MERCHANT, *texts).agg(
+    measures = [
         F.count(F.lit(1)).alias("daily_transaction_amount"),
-        *_money_measures(strict_reference),
+        *[total.alias(name) for name, total in money.items()],
         *counts,
         F.count_if(is_true("has_fraud_notification")).alias("daily_fraud_amount"),
         F.count_if(is_true("has_dispute")).alias("daily_dispute_amount"),
-        *others,
-    )
-    measures = [c for c in by_attribute.columns if c not in (DATE, MERCHANT, *present)]
+    ]
+    rows = transactions.select(
+        DATE, MERCHANT, "amount_gbp", "has_fraud_notification", "has_dispute",
+        *[_code(c) for c in CODED], *present)
+    texts = [c for c in present if isinstance(transactions.schema[c].dataType, T.StringType)]
+    others = [F.max(c).alias(c) for c in present if c not in texts]
+    if grouping == "hashed":
+        by_attribute = rows.groupBy(DATE, MERCHANT, *texts).agg(*measures, *others)
+        names = [c for c in by_attribute.columns if c not in (DATE, MERCHANT, *present)]
+        if not texts:
+            return by_attribute.select(DATE, MERCHANT, *names, *present)
+        return by_attribute.groupBy(DATE, MERCHANT).agg(
+            *[F.sum(c).alias(c) for c in names], *[F.max(c).alias(c) for c in present])
+    if grouping == "gathered":
+        rows = rows.repartition(DATE, MERCHANT)
+    facts = rows.groupBy(DATE, MERCHANT).agg(*measures, *[F.max(c).alias(c) for c in present])
     if not texts:
-        return by_attribute.select(DATE, MERCHANT, *measures, *present)
-    return by_attribute.groupBy(DATE, MERCHANT).agg(
-        *[F.sum(c).alias(c) for c in measures], *[F.max(c).alias(c) for c in present])
+        return facts
+    return facts.withColumns({c: F.col(c).cast("decimal(38,2)") for c in money})
 
 
 def without_months(transactions: DataFrame, year: int, months: Sequence[str]) -> DataFrame:
