@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tillcast.config import (
     CALENDAR_COLUMNS, COUNT_COLUMNS, Config, DATE, MERCHANT, MERCHANT_ATTRIBUTES, TIME,
+    ZERO_ON_INACTIVE_DAY,
 )
 from tillcast.functions.columns import size_band
 from tillcast.functions import quantiles
@@ -40,10 +41,12 @@ def query(function):
 
 
 def r(column, digits: int = 6) -> Column:
-    """Rounded, and without a negative zero."""
-    name = column if isinstance(column, str) else None
-    rounded = F.round(F.col(column) if name else column, digits) + F.lit(0.0)
-    return rounded.alias(name) if name else rounded
+    """Rounded, and without a negative zero.  Most values of an idle day are zero as they are."""
+    if not isinstance(column, str):
+        return F.round(column, digits) + F.lit(0.0)
+    value = F.col(column)
+    rounded = F.round(value, digits) + F.lit(0.0)
+    return F.when(value == 0, F.lit(0.0)).otherwise(rounded).alias(column)
 
 
 def log(spark: SparkSession, folder: str, merchant: str = "supplier", calendar: bool = False):
@@ -67,13 +70,14 @@ def slim_fact(spark, folder, merchant="supplier") -> DataFrame:
         DATE, MERCHANT, "merchant_name", CFG.raw_target, "daily_successful_transaction_count")
 
 
-def stored_fact(spark, folder, merchant="supplier") -> DataFrame:
+def stored_fact(spark, folder, merchant="supplier", columns=None) -> DataFrame:
     """The fact with its calendar as a stored table, read several times by a prepared panel."""
-    return snapshot(fact(spark, folder, merchant, calendar=True), "fact")
+    rows = fact(spark, folder, merchant, calendar=True)
+    return snapshot(rows.select(*columns) if columns else rows, "fact")
 
 
-def prepared(spark, folder, merchant="region", filtered=True) -> Prepared:
-    return prepare(stored_fact(spark, folder, merchant), CFG, filtered)
+def prepared(spark, folder, merchant="region", filtered=True, columns=None) -> Prepared:
+    return prepare(stored_fact(spark, folder, merchant, columns), CFG, filtered)
 
 
 def stored_observed(spark, folder, merchant="region") -> DataFrame:
@@ -327,8 +331,12 @@ FEATURES = ["log_success_count", "log_unsuccessful_gbp", "log_fraud_count", "log
             "log_avg_ticket", "log_merchant_age", "log_tenure_at_series_start"]
 
 
+#: All of the fact that features other than the mix ratios are made from.
+BESIDE_RATIOS = (DATE, MERCHANT, *ZERO_ON_INACTIVE_DAY, *CALENDAR_COLUMNS, *MERCHANT_ATTRIBUTES)
+
+
 def _features(spark, folder, merchant, filtered):
-    panel = prepared(spark, folder, merchant, filtered).panel
+    panel = prepared(spark, folder, merchant, filtered, BESIDE_RATIOS).panel
     return panel.select(
         MERCHANT, DATE, TIME, "series_start_idx", r("tpv"), *[r(c) for c in FEATURES],
         "is_zero_day", "had_no_attempts", "target_imputed", "since_merchant_creation",

@@ -86,7 +86,8 @@ def prepare(fact: DataFrame, cfg: Config = Config(), filtered: bool = True,
     lookup = snapshot(cal.calendar_lookup(
         daily.coerce_fact(fact), order[0] if order else None), "calendar")
     covered = cal.covered_range(lookup)
-    observed = snapshot(observe(fact, cfg, order), "observed", **quality.observed_faults(cfg))
+    dated = fact.drop(*CALENDAR_COLUMNS)  # the lookup has them: no need to exchange and store them
+    observed = snapshot(observe(dated, cfg, order), "observed", **quality.observed_faults(cfg))
     series = dense_series(observed, cfg, filtered)
     frame = cal.calendar_features(lookup, covered).attach(series)
     frame = features.with_activity(features.with_age(frame), cfg)
