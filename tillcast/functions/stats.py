@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from tillcast.functions.staging import snapshot
+
 #: Of the sketch: brackets reach two steps of it to either side of the rank.
 ACCURACY = 10_000
 
@@ -26,6 +28,8 @@ def exact_percentiles(frame: DataFrame, value: str, levels: Sequence[float],
     ``ACCURACY`` of a key's rows, equal ones counted as one.  An end of a bracket that the
     counts prove wrong is left open, so the result never leans on the sketch.  Without keys
     the brackets are scalars; with keys they are joined.  Keys without a value give no row.
+    Joined tables are stored first: by its true size a table of few keys is broadcast, where an
+    exchange on the key would bring the column into as few tasks as there are keys.
     """
     keys = list(keys)
     values = frame.select(*keys, F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL")
@@ -78,4 +82,6 @@ def exact_percentiles(frame: DataFrame, value: str, levels: Sequence[float],
 def _beside(frame: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
     """Each row with its key's row of a table as ``_m``; the only row is a scalar."""
     packed = table.select(*keys, F.struct(*[c for c in table.columns if c not in keys]).alias("_m"))
-    return frame.join(packed, keys) if keys else frame.withColumn("_m", packed.scalar())
+    if not keys:
+        return frame.withColumn("_m", packed.scalar())
+    return frame.join(snapshot(packed, "brackets"), keys)
