@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from checks import spark_queries as checks
 from tillcast.config import CALENDAR_COLUMNS, MERCHANT, PAYMENT_COUNTS
-from tillcast.plans.prepare import prepare
+from tillcast.plans.prepare import core_series, prepare
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -37,3 +37,14 @@ def test_rounding_leaves_zero_and_null_as_they_are(spark):
     got = [row.x for row in frame.select(checks.r("x")).collect()]
     assert got == [row.x for row in frame.select((F.round("x", 6) + 0.0).alias("x")).collect()]
     assert [str(v) for v in got[:3]] == ["0.0", "0.0", "None"]
+
+
+def test_core_series_goes_to_the_log_once(spark, make_fact, tmp_path):
+    """The day axis is sought in the stored sparse form, so no window is left in the plan."""
+    make_fact([("a", n, float(n % 5), 1) for n in range(80)]).write.parquet(str(tmp_path / "fact"))
+    fact = spark.read.parquet(str(tmp_path / "fact"))
+    for filtered in (True, False):
+        series = core_series(fact, filtered=filtered)
+        text = series._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in text and "subquery" in text
+        assert series.count() == 79

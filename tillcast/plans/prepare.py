@@ -72,8 +72,15 @@ def dense_series(observed: DataFrame, cfg: Config = Config(), filtered: bool = T
 
 def core_series(fact: DataFrame, cfg: Config = Config(), filtered: bool = True,
                 order: list[str] | None = None) -> DataFrame:
-    """Dense series straight from a fact: all that forecasting itself needs."""
-    return dense_series(observe(fact, cfg, order), cfg, filtered)
+    """Dense series from a fact: all that forecasting itself needs.
+
+    The sparse form is stored, as the day axis and the series both read it: unstored, each of
+    the two would go back to the raw log.
+    """
+    observed = observe(fact, cfg, order)
+    if not filtered:
+        observed = observed.drop(*panel.STAT_COLUMNS)
+    return dense_series(snapshot(observed, "observed"), cfg, filtered)
 
 
 def prepare(fact: DataFrame, cfg: Config = Config(), filtered: bool = True,
