@@ -79,3 +79,26 @@ def test_registered_facts_have_one_wide_exchange(spark, tmp_path):
         text = checks.fact(spark, "/root/testdata/sf0.001", merchant)._jdf.queryExecution()
         named = re.findall(r"\bExchange hashpartitioning\((.*?)\), ", text.executedPlan().toString())
         assert [n for n in named if "merchant_name" in n] == []
+
+
+def test_gathered_days_are_summed_once(spark, tmp_path):
+    """No partial sums to merge: both steps would stand behind the exchange, a row for each day."""
+    text = plan(spark, tmp_path, "gathered")
+    assert "Aggregate" not in text and len(re.findall(r"\bWindow ", text)) == 1
+    assert "WindowGroupLimit" not in text
+
+
+def test_gathered_sums_only_what_is_read(spark, tmp_path):
+    plan(spark, tmp_path, "gathered")
+    fact = daily.daily_fact(spark.read.parquet(str(tmp_path / "log")), grouping="gathered")
+    text = fact.select("merchant_id", "merchant_name", "card_amount")._jdf.queryExecution()
+    assert "amount_gbp" not in text.executedPlan().toString()
+
+
+def test_a_full_gathered_day_is_one_row(spark):
+    """More rows of a merchant-day than a window keeps in memory."""
+    one = list(rows(1))[0]
+    log = spark.createDataFrame([one], TRANSACTION_SCHEMA).crossJoin(spark.range(10_000))
+    (fact,) = daily.daily_fact(log, grouping="gathered").collect()
+    assert fact.daily_transaction_amount == fact.daily_successful_transaction_count == 10_000
+    assert fact.daily_successful_amount_gbp == Decimal("12500.00")

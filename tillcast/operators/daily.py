@@ -58,6 +58,18 @@ def _money_measures(strict_reference: bool) -> dict[str, Column]:
     }
 
 
+def _one_row_per_day(rows: DataFrame, measures: dict[str, Column]) -> DataFrame:
+    """Each merchant-day's measures, taken over all its rows and kept on one of them.
+
+    A window holds a merchant-day's rows on disk where they are many.
+    """
+    arrival = W.partitionBy(DATE, MERCHANT).orderBy(DATE)
+    day = arrival.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    return rows.select(
+        DATE, MERCHANT, *[m.over(day).alias(name) for name, m in measures.items()],
+        F.row_number().over(arrival).alias("_row")).where("_row = 1").drop("_row")
+
+
 def daily_fact(transactions: DataFrame, attributes: Iterable[str] | None = None,
                strict_reference: bool = False, grouping: str = "hashed") -> DataFrame:
     """One row per date and merchant with all measures and the wanted attributes.
@@ -75,7 +87,8 @@ def daily_fact(transactions: DataFrame, attributes: Iterable[str] | None = None,
       merchant-day.  The one exchange moves merchant-days.
     * ``gathered`` exchanges the log's rows, which are narrower than those of the fact, and
       groups them where they arrive: for logs with few rows of a merchant-day, where partial
-      sums would make the data larger.
+      sums would make the data larger.  With texts it does so by windows, which sum in one step
+      what an aggregate would sum and then merge.
 
     Refund and void money follow the stated intent (successful, not a payout);
     ``strict_reference`` gives the zeros that the published condition literally yields.
@@ -85,33 +98,38 @@ def daily_fact(transactions: DataFrame, attributes: Iterable[str] | None = None,
     wanted = CALENDAR_COLUMNS + MERCHANT_ATTRIBUTES if attributes is None else tuple(attributes)
     present = [c for c in wanted if c in transactions.columns]
     money = _money_measures(strict_reference)
-    counts = [
-        F.count_if(_is(source, text)).alias(name)
+    counts = {
+        name: F.count_if(_is(source, text))
         for source in ("acquiring_bank_name", "response_result", "payment_type", "integration_api")
         for name, text in CODED[source].items()
-    ]
-    measures = [
-        F.count(F.lit(1)).alias("daily_transaction_amount"),
-        *[total.alias(name) for name, total in money.items()],
-        *counts,
-        F.count_if(is_true("has_fraud_notification")).alias("daily_fraud_amount"),
-        F.count_if(is_true("has_dispute")).alias("daily_dispute_amount"),
-    ]
+    }
+    measures = {
+        "daily_transaction_amount": F.count(F.lit(1)),
+        **money,
+        **counts,
+        "daily_fraud_amount": F.count_if(is_true("has_fraud_notification")),
+        "daily_dispute_amount": F.count_if(is_true("has_dispute")),
+    }
     rows = transactions.select(
         DATE, MERCHANT, "amount_gbp", "has_fraud_notification", "has_dispute",
         *[_code(c) for c in CODED], *present)
     texts = [c for c in present if isinstance(transactions.schema[c].dataType, T.StringType)]
-    others = [F.max(c).alias(c) for c in present if c not in texts]
     if grouping == "hashed":
-        by_attribute = rows.groupBy(DATE, MERCHANT, *texts).agg(*measures, *others)
-        names = [c for c in by_attribute.columns if c not in (DATE, MERCHANT, *present)]
+        by_attribute = rows.groupBy(DATE, MERCHANT, *texts).agg(
+            *[m.alias(name) for name, m in measures.items()],
+            *[F.max(c).alias(c) for c in present if c not in texts])
         if not texts:
-            return by_attribute.select(DATE, MERCHANT, *names, *present)
+            return by_attribute.select(DATE, MERCHANT, *measures, *present)
         return by_attribute.groupBy(DATE, MERCHANT).agg(
-            *[F.sum(c).alias(c) for c in names], *[F.max(c).alias(c) for c in present])
+            *[F.sum(c).alias(c) for c in measures], *[F.max(c).alias(c) for c in present])
     if grouping == "gathered":
         rows = rows.repartition(DATE, MERCHANT)
-    facts = rows.groupBy(DATE, MERCHANT).agg(*measures, *[F.max(c).alias(c) for c in present])
+    per_day = {**measures, **{c: F.max(c) for c in present}}
+    if grouping == "gathered" and texts:
+        facts = _one_row_per_day(rows, per_day)
+    else:
+        facts = rows.groupBy(DATE, MERCHANT).agg(
+            *[m.alias(name) for name, m in per_day.items()])
     if not texts:
         return facts
     return facts.withColumns({c: F.col(c).cast("decimal(38,2)") for c in money})
