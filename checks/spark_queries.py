@@ -56,10 +56,26 @@ def log(spark: SparkSession, folder: str, merchant: str = "supplier", calendar:
 
 #: Suppliers have few line items a day; nations and regions have many, of many suppliers' names.
 GROUPING = {"supplier": "gathered", "nation": "sorted", "region": "sorted"}
+#: All of the fact that features other than the mix ratios are made from.
+BESIDE_RATIOS = (DATE, MERCHANT, *ZERO_ON_INACTIVE_DAY, *CALENDAR_COLUMNS, *MERCHANT_ATTRIBUTES)
+#: The same but for the suppliers' names, which neither a forecaster nor the calendar reads.
+UNNAMED = tuple(c for c in BESIDE_RATIOS if c != "merchant_name")
+MEASURED = (*UNNAMED, *[c for c in COUNT_COLUMNS if c not in UNNAMED])
 
 
-def fact(spark, folder, merchant="supplier", calendar=False) -> DataFrame:
-    return daily.daily_fact(log(spark, folder, merchant, calendar), grouping=GROUPING[merchant])
+def fact(spark, folder, merchant="supplier", calendar=False, columns=None) -> DataFrame:
+    """All of the fact, or the columns that a query reads.
+
+    The texts of nations and regions are few but for the suppliers' names.  Without those the log
+    is hashed: a task holds a row for each merchant-day and category, however long its share.
+    """
+    rows, grouping = log(spark, folder, merchant, calendar), GROUPING[merchant]
+    if columns is None:
+        return daily.daily_fact(rows, grouping=grouping)
+    if grouping == "sorted" and "merchant_name" not in columns:
+        grouping = "hashed"
+    attributes = [c for c in (*CALENDAR_COLUMNS, *MERCHANT_ATTRIBUTES) if c in columns]
+    return daily.daily_fact(rows, attributes, grouping=grouping).select(*columns)
 
 
 def slim_fact(spark, folder, merchant="supplier") -> DataFrame:
@@ -72,8 +88,7 @@ def slim_fact(spark, folder, merchant="supplier") -> DataFrame:
 
 def stored_fact(spark, folder, merchant="supplier", columns=None) -> DataFrame:
     """The fact with its calendar as a stored table, read several times by a prepared panel."""
-    rows = fact(spark, folder, merchant, calendar=True)
-    return snapshot(rows.select(*columns) if columns else rows, "fact")
+    return snapshot(fact(spark, folder, merchant, True, columns), "fact")
 
 
 def prepared(spark, folder, merchant="region", filtered=True, columns=None) -> Prepared:
@@ -331,10 +346,6 @@ FEATURES = ["log_success_count", "log_unsuccessful_gbp", "log_fraud_count", "log
             "log_avg_ticket", "log_merchant_age", "log_tenure_at_series_start"]
 
 
-#: All of the fact that features other than the mix ratios are made from.
-BESIDE_RATIOS = (DATE, MERCHANT, *ZERO_ON_INACTIVE_DAY, *CALENDAR_COLUMNS, *MERCHANT_ATTRIBUTES)
-
-
 def _features(spark, folder, merchant, filtered):
     panel = prepared(spark, folder, merchant, filtered, BESIDE_RATIOS).panel
     return panel.select(
@@ -559,8 +570,8 @@ def scale_floor(spark, folder):
 
 # ---------------------------------------------------------------- future frame
 
-def _future(spark, folder, merchant="region"):
-    ready = prepared(spark, folder, merchant)
+def _future(spark, folder, merchant="region", columns=None):
+    ready = prepared(spark, folder, merchant, columns=columns)
     calendar = ready.future_calendar(CFG)
     return ready, calendar
 
@@ -704,7 +715,7 @@ def ml_full_refit_state(spark, folder):
 @query
 def category_effects(spark, folder):
     """Effects of merchants, sectors and calendar columns, out of fold and shrunken."""
-    learner = Learner(prepared(spark, folder, "nation"), CFG)
+    learner = Learner(prepared(spark, folder, "nation", columns=UNNAMED), CFG)
     return learner.effects.select("column", "value", "days", *[
         r(F.col("effects")[i]).alias(f"effect{i}") for i in range(fx.FOLDS + 1)])
 
