@@ -1015,7 +1015,7 @@ def whale_share_scaled(spark, folder):
     """Revenue scaled by nation, so that the smallest and the largest band are filled."""
     kind = F.col(MERCHANT).cast("int") % 3
     factor = F.when(kind == 0, 0.001).when(kind == 1, 10.0).otherwise(1.0)
-    rows = fact(spark, folder, "nation", calendar=True).withColumn(
+    rows = fact(spark, folder, "nation", True, UNNAMED).withColumn(
         CFG.raw_target, F.col(CFG.raw_target).cast("double") * factor)
     panel = snapshot(prepare(snapshot(rows, "fact"), CFG).panel.select(
         MERCHANT, *[c for pair in quality.SCALED_PAIRS for c in pair]), "panel")
