@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tillcast.config import (
-    CALENDAR_COLUMNS, COUNT_COLUMNS, Config, DATE, MERCHANT, MERCHANT_ATTRIBUTES, TIME,
-    ZERO_ON_INACTIVE_DAY,
+    CALENDAR_COLUMNS, COUNT_COLUMNS, Config, DATE, MERCHANT, MERCHANT_ATTRIBUTES, PAYMENT_COUNTS,
+    TIME, ZERO_ON_INACTIVE_DAY,
 )
 from tillcast.functions.columns import size_band
 from tillcast.functions import quantiles
@@ -578,7 +578,7 @@ def _future(spark, folder, merchant="region", columns=None):
 
 @query
 def future_frame(spark, folder):
-    ready, calendar = _future(spark, folder, "nation")
+    ready, calendar = _future(spark, folder, "nation", (*UNNAMED, *PAYMENT_COUNTS))
     rows = pnl.future_rows(ready.panel, calendar, ready.ratio_names, CFG)
     return rows.select(
         MERCHANT, TIME, DATE, "tpv", CFG.raw_target, "log_success_count", "card_amount_ratio",

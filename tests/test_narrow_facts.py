@@ -8,7 +8,7 @@ import pytest
 from checks import spark_queries as checks
 
 FOLDER = "/root/testdata/sf0.001"
-HASHED = ["category_effects", "whale_share_scaled"]
+HASHED = ["category_effects", "whale_share_scaled", "future_frame"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables here")
 
