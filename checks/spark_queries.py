@@ -589,7 +589,7 @@ def future_frame(spark, folder):
 
 @query
 def history_and_future(spark, folder):
-    ready, calendar = _future(spark, folder)
+    ready, calendar = _future(spark, folder, columns=UNNAMED)
     whole = pnl.with_future(ready.panel, calendar, ready.ratio_names, CFG)
     return whole.groupBy(MERCHANT).agg(
         F.count(F.lit(1)).alias("days"), F.min(TIME).alias("first_time_idx"),

@@ -8,7 +8,8 @@ import pytest
 from checks import spark_queries as checks
 
 FOLDER = "/root/testdata/sf0.001"
-HASHED = ["category_effects", "whale_share_scaled", "future_frame"]
+HASHED = ["category_effects", "whale_share_scaled", "future_frame",
+          "history_and_future"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables here")
 
