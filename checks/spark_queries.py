@@ -520,7 +520,7 @@ def cold_start(spark, folder):
 
 @query
 def column_spread(spark, folder):
-    ready = prepared(spark, folder, "nation")
+    ready = prepared(spark, folder, "nation", columns=MEASURED)
     panel = ready.panel
     roles = features.column_roles(panel.columns, CFG)
     spread = features.column_spread(

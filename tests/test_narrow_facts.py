@@ -9,7 +9,8 @@ from checks import spark_queries as checks
 
 FOLDER = "/root/testdata/sf0.001"
 HASHED = ["category_effects", "whale_share_scaled", "future_frame",
-          "history_and_future", "masked_identity", "future_calendar_check"]
+          "history_and_future", "masked_identity", "future_calendar_check",
+          "column_spread"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables here")
 
