@@ -85,6 +85,17 @@ def test_a_refit_adds_the_later_windows(learner):
     assert refit.plan.rows > fit.plan.rows
 
 
+def test_every_training_window_gives_rows_to_the_fit(prepared):
+    learner = Learner(prepared, CFG)
+    fit = learner.fit()
+    windows = learner.windows(learner.origins("train"), training=True)
+    rows = learned.window_rows(learner.days, windows, CFG)
+    assert rows.count() == windows.count() * CFG.horizon == fit.plan.rows
+    got, want = (qf.optimality(r, fit.plan, fit.levels, CFG.quantiles) for r in (fit.rows, rows))
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert [g[2] for g in got] == pytest.approx([w[2] for w in want], rel=1e-6, abs=1e-12)
+
+
 def test_fit_reaches_a_minimum(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(20_000, 2))

@@ -15,9 +15,6 @@ from tillcast.operators import (
 )
 from tillcast.plans.prepare import Prepared
 
-#: Every n-th training window gives rows to the quantile fit; the sums take all windows.
-STRIDE = 8
-
 
 @dataclass(frozen=True)
 class Fit:
@@ -35,11 +32,12 @@ class Learner:
 
     Scale pairs, effects and masks come from the training days, and a refit keeps them: the sums
     over the training windows then stay valid, and those of the later windows are added.
+    Every training window gives rows to the quantile fit unless the caller sets a ``stride``.
     """
 
     prepared: Prepared
     cfg: Config = field(default_factory=Config)
-    stride: int = STRIDE
+    stride: int = 1
 
     def __post_init__(self) -> None:
         cfg = self.cfg
