@@ -7,6 +7,7 @@ from tillcast.operators import effects as fx
 from tillcast.operators import learned, quality
 from tillcast.operators import moments as mm
 from tillcast.operators import quantile_fit as qf
+from tillcast.operators import window_blocks as wb
 from tillcast.operators.baselines import with_baselines
 from tillcast.operators.metrics import baseline_metrics
 from tillcast.plans.forecasting import Forecasts, evaluate, evaluation_rows
@@ -96,6 +97,52 @@ def test_every_training_window_gives_rows_to_the_fit(prepared):
     assert [g[2] for g in got] == pytest.approx([w[2] for w in want], rel=1e-6, abs=1e-12)
 
 
+def _sums(rows, plan, fits):
+    """Both kernels of a round and the slopes of the optimality check, over all rows."""
+    tried = np.stack([fits, fits + 0.1], axis=1)
+    rows = qf._stored(rows)
+    return [qf._summed(rows, plan, qf._normal(fits, CFG.quantiles, 0.1)),
+            qf._summed(rows, plan, qf._losses(tried, CFG.quantiles, 0.1)),
+            np.array([g[2] for g in qf.optimality(rows, plan, fits, CFG.quantiles)])]
+
+
+def _plan_and_fits(learner, windows, names):
+    plan = qf.design(learner.state(windows), names)
+    fits = np.random.default_rng(3).normal(size=(len(CFG.quantiles), 1 + len(plan.names)))
+    return plan, plan.least_squares + 0.1 * fits
+
+
+@pytest.mark.parametrize("without", [(), (mm.WEEKDAY,), (mm.STEP, "level7"), (mm.WEEKDAY, mm.STEP)])
+def test_sums_over_blocks_equal_those_over_rows(learner, without):
+    windows = learner.windows(learner.origins("train"), training=True)
+    plan, fits = _plan_and_fits(learner, windows, [n for n in learner.names if n not in without])
+    blocks = wb.stored_blocks(learner.days, windows, learned.ORIGIN_INPUTS,
+                              learned.day_inputs(learner.roles), plan.rows, CFG)
+    rows = learned.window_rows(learner.days, windows, CFG)
+    for got, want in zip(_sums(blocks, plan, fits), _sums(rows, plan, fits), strict=True):
+        assert got == pytest.approx(want, rel=1e-8, abs=1e-7)
+
+
+def test_blocks_of_days_missing_or_twice(learner):
+    windows = learner.windows(learner.origins("train"), training=True)
+    plan, fits = _plan_and_fits(learner, windows, learner.names)
+    days = learner.days.where("NOT (merchant_id = 'small' AND time_idx IN (50, 51, 70))")
+    days = days.where("merchant_id = 'small' OR time_idx < 84 OR time_idx >= 98")   # a whole block
+    days = days.unionByName(days.where("merchant_id = 'large' AND time_idx IN (60, 120)"))
+    begun = days.select("merchant_id", F.col("time_idx").alias("origin_time_idx"))
+    windows = windows.join(begun, ["merchant_id", "origin_time_idx"], "left_semi")
+    blocks = wb.stored_blocks(days, windows, learned.ORIGIN_INPUTS,
+                              learned.day_inputs(learner.roles), plan.rows, CFG)
+    rows = learned.window_rows(days, windows, CFG)
+    for got, want in zip(_sums(blocks, plan, fits), _sums(rows, plan, fits), strict=True):
+        assert got == pytest.approx(want, rel=1e-8, abs=1e-7)
+
+
+def test_a_fit_stores_no_row_per_step(learner):
+    fit = learner.fit()
+    assert fit.rows.frame.count() <= 2 * (300 // CFG.horizon + 1)
+
+
 def test_fit_reaches_a_minimum(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(20_000, 2))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -68,33 +69,83 @@ def design(state: DataFrame, names: Sequence[str], tolerance: float = 1e-6) -> D
                   means[kept], spreads[kept], np.append(means[-1], slope), rows)
 
 
-def _standard(batch: pa.RecordBatch, plan: Design) -> tuple[np.ndarray, np.ndarray]:
-    """Inputs with a leading one, in units of their spread, and the label."""
+class Rows:
+    """Rows of a fit: inputs with a leading one, in units of their spread, and a label."""
+
+    size: int
+
+    def rest(self, fit: np.ndarray) -> np.ndarray:
+        """What a fit leaves of each label.  Weights of rows have the same shape."""
+        raise NotImplementedError
+
+    def along(self, weights: np.ndarray, part: Callable[[np.ndarray], np.ndarray] | None = None
+              ) -> np.ndarray:
+        """Each input, or a part of its value, times the weights, summed."""
+        raise NotImplementedError
+
+    def gram(self, weights: np.ndarray) -> np.ndarray:
+        """The weighted products of each two inputs, summed: the upper triangle."""
+        raise NotImplementedError
+
+
+class Matrix(Rows):
+    """A line for each row."""
+
+    def __init__(self, inputs: np.ndarray, label: np.ndarray) -> None:
+        self.inputs, self.label, self.size = inputs, label, len(label)
+
+    def rest(self, fit: np.ndarray) -> np.ndarray:
+        return self.label - self.inputs @ fit
+
+    def along(self, weights: np.ndarray, part: Callable[[np.ndarray], np.ndarray] | None = None
+              ) -> np.ndarray:
+        return (part(self.inputs) if part else self.inputs).T @ weights
+
+    def gram(self, weights: np.ndarray) -> np.ndarray:
+        return ((self.inputs * weights[:, None]).T @ self.inputs)[np.triu_indices(self.inputs.shape[1])]
+
+
+def _matrix(batch: pa.RecordBatch, plan: Design) -> Iterator[Rows]:
     columns = [c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns]
     inputs = (np.stack(columns[:-1], axis=1) - plan.mean) / plan.spread
-    return np.concatenate([np.ones((len(inputs), 1)), inputs], axis=1), columns[-1]
+    yield Matrix(np.concatenate([np.ones((len(inputs), 1)), inputs], axis=1), columns[-1])
 
 
-def _summed(rows: DataFrame, plan: Design, kernel: Callable[[np.ndarray, np.ndarray], np.ndarray]
-            ) -> np.ndarray:
+@dataclass(frozen=True)
+class Stored:
+    """A stored table, the columns of it that a plan reads, and the rows of the fit in a batch of them."""
+
+    frame: DataFrame
+    columns: Callable[[Design], list[str]] = lambda plan: [*plan.names, LABEL]
+    read: Callable[[pa.RecordBatch, Design], Iterator[Rows]] = _matrix
+
+
+def _stored(rows: DataFrame | Stored) -> Stored:
+    return rows if isinstance(rows, Stored) else Stored(rows)
+
+
+def _summed(rows: Stored, plan: Design, kernel: Callable[[Rows], np.ndarray]) -> np.ndarray:
     """The sum of a matrix of figures over all rows; a task sends each figure once.
 
     No rows have the sum zero, in the shape that the kernel gives.
     """
+    read = rows.read
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
-            part = kernel(*_standard(batch, plan))
-            total = part if total is None else total + part
+            for some in read(batch, plan):
+                part = kernel(some)
+                total = part if total is None else total + part
         if total is not None:
             line, slot = np.indices(total.shape)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(line.ravel(), pa.int32()), pa.array(slot.ravel(), pa.int32()),
                  pa.array(total.ravel())], ["line", "slot", "total"])
 
-    parts = rows.select(*plan.names, LABEL).mapInArrow(run, "line int, slot int, total double")
+    parts = rows.frame.select(*rows.columns(plan)).mapInArrow(run, "line int, slot int, total double")
     found = parts.groupBy("line", "slot").agg(F.sum("total").alias("total")).collect()
-    out = kernel(np.ones((0, 1 + len(plan.names))), np.empty(0))
+    out = kernel(Matrix(np.ones((0, 1 + len(plan.names))), np.empty(0)))
     for row in found:
         out[row.line, row.slot] = row.total
     return out
@@ -102,30 +153,28 @@ def _summed(rows: DataFrame, plan: Design, kernel: Callable[[np.ndarray, np.ndar
 
 def _normal(fits: np.ndarray, levels: Sequence[float], band: float):
     """Per level: the curvature of the smoothed loss, a bound of it, and its slope."""
-    upper = np.triu_indices(fits.shape[1])
-
-    def kernel(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    def kernel(rows: Rows) -> np.ndarray:
         lines = []
         for fit, level in zip(fits, levels, strict=True):
-            rest = y - x @ fit
+            rest = rows.rest(fit)
             below = 0.5 * (1.0 - np.tanh(0.5 * rest / band))
             size = np.maximum(np.abs(rest), 1e-6 * band)
             bound = np.tanh(0.5 * size / band) / (2.0 * size)
             lines.append(np.concatenate([
-                *(((x * w[:, None]).T @ x)[upper] for w in (below * (1.0 - below) / band, bound)),
-                x.T @ (below - level)]))
+                rows.gram(below * (1.0 - below) / band), rows.gram(bound), rows.along(below - level)]))
         return np.array(lines)
     return kernel
 
 
 def _losses(tried: np.ndarray, levels: Sequence[float], band: float):
     """Per level: the smoothed loss of each of its tried fits."""
-    def kernel(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        lines = []
-        for fits, level in zip(tried, levels, strict=True):
-            rest = y[:, None] - x @ fits.T
-            lines.append((level * rest + band * np.logaddexp(0.0, -rest / band)).sum(0))
-        return np.array(lines)
+    def loss(rest: np.ndarray, level: float) -> float:
+        over = np.log(1.0 + np.exp(-np.abs(rest) / band)) + np.maximum(-rest / band, 0.0)
+        return level * rest.sum() + band * over.sum()
+
+    def kernel(rows: Rows) -> np.ndarray:
+        return np.array([[loss(rows.rest(fit), level) for fit in fits]
+                         for fits, level in zip(tried, levels, strict=True)])
     return kernel
 
 
@@ -145,14 +194,15 @@ def _steps(line: np.ndarray, p: int) -> list[np.ndarray]:
     return [found[0], found[0] / 2, found[0] / 4, found[1], 2 * found[1], 4 * found[1], 8 * found[1]]
 
 
-def fit_quantiles(rows: DataFrame, plan: Design, levels: Sequence[float],
+def fit_quantiles(rows: DataFrame | Stored, plan: Design, levels: Sequence[float],
                   bands: Sequence[float] = BANDS) -> np.ndarray:
     """Per level the intercept and slopes in units of the inputs' spread.
 
     ``rows`` is a stored table, read twice in each round.  The loss of a round's band never grows.
     Windows of which none gave a row are an error; without windows there is nothing to fit.
     """
-    if plan.rows and rows.isEmpty():
+    rows = _stored(rows)
+    if plan.rows and rows.frame.isEmpty():
         raise ValueError("none of the training windows is among those that give rows to the fit")
     fits = np.tile(plan.least_squares, (len(levels), 1))
     for band in bands:
@@ -176,24 +226,25 @@ def quantile_columns(plan: Design, fits: np.ndarray) -> Column:
     return F.array(*levels)
 
 
-def optimality(rows: DataFrame, plan: Design, fits: np.ndarray, levels: Sequence[float],
+def optimality(rows: DataFrame | Stored, plan: Design, fits: np.ndarray, levels: Sequence[float],
                band: float = 3 * BANDS[-1]) -> list[tuple[float, str, float]]:
     """(level, input, gap): how far zero is from the loss's slope along each input, per row.
 
     Residuals within ``band`` of zero may count to either side, as they may at a minimum.
     """
-    def kernel(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    def kernel(rows: Rows) -> np.ndarray:
         lines = []
         for fit, level in zip(fits, levels, strict=True):
-            rest = y - x @ fit
+            rest = rows.rest(fit)
             near = np.abs(rest) <= band
-            far = x.T @ np.where(near, 0.0, np.where(rest < 0, 1.0 - level, -level))
-            sides = x[near] * -level, x[near] * (1.0 - level)
-            lines.append(np.concatenate([far + np.minimum(*sides).sum(0), far + np.maximum(*sides).sum(0)]))
+            far = rows.along(np.where(near, 0.0, np.where(rest < 0, 1.0 - level, -level)))
+            plus, minus = (rows.along(near.astype(float), partial(bound, 0.0)) for bound in (np.maximum, np.minimum))
+            lines.append(np.concatenate([far - level * plus + (1.0 - level) * minus,
+                                         far - level * minus + (1.0 - level) * plus, [rows.size]]))
         return np.array(lines)
 
-    n, p = max(1, rows.count()), fits.shape[1]
-    sums = _summed(rows, plan, kernel)
-    gaps = np.maximum(0.0, np.maximum(sums[:, :p], -sums[:, p:])) / n
+    p = fits.shape[1]
+    sums = _summed(_stored(rows), plan, kernel)
+    gaps = np.maximum(0.0, np.maximum(sums[:, :p], -sums[:, p:2 * p])) / max(1.0, sums[0, -1])
     return [(float(level), name, float(gap)) for level, line in zip(levels, gaps, strict=True)
             for name, gap in zip([ONE, *plan.names], line, strict=True)]

@@ -11,7 +11,7 @@ from tillcast.config import Config, MERCHANT, TIME
 from tillcast.functions.staging import snapshot
 from tillcast.operators import (
     effects as fx, features, learned, moments as mm, normaliser as norm, panel as pnl, quality,
-    quantile_fit as qf,
+    quantile_fit as qf, window_blocks as wb,
 )
 from tillcast.plans.prepare import Prepared
 
@@ -23,7 +23,7 @@ class Fit:
     state: DataFrame
     plan: qf.Design
     levels: np.ndarray
-    rows: DataFrame
+    rows: qf.Stored
 
 
 @dataclass
@@ -79,9 +79,8 @@ class Learner:
 
     def _fit(self, state: DataFrame, windows: DataFrame) -> Fit:
         plan = qf.design(state, self.names)
-        rows = snapshot(learned.window_rows(
-            self.days, learned.thinned(windows, self.stride), self.cfg).select(
-                *self.names, mm.LABEL), "fit_rows")
+        rows = wb.stored_blocks(self.days, learned.thinned(windows, self.stride), learned.ORIGIN_INPUTS,
+                                learned.day_inputs(self.roles), plan.rows, self.cfg)
         return Fit(state, plan, qf.fit_quantiles(rows, plan, self.cfg.quantiles), rows)
 
     def fit(self) -> Fit:
